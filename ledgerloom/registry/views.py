@@ -7,9 +7,13 @@ the row's own values.  ``SQL`` holds the same views as common table expressions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import checkpoint_dir
+
 SQL: dict[str, str] = {}
 
 
@@ -17,6 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, view: DataFrame) -> DataFrame:
+    """The view as a table in the shared folder, written once per application.
+
+    Sheets arrive as tables; reading one keeps the long expressions that make up
+    this view out of the plans of the queries over it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = f"{checkpoint_dir(spark)}/view-{name}-{uuid.uuid4().hex}"
+        view.write.parquet(path)
+        _stored[key] = path
+    return spark.read.schema(view.schema).parquet(_stored[key])
+
+
 def with_views(*names: str) -> str:
     """A WITH clause defining the named views and what they need."""
     needs = {
@@ -152,7 +173,7 @@ NO_PLATFORM_SHEET = "4-NOT SPECIFIED/P"
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as the hand-written cells of an order sheet."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    view = table(spark, sf_dir, "orders").selectExpr(
         "o_orderpriority", "o_orderstatus", "o_orderkey",
         "concat('House ', o_custkey) AS address",
         "concat('9', lpad(cast(o_custkey AS string), 9, '0')) AS contact",
@@ -194,6 +215,7 @@ def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WHEN 3 THEN ' ' WHEN 4 THEN concat(l3, ' ', l3, ').\\n', l1) "
         "WHEN 5 THEN concat('(see ', l2, ').') ELSE concat(l1, ' ', l2, ' ', l3) END AS link",
     )
+    return stored(spark, sf_dir, "order_cells", view)
 
 
 SQL["order_cells"] = """
@@ -257,7 +279,7 @@ def sheet_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .select(sheet.alias("sheet_id"), at.cast("bigint").alias("row_no"), named.alias("cells"))
     )
-    return rows.unionByName(headers)
+    return stored(spark, sf_dir, "sheet_grid", rows.unionByName(headers))
 
 
 def _layout_sql() -> str:
@@ -270,10 +292,10 @@ def _layout_sql() -> str:
     return f"""
 SELECT {sheet} AS sheet_id, o_orderkey + 25 AS row_no, {cells} END AS cells FROM order_cells
 UNION ALL
-SELECT sheet_id, CASE WHEN sheet_id = '{LATE_SHEET}' THEN 21 ELSE at END AS row_no,
-       CASE WHEN sheet_id = '{NO_PLATFORM_SHEET}' THEN list_transform(names, x -> replace(x, 'Platform', 'Shop'))
+SELECT sheet_id, CASE WHEN sheet_id = '{LATE_SHEET}' THEN 21 ELSE head_at END AS row_no,
+       CASE WHEN sheet_id = '{NO_PLATFORM_SHEET}' THEN list_transform(names, lambda x: replace(x, 'Platform', 'Shop'))
             ELSE names END AS cells
-FROM (SELECT DISTINCT {sheet} AS sheet_id, {header} END AS names, {at} END AS at FROM orders)"""
+FROM (SELECT DISTINCT {sheet} AS sheet_id, {header} END AS names, {at} END AS head_at FROM orders)"""
 
 
 SQL["sheet_grid"] = _layout_sql()

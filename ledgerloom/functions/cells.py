@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,15 @@ MONTHS = (
     "july", "august", "september", "october", "november", "december",
 )
 
-_DAY_RANGE = r"(?Ui)^\s*(\d{1,2})\s*[-–—to]+\s*(\d{1,2})\s+(\w+)(?:\s+(\d{4})\b)?"
-_ISO = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$"
-_SLASH = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
-_DAY_MONTH = r"^([0-9]{1,2})\s+([A-Za-z]+)(?:\s+([0-9]{4}))?$"
-_MONTH_DAY = r"^([A-Za-z]+)\s+([0-9]{1,2})(?:\s+([0-9]{4}))?$"
+# Whole-text patterns, each rewritten to a plainer form: a range to its later day,
+# slashes to ISO (day first when the second number can be a month), month first to
+# day first.
+_DAY_RANGE = r"(?Uis)^\d{1,2}\s*[-–—to]+\s*(\d{1,2})\s+(\w+)(?:\s+(\d{4})\b)?.*$"
+_DAY_FIRST = r"^([0-9]{1,2})/(0?[1-9]|1[0-2])/([0-9]{4})$"
+_MONTH_FIRST = r"^(0?[1-9]|1[0-2])/([0-9]{1,2})/([0-9]{4})$"
+_NAME_FIRST = r"^([A-Za-z]+)\s+([0-9]{1,2})(\s+[0-9]{4})?$"
+_ISO = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+_NAMED = r"^[0-9]{1,2}\s+[A-Za-z]+(\s+[0-9]{4})?$"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _STAMP = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}( [0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?)?$"
 
@@ -31,21 +37,17 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(strip(text), F.lit(""))
 
 
-def _group(text: Column, pattern: str, number: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, number), F.lit(""))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _month_number(word: Column) -> Column:
-    word = F.lower(word)
-    full = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), word)
-    short = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), word)
-    return F.nullif(F.greatest(full, short), F.lit(0).cast("bigint"))
+def _lookup(word: Column, entries: dict[str, str | int]) -> Column:
+    pairs = [F.lit(part) for entry in entries.items() for part in entry]
+    return F.try_element_at(F.create_map(*pairs), word)
 
 
-def _try_date(year: Column, month: Column, day: Column) -> Column:
-    # The string-to-date cast rejects impossible dates without raising.
-    text = F.concat(year.cast("string"), F.lit("-"), month.cast("string"), F.lit("-"), day.cast("string"))
-    return text.try_cast("date")
+_MONTH_NUMBERS = {name: i for i, m in enumerate(MONTHS, start=1) for name in (m, m[:3])}
 
 
 def sheet_date(text: Column, default_year: Column) -> Column:
@@ -56,59 +58,38 @@ def sheet_date(text: Column, default_year: Column) -> Column:
     names, the same without a year (``default_year`` is used), and day ranges such
     as ``5-6 July``, which mean their later day.
     """
-    text = strip(text)
-    is_range = text.rlike(_DAY_RANGE)
-    text = F.when(
-        is_range,
-        F.concat_ws(
-            " ", _group(text, _DAY_RANGE, 2), _group(text, _DAY_RANGE, 3), _group(text, _DAY_RANGE, 4)
-        ),
-    ).otherwise(text)
-
-    first, second = F.regexp_extract(text, _SLASH, 1), F.regexp_extract(text, _SLASH, 2)
-    day_first = second.try_cast("int") <= 12
-    return (
-        F.when(
-            text.rlike(_ISO),
-            _try_date(*[F.regexp_extract(text, _ISO, g) for g in (1, 2, 3)]),
-        )
-        .when(
-            text.rlike(_SLASH),
-            _try_date(
-                F.regexp_extract(text, _SLASH, 3),
-                F.when(day_first, second).otherwise(first),
-                F.when(day_first, first).otherwise(second),
-            ),
-        )
-        .when(
-            text.rlike(_DAY_MONTH),
-            _try_date(
-                F.coalesce(_group(text, _DAY_MONTH, 3), default_year.cast("string")),
-                _month_number(F.regexp_extract(text, _DAY_MONTH, 2)),
-                F.regexp_extract(text, _DAY_MONTH, 1),
-            ),
-        )
-        .when(
-            text.rlike(_MONTH_DAY),
-            _try_date(
-                F.coalesce(_group(text, _MONTH_DAY, 3), default_year.cast("string")),
-                _month_number(F.regexp_extract(text, _MONTH_DAY, 1)),
-                F.regexp_extract(text, _MONTH_DAY, 2),
-            ),
-        )
+    plain = strip(text)
+    for pattern, form in (
+        (_DAY_RANGE, "$1 $2 $3"),
+        (_DAY_FIRST, "$3-$2-$1"),
+        (_MONTH_FIRST, "$3-$1-$2"),
+        (_NAME_FIRST, "$2 $1$3"),
+    ):
+        plain = F.regexp_replace(plain, pattern, form)
+
+    def named(words: Column) -> Column:
+        day, month, year = (F.get(words, F.lit(i)) for i in range(3))
+        number = _lookup(F.lower(month), _MONTH_NUMBERS).cast("string")
+        return F.concat(F.coalesce(year, default_year.cast("string")), F.lit("-"), number, F.lit("-"), day)
+
+    # The string-to-date cast rejects impossible dates without raising.
+    return let(
+        F.trim(plain),
+        lambda t: F.when(t.rlike(_ISO), t)
+        .when(t.rlike(_NAMED), let(F.split(t, r"\s+"), named))
+        .try_cast("date"),
     )
 
 
 def sheet_timestamp(text: Column) -> Column:
     """``yyyy-MM-dd``, optionally with ``HH:mm`` or ``HH:mm:ss``; else null."""
-    text = strip(text)
-    return F.when(text.rlike(_STAMP), text.try_cast("timestamp"))
+    return let(strip(text), lambda t: F.when(t.rlike(_STAMP), t.try_cast("timestamp")))
 
 
 def money(text: Column) -> Column:
     """A number that may carry thousands commas and a rupee sign; else null."""
     digits = strip(F.translate(text, ",₹", ""))
-    return F.when(digits.rlike(_NUMBER), digits.try_cast("double"))
+    return let(digits, lambda d: F.when(d.rlike(_NUMBER), d.try_cast("double")))
 
 
 def first_integer(text: Column, default: Column | None = None) -> Column:
@@ -120,15 +101,11 @@ def first_integer(text: Column, default: Column | None = None) -> Column:
 def task_status(text: Column) -> Column:
     """Classify a hand-written status; unknown words go to review, never to pending."""
     word = F.lower(strip(F.coalesce(text, F.lit(""))))
-    return (
-        F.when(word.isin(*PENDING_WORDS), PENDING).when(word.isin(*DONE_WORDS), DONE).otherwise(NEEDS_REVIEW)
-    )
+    known = {**dict.fromkeys(PENDING_WORDS, PENDING), **dict.fromkeys(DONE_WORDS, DONE)}
+    return F.coalesce(_lookup(word, known), F.lit(NEEDS_REVIEW))
 
 
 def choice(text: Column, members: tuple[str, ...], default: str | None = None) -> Column:
     """The member equal to the text in any letter case, else ``default``."""
-    word = F.lower(strip(text))
-    found = F.when(word == members[0].lower(), members[0])
-    for member in members[1:]:
-        found = found.when(word == member.lower(), member)
-    return found.otherwise(F.lit(default))
+    found = _lookup(F.lower(strip(text)), {m.lower(): m for m in members})
+    return found if default is None else F.coalesce(found, F.lit(default))

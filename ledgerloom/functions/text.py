@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.cells import strip
+from ledgerloom.functions.cells import let, strip
 from ledgerloom.schemas import (
     ALREADY_REFUNDED,
     HEADER_ALIASES,
@@ -70,26 +70,35 @@ def products(cell: Column) -> Column:
     mention wins.  Text without any link is one product known by name only, and a
     blank cell has no products.
     """
-    links = urls(cell)
-    keys = F.transform(links, lambda u: F.coalesce(product_id(u), u))
-    firsts = F.filter(links, lambda u, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-    from_links = F.transform(
-        firsts,
-        lambda u: F.struct(
-            u.alias("link"),
-            F.coalesce(product_id(u), F.lit("")).alias("pid"),
-            slug_name(u).alias("name"),
-        ),
-    )
-    text = strip(F.coalesce(cell, F.lit("")))
-    by_name = F.array(
-        F.struct(
-            F.lit("").alias("link"),
-            F.lit("").alias("pid"),
-            F.substring(text, 1, NAME_FALLBACK_CHARS).alias("name"),
+    def key(link: Column) -> Column:
+        return F.coalesce(product_id(link), link)
+
+    def first_of_each(links: Column) -> Column:
+        return let(
+            F.transform(links, key),
+            lambda keys: F.filter(links, lambda u, i: F.array_position(keys, F.get(keys, i)) == i + 1),
+        )
+
+    def product(link: Column) -> Column:
+        return F.struct(
+            link.alias("link"),
+            F.coalesce(product_id(link), F.lit("")).alias("pid"),
+            slug_name(link).alias("name"),
         )
+
+    def named_only(text: Column) -> Column:
+        name = F.substring(text, 1, NAME_FALLBACK_CHARS)
+        return F.when(
+            text != "", F.array(F.struct(F.lit("").alias("link"), F.lit("").alias("pid"), name.alias("name")))
+        )
+
+    return let(
+        urls(cell),
+        lambda links: F.coalesce(
+            F.when(F.size(links) == 0, let(strip(F.coalesce(cell, F.lit(""))), named_only)),
+            F.transform(first_of_each(links), product),
+        ),
     )
-    return F.when((F.size(links) == 0) & (text != ""), by_name).otherwise(from_links)
 
 
 def title_tokens(title: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.registry import ledger_queries, sheet_queries, statistics_queries
+from ledgerloom.registry import ledger_queries, return_queries, sheet_queries, statistics_queries
 from ledgerloom.registry.base import Query
 
-_MODULES = (ledger_queries, statistics_queries, sheet_queries)
+_MODULES = (ledger_queries, statistics_queries, sheet_queries, return_queries)
 
 
 def all_queries() -> list[Query]:

@@ -23,6 +23,8 @@ SLUG = r"(?i)https?://[^/]+/(?:dl/)?([a-z0-9-]{6,})/p/"
 LETTER_RETURN_ID = r"(?i)([A-Z]{2}\d{10,})"
 RMA_RETURN_ID = r"([A-Z0-9]{6,}-?[A-Z0-9]*)"
 AMOUNT = r"([0-9][0-9,]*(?:\.\d{1,2})?)"
+# A run of three or more letters and digits that is not all digits.
+TITLE_WORD = r"(?<![a-z0-9])(?![0-9]+(?![a-z0-9]))[a-z0-9]{3,}"
 NAME_FALLBACK_CHARS = 120
 
 
@@ -103,15 +105,8 @@ def products(cell: Column) -> Column:
 
 def title_tokens(title: Column) -> Column:
     """The distinct informative words of a title, sorted, so equal sets are equal arrays."""
-    words = F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^a-z0-9]+")
-    return F.array_sort(
-        F.array_distinct(
-            F.filter(
-                words,
-                lambda w: (F.length(w) > 2) & ~w.isin(*TITLE_STOP_WORDS) & ~w.rlike(r"^[0-9]+$"),
-            )
-        )
-    )
+    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(TITLE_WORD), F.lit(0))
+    return F.sort_array(F.array_except(words, F.array(*[F.lit(w) for w in TITLE_STOP_WORDS])))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join to ``right``, which has at most one row per key; null keys match nothing.
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join to ``right``, which has at most one row per key; null keys match nothing.
 
     The left side may have a key that holds a third of its rows.  Adaptive execution
     splits such a partition, but only when both join inputs come straight from a
@@ -17,11 +17,10 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """
     extra = [c for c in right.columns if c not in keys]
     known = right.dropna(subset=keys).select(F.struct(*keys).alias("_key"), *extra)
-    return left.withColumn("_key", F.struct(*keys)).join(known, "_key", "left").drop("_key")
+    return left.withColumn("_key", F.struct(*keys)).join(known, "_key", how).drop("_key")
 
 
 def matching(left: DataFrame, right: DataFrame, keys: list[str], keep: bool = True) -> DataFrame:
     """The rows of ``left`` that have (or, with ``keep=False``, have not) a key in ``right``."""
-    known = right.select(*keys).dropna().distinct().select(F.struct(*keys).alias("_key"))
-    how = "left_semi" if keep else "left_anti"
-    return left.withColumn("_key", F.struct(*keys)).join(known, "_key", how).drop("_key")
+    known = right.select(*keys).dropna().distinct()
+    return lookup(left, known, keys, "left_semi" if keep else "left_anti")

@@ -9,8 +9,8 @@ their order.  Ids are matched by an equi-join to counted ids.  Titles are compar
 as distinct word sets, and only sets that can overlap by 0.30 or more are compared:
 a runner-up below that can never come within 0.15 of a best of at least 0.45.  Two
 sets that overlap by a share t have a common word among the first
-``size - ceil(t * size) + 1`` words of each, in any fixed word order (prefix
-filtering, Bayardo et al. 2007); rare words first keeps those joins small.
+``size - ceil(t * size) + 1`` words of each, in any fixed order of words (prefix
+filtering, Bayardo et al. 2007); long words come first, being rarer as a rule.
 """
 
 from __future__ import annotations
@@ -28,62 +28,49 @@ MIN_LEAD = 0.15
 CANDIDATE_SCORE = 0.2999
 
 
-def _prefix(tokens: Column) -> Column:
+def index_words(tokens: Column) -> Column:
+    """The words under which a set must be filed to be found by any set close enough."""
+    long_first = F.sort_array(F.transform(tokens, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     size = F.size(tokens)
-    return F.slice(tokens, 1, (size - F.ceil(size * CANDIDATE_SCORE) + 1).cast("int"))
-
-
-def _prefix_words(sets: DataFrame, frequency: DataFrame) -> DataFrame:
-    """Each word set with each of the words that index it."""
-    words = sets.select(*ORDER_KEY, "tokens", F.explode("tokens").alias("word"))
-    ranked = (
-        lookup(words, frequency, [*ORDER_KEY, "word"])
-        .withColumn("sets", F.coalesce("sets", F.lit(0)))
-        .groupBy(*ORDER_KEY, "tokens")
-        # One title's words: as many as the title is long.
-        .agg(F.array_sort(F.collect_list(F.struct("sets", "word"))).alias("ranked"))
-    )
-    return ranked.select(
-        *ORDER_KEY, "tokens", F.explode(_prefix(F.col("ranked.word"))).alias("word")
-    )
+    return F.slice(long_first["w"], 1, (size - F.ceil(size * CANDIDATE_SCORE) + 1).cast("int"))
 
 
 def title_matches(needles: DataFrame, titles: DataFrame) -> DataFrame:
-    """Per order and needle word set, its clear winner among the title word sets, if any.
+    """Each order's needle word sets with their clear winner among its title word sets.
 
     ``needles`` and ``titles`` hold distinct ``platform, order_id, tokens``; a title
     set also has ``copies`` (items with it) and ``item_index``.
     """
-    titles = titles.where(F.size("tokens") > 0)
-    frequency = (
-        titles.select(*ORDER_KEY, F.explode("tokens").alias("word"))
-        .groupBy(*ORDER_KEY, "word")
-        .agg(F.count(F.lit(1)).alias("sets"))
+    left = needles.select(*ORDER_KEY, F.col("tokens").alias("needle"), index_words(F.col("tokens")).alias("_left"))
+    right = titles.select(
+        *ORDER_KEY, F.col("tokens").alias("title"), "copies", "item_index", index_words(F.col("tokens")).alias("_right")
+    )
+    pairs = left.withColumn("word", F.explode("_left")).join(
+        right.withColumn("word", F.explode("_right")), [*ORDER_KEY, "word"]
     )
-    left = _prefix_words(needles, frequency).withColumnRenamed("tokens", "needle")
-    right = _prefix_words(titles, frequency).withColumnRenamed("tokens", "title")
-    candidates = left.join(right, [*ORDER_KEY, "word"]).select(*ORDER_KEY, "needle", "title").distinct()
-    scored = candidates.withColumn("score", overlap(F.col("needle"), F.col("title"))).where(
+    # A pair that shares several words is kept only where the first of them meets.
+    once = pairs.where(F.col("word") == F.get(F.array_intersect("_left", "_right"), F.lit(0)))
+    scored = once.withColumn("score", overlap(F.col("needle"), F.col("title"))).where(
         F.col("score") >= CANDIDATE_SCORE
     )
-    # The rank filter is applied before the shuffle as well, so a needle sends on
-    # at most two rows per task.
+    # The rank filter also applies before the shuffle: a needle sends on at most two
+    # rows per task.  Several items with one title tie: there is no clear winner.
     best_two = Window.partitionBy(*ORDER_KEY, "needle").orderBy(F.col("score").desc(), "title")
-    top = (
-        scored.withColumn("place", F.row_number().over(best_two))
+    best = F.col("place") == 1
+    return (
+        scored.select(*ORDER_KEY, "needle", "score", "copies", "item_index", F.row_number().over(best_two).alias("place"))
         .where(F.col("place") <= 2)
         .groupBy(*ORDER_KEY, "needle")
         .agg(
             F.max("score").alias("score"),
-            F.coalesce(F.max(F.when(F.col("place") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
-            F.max(F.when(F.col("place") == 1, F.col("title"))).alias("title"),
+            F.coalesce(F.max(F.when(~best, F.col("score"))), F.lit(0.0)).alias("_second"),
+            F.max(F.when(best, F.col("copies"))).alias("_copies"),
+            F.max(F.when(best, F.col("item_index"))).alias("item_index"),
         )
-        .where((F.col("score") >= MIN_SCORE) & (F.col("score") - F.col("second") >= MIN_LEAD))
-    )
-    # Several items with the winning title tie with each other: no clear winner.
-    single = titles.where(F.col("copies") == 1).select(*ORDER_KEY, F.col("tokens").alias("title"), "item_index")
-    return top.join(single, [*ORDER_KEY, "title"]).select(
-        *ORDER_KEY, F.col("needle").alias("tokens"), "item_index", "score"
+        .where(
+            (F.col("score") >= MIN_SCORE) & (F.col("score") - F.col("_second") >= MIN_LEAD) & (F.col("_copies") == 1)
+        )
+        .select(*ORDER_KEY, F.col("needle").alias("tokens"), "item_index", "score")
     )
 
 
@@ -91,7 +78,8 @@ def match_line_items(tasks: DataFrame, items: DataFrame) -> DataFrame:
     """Tasks with ``item_index``, ``match_rule`` (sku, title, single, none) and ``score``.
 
     ``score`` is the title overlap where that rule decided.  Two tasks may mean the
-    same item.
+    same item.  The rules are applied to the distinct wishes (id and words) of an
+    order; whole task rows are shuffled once, to receive the answer.
     """
     by_sku = (
         items.where(F.col("product_id") != "")
@@ -107,36 +95,31 @@ def match_line_items(tasks: DataFrame, items: DataFrame) -> DataFrame:
         .drop("_items")
     )
     titles = (
-        items.withColumn("tokens", title_tokens(F.col("title")))
+        items.select(*ORDER_KEY, "item_index", title_tokens(F.col("title")).alias("tokens"))
         .groupBy(*ORDER_KEY, "tokens")
         .agg(F.count(F.lit(1)).alias("copies"), F.min("item_index").alias("item_index"))
     )
-    wanted = F.coalesce(F.nullif("product_name", F.lit("")), "product_link")
-    keyed = tasks.withColumns({"_sku": F.lower(F.nullif("sku", F.lit(""))), "_tokens": title_tokens(wanted)})
-    needles = (
-        keyed.where(F.size("_tokens") > 0).select(*ORDER_KEY, F.col("_tokens").alias("tokens")).distinct()
-    )
-    by_title = title_matches(needles, titles).select(
-        *ORDER_KEY,
-        F.col("tokens").alias("_tokens"),
-        F.col("item_index").alias("_title_item"),
-        F.col("score").alias("_score"),
+    words = title_tokens(F.coalesce(F.nullif("product_name", F.lit("")), "product_link"))
+    keyed = tasks.withColumns({"_sku": F.lower(F.coalesce("sku", F.lit(""))), "_tokens": words})
+    wishes = keyed.select(*ORDER_KEY, "_sku", "_tokens").distinct()
+    needles = wishes.select(*ORDER_KEY, F.col("_tokens").alias("tokens")).where(F.size("tokens") > 0).distinct()
+    by_title = title_matches(needles, titles).withColumnsRenamed(
+        {"tokens": "_tokens", "item_index": "_title_item", "score": "_score"}
     )
-    found = lookup(keyed, by_sku, [*ORDER_KEY, "_sku"])
+    found = lookup(wishes, by_sku, [*ORDER_KEY, "_sku"])
     found = lookup(found, by_title, [*ORDER_KEY, "_tokens"])
     found = lookup(found, lone, ORDER_KEY)
-    rule = (
-        F.when(F.col("_sku_item").isNotNull(), "sku")
-        .when(F.col("_title_item").isNotNull(), "title")
+    by_id, by_words = F.col("_sku_item").isNotNull(), F.col("_title_item").isNotNull()
+    answers = found.select(
+        *ORDER_KEY,
+        "_sku",
+        "_tokens",
+        F.coalesce("_sku_item", "_title_item", "_lone_item").alias("item_index"),
+        F.when(by_id, "sku")
+        .when(by_words, "title")
         .when(F.col("_lone_item").isNotNull(), "single")
         .otherwise("none")
+        .alias("match_rule"),
+        F.when(~by_id, F.col("_score")).alias("score"),
     )
-    return found.select(
-        *tasks.columns,
-        F.when(rule == "sku", F.col("_sku_item"))
-        .when(rule == "title", F.col("_title_item"))
-        .when(rule == "single", F.col("_lone_item"))
-        .alias("item_index"),
-        rule.alias("match_rule"),
-        F.when(rule == "title", F.col("_score")).alias("score"),
-    )
+    return lookup(keyed, answers, [*ORDER_KEY, "_sku", "_tokens"]).drop("_sku", "_tokens")

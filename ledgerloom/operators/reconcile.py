@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import LETTER_RETURN_ID, RMA_RETURN_ID, amount_in_text, flat, return_id
-from ledgerloom.operators.lookups import lookup, matching
+from ledgerloom.operators.lookups import lookup
 from ledgerloom.schemas import FAILED, PLACED, SUPPORT_NEEDED
 
 ORDER_KEY = ["platform", "order_id"]
@@ -33,16 +33,19 @@ def _by_title(rest: DataFrame, entries: DataFrame) -> DataFrame:
     needles in an equi-join.
     """
     lengths = rest.groupBy(*ORDER_KEY).agg(F.collect_set(F.length("_needle")).alias("_lengths"))
-    asked = lookup(matching(entries, lengths, ORDER_KEY), lengths, ORDER_KEY)
-    sized = asked.select(*ORDER_KEY, "position", "_entry", "_text", F.explode("_lengths").alias("_n"))
-    fitting = sized.where(F.length("_text") >= F.col("_n"))
+    asked = lookup(entries.select(*ORDER_KEY, "position", "_text"), lengths, ORDER_KEY, "inner")
+    sized = asked.select(*ORDER_KEY, "position", "_text", F.explode("_lengths").alias("_n"))
     starts = F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1)
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.col("_text").substr(i, F.col("_n"))))
-    return (
-        fitting.select(*ORDER_KEY, "position", "_entry", F.explode(pieces).alias("_needle"))
+    pieces = F.transform(starts, lambda i: F.col("_text").substr(i, F.col("_n")))
+    firsts = (
+        sized.where(F.length("_text") >= F.col("_n"))
+        .select(*ORDER_KEY, "position", F.explode(pieces).alias("_needle"))
         .groupBy(*ORDER_KEY, "_needle")
-        .agg(F.min_by("_entry", "position").alias("_entry"))
+        .agg(F.min("position").alias("position"))
     )
+    found = rest.join(firsts, [*ORDER_KEY, "_needle"])
+    single = entries.select(*ORDER_KEY, "position", "_entry").dropDuplicates([*ORDER_KEY, "position"])
+    return lookup(found, single, [*ORDER_KEY, "position"]).drop("position")
 
 
 def reconcile(submitted: DataFrame, confirmations: DataFrame) -> DataFrame:

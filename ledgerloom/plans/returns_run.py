@@ -15,6 +15,7 @@ from ledgerloom.operators.outcomes import OUTCOME_FIELDS, merge_outcomes, outcom
 from ledgerloom.operators.reconcile import confirmation_outcome, reconcile
 from ledgerloom.operators.tasks import pending
 from ledgerloom.schemas import SUPPORT_NEEDED
+from ledgerloom.session import pin
 
 ORDER_KEY = ["platform", "order_id"]
 
@@ -71,7 +72,9 @@ def decide(
         "returnable",
         "reason_unreturnable",
     )
-    matched = lookup(match_line_items(eligible, items), details, [*ORDER_KEY, "item_index"])
+    wanted = ("platform", "order_id", "sku", "product_name", "product_link")
+    slim = eligible.select(*dict.fromkeys([*key, *wanted]))
+    matched = lookup(match_line_items(slim, items), details, [*ORDER_KEY, "item_index"])
     entered = lookup(matched, known, ORDER_KEY).withColumn(
         "refusal",
         refusal_verdict(
@@ -81,6 +84,8 @@ def decide(
             F.col("platform"),
         ),
     )
+    # Read twice below, by the refused and by the submitted; matched once.
+    entered = pin(entered.drop("sku", "product_name", "product_link"))
     unreachable = F.col("flow").isNull()
     refused = entered.where(unreachable | F.col("refusal").isNotNull()).select(
         *key,
@@ -113,6 +118,7 @@ def run_returns(
     ``key`` identifies a task and must include platform and order.
     """
     key = [*ORDER_KEY, "row_no"] if key is None else key
-    outcomes = decide(tasks, items, orders, confirmations, today, key)
+    # Outcomes are durable before anything is made of them.
+    outcomes = pin(decide(tasks, items, orders, confirmations, today, key))
     merged = merge_outcomes(tasks, outcome_log(outcomes, when, key), key)
     return ReturnsRun(outcomes, merged, run_report(outcomes, merged))

@@ -307,7 +307,7 @@ TODAY = "1998-06-15"
 _LINE_COLUMNS = {
     "platform": "CASE WHEN o_orderstatus = 'O' THEN 'Amazon' ELSE 'Flipkart' END",
     "order_id": "concat('OD', l_orderkey)",
-    "row_no": "(l_partkey * 10000 + l_suppkey) * 10 + l_linenumber",
+    "row_no": "((l_partkey * 10000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)",
     "title": "concat(p_name, ' ', p_brand, ' ', p_type)",
 }
 
@@ -353,9 +353,8 @@ _TASK_COLUMNS = {
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as return tasks; the return flag is how far each has come."""
-    return lines(spark, sf_dir).select(
-        *[F.expr(sql.format(n="\\n", text="string")).alias(name) for name, sql in _TASK_COLUMNS.items()]
-    )
+    columns = [F.expr(sql.format(n="\\n", text="string")).alias(name) for name, sql in _TASK_COLUMNS.items()]
+    return stored(spark, sf_dir, "tasks", lines(spark, sf_dir).select(*columns))
 
 
 SQL["tasks"] = (
@@ -379,7 +378,8 @@ _ITEM_COLUMNS = {
 
 def task_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as the platform's own line items."""
-    return lines(spark, sf_dir).select(*[F.expr(sql).alias(name) for name, sql in _ITEM_COLUMNS.items()])
+    columns = [F.expr(sql).alias(name) for name, sql in _ITEM_COLUMNS.items()]
+    return stored(spark, sf_dir, "task_items", lines(spark, sf_dir).select(*columns))
 
 
 SQL["task_items"] = "SELECT " + ", ".join(f"{s} AS {n}" for n, s in _ITEM_COLUMNS.items()) + " FROM lines"
@@ -399,16 +399,10 @@ _CONFIRMATION_COLUMNS = {
 
 def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confirmation entries of lines that were not flagged R, in reversed order."""
-    return (
-        lines(spark, sf_dir)
-        .where(F.col("l_returnflag") != "R")
-        .select(
-            *[
-                F.expr(sql.format(money="format_number(l_extendedprice, 2)")).alias(name)
-                for name, sql in _CONFIRMATION_COLUMNS.items()
-            ]
-        )
-    )
+    money = "format_number(l_extendedprice, 2)"
+    columns = [F.expr(sql.format(money=money)).alias(name) for name, sql in _CONFIRMATION_COLUMNS.items()]
+    kept = lines(spark, sf_dir).where(F.col("l_returnflag") != "R")
+    return stored(spark, sf_dir, "confirmations", kept.select(*columns))
 
 
 SQL["confirmations"] = (

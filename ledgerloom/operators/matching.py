@@ -9,8 +9,8 @@ their order.  Ids are matched by an equi-join to counted ids.  Titles are compar
 as distinct word sets, and only sets that can overlap by 0.30 or more are compared:
 a runner-up below that can never come within 0.15 of a best of at least 0.45.  Two
 sets that overlap by a share t have a common word among the first
-``size - ceil(t * size) + 1`` words of each, in any fixed order of words (prefix
-filtering, Bayardo et al. 2007); long words come first, being rarer as a rule.
+``size - ceil(t * size) + 1`` words of each, in any one order of words (prefix
+filtering, Bayardo et al. 2007); word sets are sorted already.
 """
 
 from __future__ import annotations
@@ -29,10 +29,9 @@ CANDIDATE_SCORE = 0.2999
 
 
 def index_words(tokens: Column) -> Column:
-    """The words under which a set must be filed to be found by any set close enough."""
-    long_first = F.sort_array(F.transform(tokens, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    """The words under which a sorted set must be filed to be found by any set close enough."""
     size = F.size(tokens)
-    return F.slice(long_first["w"], 1, (size - F.ceil(size * CANDIDATE_SCORE) + 1).cast("int"))
+    return F.slice(tokens, 1, (size - F.ceil(size * CANDIDATE_SCORE) + 1).cast("int"))
 
 
 def title_matches(needles: DataFrame, titles: DataFrame) -> DataFrame:

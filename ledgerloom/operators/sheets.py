@@ -124,7 +124,10 @@ def line_items(
         products(F.col("product_link")).alias("_products"),
         money(F.col("amount")).alias("_total"),
     )
-    exploded = typed.select("*", F.posexplode("_products").alias("_pos", "_product"))
+    # The outer form: the plain one has the array computed again to filter on it.
+    exploded = typed.select("*", F.posexplode_outer("_products").alias("_pos", "_product")).where(
+        F.col("_product").isNotNull()
+    )
     item_no = F.col("_pos") + 1
     platform = title_case(strip(F.coalesce(F.nullif("platform", F.lit("")), F.lit(DEFAULT_PLATFORM))))
     delivery_year = F.coalesce(F.year("order_date"), default_year)

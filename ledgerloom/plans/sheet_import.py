@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import sheets
 from ledgerloom.schemas import TASK_COLUMNS
+from ledgerloom.session import pin
 from ledgerloom.sources.tasks import number_tasks
 
 
@@ -24,7 +25,8 @@ class SheetImport:
 def import_sheets(grid: DataFrame, carry_status: bool = True, fallback_year: int | None = None) -> SheetImport:
     """All sheets of a grid.  Task ids follow sheet, row and product order."""
     rows = sheets.mapped_rows(grid)
-    items = sheets.line_items(rows, carry_status=carry_status, fallback_year=fallback_year)
+    # Parsed once; numbering and counting read the parsed items.
+    items = pin(sheets.line_items(rows, carry_status=carry_status, fallback_year=fallback_year))
     order = [F.col("sheet_id"), F.col("row_no"), F.col("item_no")]
     numbered = number_tasks(items.withColumn("_status", F.col("task_status")), order)
     tasks = numbered.withColumn("task_status", F.col("_status")).select(

@@ -44,8 +44,10 @@ def title_matches(needles: DataFrame, titles: DataFrame) -> DataFrame:
     right = titles.select(
         *ORDER_KEY, F.col("tokens").alias("title"), "copies", "item_index", index_words(F.col("tokens")).alias("_right")
     )
-    pairs = left.withColumn("word", F.explode("_left")).join(
-        right.withColumn("word", F.explode("_right")), [*ORDER_KEY, "word"]
+    # Outer explodes: for plain ones a filter on the words is pushed below the grouping
+    # of the sets, where it computes them again.  Sets without words meet nothing.
+    pairs = left.withColumn("word", F.explode_outer("_left")).join(
+        right.withColumn("word", F.explode_outer("_right")), [*ORDER_KEY, "word"]
     )
     # A pair that shares several words is kept only where the first of them meets.
     once = pairs.where(F.col("word") == F.get(F.array_intersect("_left", "_right"), F.lit(0)))
@@ -101,7 +103,7 @@ def match_line_items(tasks: DataFrame, items: DataFrame) -> DataFrame:
     words = title_tokens(F.coalesce(F.nullif("product_name", F.lit("")), "product_link"))
     keyed = tasks.withColumns({"_sku": F.lower(F.coalesce("sku", F.lit(""))), "_tokens": words})
     wishes = keyed.select(*ORDER_KEY, "_sku", "_tokens").distinct()
-    needles = wishes.select(*ORDER_KEY, F.col("_tokens").alias("tokens")).where(F.size("tokens") > 0).distinct()
+    needles = wishes.select(*ORDER_KEY, F.col("_tokens").alias("tokens")).distinct()
     by_title = title_matches(needles, titles).withColumnsRenamed(
         {"tokens": "_tokens", "item_index": "_title_item", "score": "_score"}
     )

@@ -2,16 +2,64 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm.decontamination import contamination
 from ledgerloom.llm.quality import quality_measures
+from ledgerloom.llm.secret_scan import BASE_KINDS, scan
+from ledgerloom.llm.token_counts import count_tokens
 from ledgerloom.registry.base import Query
+from ledgerloom.session import checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+OVER_LIMIT = 1024
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > OVER_LIMIT)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"), scratch(spark, "secret-ledger"))
+
+    def n(kind: str):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(findings):
+        return F.concat_ws(",", F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start_at"], f["end_at"])))
+
+    base = F.filter("findings", lambda f: f["kind"].isin(*BASE_KINDS))
+    return found.select(
+        "doc_id", *map(n, BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans")
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_measures(table(spark, sf_dir, "documents"))
 
@@ -42,6 +90,69 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP7_ASSIGN = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+
+def _matches_sql(kind: str, number: int, pattern: str, group: int, least: int) -> str:
+    return rf"""
+    SELECT doc_id, {number} AS k, '{kind}' AS kind, m[i] AS found, g[i] AS value,
+           list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a,
+           {least} AS least
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g,
+                 string_split_regex(t, '{pattern}') AS s FROM d), unnest(range(1, len(m) + 1)) AS u(i)"""
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_matches_sql("assign", 0, OP7_ASSIGN, 2, 6)}
+    UNION ALL {_matches_sql("access", 1, "AKIA[A-Z0-9]+", 0, 20)}
+    UNION ALL {_matches_sql("hex", 2, "[0-9a-f]{24,}", 0, 24)}
+    UNION ALL {_matches_sql("pem", 3, "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=[:space:]]+-----END [A-Z ]{0,20}PRIVATE KEY-----", 0, 0)}
+    UNION ALL {_matches_sql("web_token", 4, "eyJ[A-Za-z0-9_-]{10,}[.]eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}", 0, 0)}
+), found AS (
+    SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+           string_agg(concat(kind, ':', a::BIGINT, ':', (a + length(found))::BIGINT), ',' ORDER BY a, k) AS spans,
+           string_agg(concat(kind, ':', a::BIGINT, ':', (a + length(found))::BIGINT), ',' ORDER BY a, k) FILTER (k < 3) AS base
+    FROM f WHERE length(value) >= least GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
+ALNUM_WORDS = r"regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP8_SQL = f"""
+WITH items AS (SELECT item_id, {ALNUM_WORDS} AS w FROM (SELECT item_id, {LOWER_AZ} AS lower_az FROM benchmark)),
+windows AS (
+    SELECT DISTINCT item_id::VARCHAR AS item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s
+    FROM items, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS u(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM windows),
+d AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM (SELECT doc_id, {LOWER_AZ} AS lower_az FROM documents)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+spans AS (
+    SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS s,
+           count(*) OVER (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS had
+    FROM words, sizes WHERE n = 13
+    UNION ALL
+    SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' '), n FROM d, sizes, unnest(range(1, greatest(len(w) - n + 2, 1))) AS u(i) WHERE n < 13
+), hits AS (SELECT doc_id, i, spans.n, item_id FROM spans JOIN windows ON spans.n = windows.n AND spans.s = windows.s WHERE had = spans.n),
+per_doc AS (
+    SELECT doc_id, (SELECT count(*) FROM (SELECT DISTINCT h.i + k FROM hits h, unnest(range(13)) AS v(k) WHERE h.doc_id = g.doc_id AND k < h.n)) AS n_hit,
+           list_sort(list(DISTINCT item_id)) AS ids
+    FROM hits g GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN per_doc USING (doc_id)
+"""
+
 QUERIES = [
+    Query("op2_token_counts", op2_token_counts),
+    Query("op7_secret_scan", op7_secret_scan, OP7_SQL),
+    Query("op8_decontamination", op8_decontamination, OP8_SQL),
     Query("op10_quality_rules", op10_quality_rules, OP10_SQL),
 ]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.decontamination import contamination
 from ledgerloom.llm.quality import quality_measures
 from ledgerloom.llm.secret_scan import BASE_KINDS, scan
+from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import count_tokens
 from ledgerloom.registry.base import Query
 from ledgerloom.session import checkpoint_dir
@@ -33,6 +34,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > OVER_LIMIT)
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"), scratch(spark, "secret-ledger"))
 
@@ -152,6 +157,7 @@ FROM d LEFT JOIN per_doc USING (doc_id)
 
 QUERIES = [
     Query("op2_token_counts", op2_token_counts),
+    Query("op3_simhash_near_dedup", op3_simhash_near_dedup),
     Query("op7_secret_scan", op7_secret_scan, OP7_SQL),
     Query("op8_decontamination", op8_decontamination, OP8_SQL),
     Query("op10_quality_rules", op10_quality_rules, OP10_SQL),

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.decontamination import contamination
+from ledgerloom.llm.mixing import EXPONENT, PERIOD, schedule
+from ledgerloom.llm.mixing import BLOCK_ROWS as MIXED_BLOCK
 from ledgerloom.llm.quality import quality_measures
 from ledgerloom.llm.secret_scan import BASE_KINDS, scan
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import count_tokens
+from ledgerloom.llm.token_files import read_documents, write_tokens
 from ledgerloom.registry.base import Query
 from ledgerloom.session import checkpoint_dir
 
@@ -38,6 +41,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(spark, path)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"), scratch(spark, "secret-ledger"))
 
@@ -95,6 +108,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+# Earliest deadline first in a recursive query: one row per slot, with every source's next block in a list.
+OP4_SQL = f"""
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+shares AS (
+    SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS number,
+           greatest(1, floor({PERIOD} * pow(n, {EXPONENT}) / sum(pow(n, {EXPONENT})) OVER () + 0.5)::BIGINT) AS share
+    FROM counts
+), whole AS (SELECT sum(share)::BIGINT AS q, list(share ORDER BY number) AS k, count(*) AS m FROM shares),
+slots AS (
+    SELECT -1::BIGINT AS t, 0::BIGINT AS picked, 0::BIGINT AS i, list_transform(k, lambda x: 0::BIGINT) AS following FROM whole
+    UNION ALL
+    SELECT t, picked, following[picked],
+           list_transform(following, lambda x, s: CASE WHEN s = picked THEN x + 1 ELSE x END)
+    FROM (
+        SELECT t + 1 AS t, following,
+               list_min(list_transform(following, lambda x, s:
+                   CASE WHEN x < k[s] AND (x * q) // k[s] <= t + 1 THEN (((x + 1) * q + k[s] - 1) // k[s]) * (m + 1) + s ELSE 1000000000000 END
+               )) % (m + 1) AS picked
+        FROM slots, whole WHERE t + 1 < q)
+), numbered AS (
+    SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR) NULLS FIRST, doc_id) - 1 AS r FROM documents
+), blocks AS (SELECT doc_id, source, r // {MIXED_BLOCK} AS block, r % {MIXED_BLOCK} AS place FROM numbered)
+SELECT doc_id, b.source, block::BIGINT AS block, place::BIGINT AS place, ((block * q) // share)::BIGINT AS release,
+       (((block + 1) * q + share - 1) // share)::BIGINT AS deadline, ((block // share) * q + slots.t)::BIGINT AS slot
+FROM blocks b JOIN shares s ON b.source IS NOT DISTINCT FROM s.source, whole, slots
+WHERE slots.picked = s.number AND slots.i = block % share
+"""
+
 OP7_ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -158,6 +199,8 @@ FROM d LEFT JOIN per_doc USING (doc_id)
 QUERIES = [
     Query("op2_token_counts", op2_token_counts),
     Query("op3_simhash_near_dedup", op3_simhash_near_dedup),
+    Query("op4_source_mixing", op4_source_mixing, OP4_SQL),
+    Query("op5_token_files", op5_token_files),
     Query("op7_secret_scan", op7_secret_scan, OP7_SQL),
     Query("op8_decontamination", op8_decontamination, OP8_SQL),
     Query("op10_quality_rules", op10_quality_rules, OP10_SQL),

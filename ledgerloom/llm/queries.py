@@ -16,6 +16,7 @@ from ledgerloom.llm.secret_scan import BASE_KINDS, scan
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import count_tokens
 from ledgerloom.llm.token_files import read_documents, write_tokens
+from ledgerloom.llm.toxicity import score, train
 from ledgerloom.registry.base import Query
 from ledgerloom.session import checkpoint_dir
 
@@ -78,6 +79,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_measures(table(spark, sf_dir, "documents"))
 
@@ -203,5 +209,6 @@ QUERIES = [
     Query("op5_token_files", op5_token_files),
     Query("op7_secret_scan", op7_secret_scan, OP7_SQL),
     Query("op8_decontamination", op8_decontamination, OP8_SQL),
+    Query("op9_toxicity", op9_toxicity),
     Query("op10_quality_rules", op10_quality_rules, OP10_SQL),
 ]

@@ -117,18 +117,19 @@ class Words:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first ``most`` bytes."""
         out = np.empty(len(self.starts), np.uint64)
         values, i, n = _byte_values(), 0, len(self.starts)
+        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
         while i < n:
-            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + HASH_BYTES, "right")))
+            j = max(i + 1, int(np.searchsorted(ends, self.starts[i] + HASH_BYTES, "right")))
             base = self.starts[i]
-            some = self.data[base : self.ends[j - 1]]
+            some = self.data[base : ends[j - 1]]
             up, down = _powers_for(len(some) + 1, _MULTIPLIER)
             total = np.zeros(len(some) + 1, np.uint64)
             np.cumsum(values[some] * up[: len(some)], out=total[1:])
-            s, e = self.starts[i:j] - base, self.ends[i:j] - base
+            s, e = self.starts[i:j] - base, ends[i:j] - base
             out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
             i = j
         return out

@@ -14,6 +14,7 @@ from ledgerloom.llm.mixing import BLOCK_ROWS as MIXED_BLOCK
 from ledgerloom.llm.quality import quality_measures
 from ledgerloom.llm.secret_scan import BASE_KINDS, scan
 from ledgerloom.llm.simhash import near_duplicates
+from ledgerloom.llm.substrings import remove_repeats
 from ledgerloom.llm.token_counts import count_tokens
 from ledgerloom.llm.token_files import read_documents, write_tokens
 from ledgerloom.llm.toxicity import score, train
@@ -52,6 +53,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"), scratch(spark, "secret-ledger"))
 
@@ -174,6 +179,23 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN found USING (doc_id)
 """
 
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+windows AS (
+    SELECT doc_id, i, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS had FROM words
+    WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), later AS (
+    SELECT doc_id, i FROM (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS place FROM windows WHERE had = 20) WHERE place > 1
+), gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, unnest(range(20)) AS v(k)),
+kept AS (
+    SELECT words.doc_id, count(gone.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY words.i) FILTER (gone.i IS NULL), '') AS t
+    FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY words.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 ALNUM_WORDS = r"regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -207,6 +229,7 @@ QUERIES = [
     Query("op3_simhash_near_dedup", op3_simhash_near_dedup),
     Query("op4_source_mixing", op4_source_mixing, OP4_SQL),
     Query("op5_token_files", op5_token_files),
+    Query("op6_substring_dedup", op6_substring_dedup, OP6_SQL),
     Query("op7_secret_scan", op7_secret_scan, OP7_SQL),
     Query("op8_decontamination", op8_decontamination, OP8_SQL),
     Query("op9_toxicity", op9_toxicity),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.decontamination import contamination
+from ledgerloom.llm.lm_scoring import score_texts
 from ledgerloom.llm.mixing import EXPONENT, PERIOD, schedule
 from ledgerloom.llm.mixing import BLOCK_ROWS as MIXED_BLOCK
 from ledgerloom.llm.quality import quality_measures
@@ -31,6 +32,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_texts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OVER_LIMIT = 1024
 
 
@@ -225,6 +231,7 @@ FROM d LEFT JOIN per_doc USING (doc_id)
 """
 
 QUERIES = [
+    Query("op1_lm_scoring", op1_lm_scoring),
     Query("op2_token_counts", op2_token_counts),
     Query("op3_simhash_near_dedup", op3_simhash_near_dedup),
     Query("op4_source_mixing", op4_source_mixing, OP4_SQL),

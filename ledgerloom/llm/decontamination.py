@@ -70,11 +70,9 @@ class SuffixArray:
 
     def _less(self, at: np.ndarray, bench: Benchmark, suffix: np.ndarray, length: np.ndarray, or_equal: bool) -> np.ndarray:
         """Whether the shard suffix, as far as ``length`` words, sorts before the benchmark suffix."""
-        out = np.zeros(len(at), bool)
-        open_ = np.ones(len(at), bool)
+        out, equal = np.zeros(len(at), bool), np.ones(len(at), bool)
         for k in range(int(length.max(initial=0))):
-            open_ &= length > k
-            rows = np.flatnonzero(open_)
+            rows = np.flatnonzero(equal & (length > k))
             if not len(rows):
                 break
             ended = self.left[at[rows]] <= k
@@ -83,8 +81,8 @@ class SuffixArray:
             below = ended | (mine < theirs)
             differs = ended | (mine != theirs)
             out[rows[differs]] = below[differs]
-            open_[rows[differs]] = False
-        out[open_ | (length == 0)] = or_equal
+            equal[rows[differs]] = False
+        out[equal] = or_equal
         return out
 
     def search(self, bench: Benchmark, suffix: np.ndarray, length: np.ndarray, or_equal: bool) -> np.ndarray:

@@ -44,7 +44,7 @@ REPLY = "block long, part long, n binary, dev binary, tokens long, dev_tokens lo
 
 def _zip(values: np.ndarray) -> bytes:
     """Numbers as compressed byte planes."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 

@@ -58,3 +58,27 @@ def normal_quantile(p: Column) -> Column:
 def normal_density(x: Column, mean: Column, sd: Column) -> Column:
     z = (x - mean) / sd
     return F.exp(-z * z / 2.0) / (sd * math.sqrt(2 * math.pi))
+
+
+TAIL_STEPS = 1200
+TAIL_WIDTH = 12.0
+
+
+def normal_upper_tail(z: Column) -> Column:
+    """The share of the standard normal distribution above ``z``.
+
+    For z >= 0 it is the density at z times the integral of exp(-z u - u*u/2) over u > 0, which
+    Simpson's rule gives with a small relative error however far out z is.
+    """
+    side = F.abs(z)
+    step = TAIL_WIDTH / TAIL_STEPS
+    places = F.sequence(F.lit(0), F.lit(TAIL_STEPS))
+
+    def weighed(i: Column) -> Column:
+        u = i * step
+        weight = F.when((i == 0) | (i == TAIL_STEPS), 1.0).otherwise(2.0 + 2.0 * (i % 2))
+        return weight * F.exp(-side * u - u * u / 2.0)
+
+    integral = F.aggregate(places, F.lit(0.0), lambda a, i: a + weighed(i)) * (step / 3)
+    tail = F.exp(-side * side / 2.0) / math.sqrt(2 * math.pi) * integral
+    return F.when(z >= 0, tail).otherwise(1.0 - tail)

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.cells import let, strip
 from ledgerloom.schemas import (
-    ALREADY_REFUNDED,
     HEADER_ALIASES,
-    NOT_DELIVERED,
-    OUT_OF_WINDOW,
+    REFUSAL_PHRASES,
     SUPPORT_NEEDED,
     TITLE_STOP_WORDS,
 )
@@ -25,7 +23,6 @@ RMA_RETURN_ID = r"([A-Z0-9]{6,}-?[A-Z0-9]*)"
 AMOUNT = r"([0-9][0-9,]*(?:\.\d{1,2})?)"
 # A run of three or more letters and digits that is not all digits.
 TITLE_WORD = r"(?<![a-z0-9])(?![0-9]+(?![a-z0-9]))[a-z0-9]{3,}"
-NAME_FALLBACK_CHARS = 120
 
 
 def header_key(header: Column) -> Column:
@@ -61,16 +58,18 @@ def slug_name(link: Column) -> Column:
     return title_case(F.replace(F.regexp_extract(link, SLUG, 1), F.lit("-"), F.lit(" ")))
 
 
-def slug(name: Column, length: int = 24) -> Column:
-    return F.substring(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", ""), 1, length)
+def slug(name: Column, length: int | None = None) -> Column:
+    """Lower-case letters and digits only; the first ``length`` of them if given."""
+    whole = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "")
+    return whole if length is None else F.substring(whole, 1, length)
 
 
-def products(cell: Column) -> Column:
+def products(cell: Column, name_chars: int | None = None) -> Column:
     """The distinct products of a cell as ``array<struct<link,pid,name>>``.
 
     A product is known by its id, or by its link when it has none; the first
-    mention wins.  Text without any link is one product known by name only, and a
-    blank cell has no products.
+    mention wins.  Text without any link is one product known by name only (its first
+    ``name_chars`` characters if given), and a blank cell has no products.
     """
     def key(link: Column) -> Column:
         return F.coalesce(product_id(link), link)
@@ -89,7 +88,7 @@ def products(cell: Column) -> Column:
         )
 
     def named_only(text: Column) -> Column:
-        name = F.substring(text, 1, NAME_FALLBACK_CHARS)
+        name = text if name_chars is None else F.substring(text, 1, name_chars)
         return F.when(
             text != "", F.array(F.struct(F.lit("").alias("link"), F.lit("").alias("pid"), name.alias("name")))
         )
@@ -120,15 +119,10 @@ def refusal_status(note: Column) -> Column:
     """The return status a platform's refusal text stands for; rules in order."""
     text = F.lower(F.coalesce(note, F.lit("")))
 
-    def mentions(*phrases: str) -> Column:
-        return text.rlike("|".join(phrases))
-
-    return (
-        F.when(mentions("cancel", "refunded"), ALREADY_REFUNDED)
-        .when(mentions("not delivered", "out for delivery", "shipped"), NOT_DELIVERED)
-        .when(mentions("window", "period", "expired", "eligib"), OUT_OF_WINDOW)
-        .otherwise(SUPPORT_NEEDED)
-    )
+    status = F.lit(SUPPORT_NEEDED)
+    for meaning, phrases in reversed(REFUSAL_PHRASES.items()):
+        status = F.when(text.rlike("|".join(phrases)), meaning).otherwise(status)
+    return status
 
 
 def amount_in_text(text: Column) -> Column:

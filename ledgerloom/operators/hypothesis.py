@@ -1,22 +1,16 @@
-"""Two distribution tests whose data work is distributed aggregates.
-
-Both reduce the column to one row of sums; only the last step, a p-value from that
-one row, is a small numeric helper in Python.
-"""
+"""Two distribution tests: distributed aggregates, and p-values as column expressions of the one row of sums."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.normal import normal_quantile, polynomial
+from ledgerloom.functions.normal import normal_quantile, normal_upper_tail, polynomial
 from ledgerloom.operators.positions import value_positions
 
-KS_EXACT_MAX_N = 10_000
+KS_TERMS = 20  # the 21st is below 1e-15 wherever the series is used
 SHAPIRO_CALIBRATED_MAX_N = 5_000
 RANKS_PER_ROW = 10_000
 
@@ -30,81 +24,19 @@ LARGE_N_LOG_SD = (-0.4803, -0.082676, 0.0030302)
 SMALL_N_GAMMA = (-2.273, 0.459)
 
 
-def _horner(coefficients: tuple[float, ...], x: float) -> float:
-    result = 0.0
-    for c in reversed(coefficients):
-        result = result * x + c
-    return result
-
-
-def _ks_exact_upper_tail(n: int, d: float) -> float:
-    """P(D_n >= d) by the matrix power of Marsaglia, Tsang and Wang (2003)."""
-    if d <= 0:
-        return 1.0
-    if d >= 1:
-        return 0.0
-    s = n * d * d
-    if s > 7.24 or (s > 3.76 and n > 99):
-        return 2 * math.exp(-(2.000071 + 0.331 / math.sqrt(n) + 1.409 / n) * s)
-    k = int(n * d) + 1
-    size = 2 * k - 1
-    h = k - n * d
-    step = np.tril(np.ones((size, size)), 1)
-    edge = np.array([h**i for i in range(1, size + 1)])
-    step[:, 0] -= edge
-    step[-1, :] -= edge[::-1]
-    step[-1, 0] += max(2 * h - 1, 0.0) ** size
-    for i in range(size):
-        for j in range(i + 1):
-            step[i, j] /= math.gamma(i - j + 2) if i - j < 169 else math.inf
-    # Powers are rescaled as they grow; the factors are put back at the end.
-    result, exponent, base, base_exponent, left = np.eye(size), 0, step, 0, n
-    while left:
-        if left & 1:
-            result = result @ base
-            exponent += base_exponent
-            peak = np.abs(result).max()
-            shift = int(math.floor(math.log10(peak))) if peak > 0 else 0
-            result, exponent = result / 10.0**shift, exponent + shift
-        base = base @ base
-        base_exponent *= 2
-        peak = np.abs(base).max()
-        shift = int(math.floor(math.log10(peak))) if peak > 0 else 0
-        base, base_exponent = base / 10.0**shift, base_exponent + shift
-        left >>= 1
-    log_cdf = (
-        math.log(max(result[k - 1, k - 1], 1e-300))
-        + exponent * math.log(10)
-        + math.lgamma(n + 1)
-        - n * math.log(n)
-    )
-    return float(min(max(1.0 - math.exp(log_cdf), 0.0), 1.0))
-
-
-def _ks_limit_upper_tail(t: float) -> float:
-    """Kolmogorov's limiting tail, P(sqrt(n) D_n >= t)."""
-    if t < 0.2:
-        return 1.0
-    terms = [2 * (-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101)]
-    return float(min(max(sum(terms), 0.0), 1.0))
-
-
-def _ks_p(n: pd.Series, d: pd.Series) -> pd.Series:
-    def one(count: float, distance: float) -> float | None:
-        if pd.isna(distance) or count < 1:
-            return None
-        if count <= KS_EXACT_MAX_N:
-            return _ks_exact_upper_tail(int(count), float(distance))
-        return _ks_limit_upper_tail(math.sqrt(count) * float(distance))
-
-    return pd.Series([one(a, b) for a, b in zip(n, d)], dtype="float64")
+def ks_upper_tail(n: Column, d: Column) -> Column:
+    """P(D_n >= d): Kolmogorov's limit at Stephens' corrected distance (1970), for every n."""
+    n = n.cast("double")
+    t = d * (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n))
+    terms = [F.exp(-2.0 * k * k * t * t) * (2.0 if k % 2 else -2.0) for k in range(1, KS_TERMS + 1)]
+    tail = F.aggregate(F.array(*terms), F.lit(0.0), lambda a, x: a + x)
+    return F.when((n >= 1) & d.isNotNull(), F.when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))))
 
 
 def ks_uniform(df: DataFrame, value: str) -> DataFrame:
     """Kolmogorov-Smirnov distance to the uniform distribution over [min, max]: ``n, d, p``.
 
-    The range is fitted on the same data, so p is optimistic.  p is exact up to
-    10,000 values and Kolmogorov's limit above.
+    The range is fitted on the same data, so p is optimistic.
     """
     positions = value_positions(df, value)
     number = F.col(value).cast("double")
@@ -116,35 +48,20 @@ def ks_uniform(df: DataFrame, value: str) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"),
         F.max(F.greatest(above, below)).alias("d"),
     )
-    p = F.pandas_udf(_ks_p, "double")
-    return distance.withColumn("p", p("n", "d"))
-
-
-def _normal_upper_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
+    return distance.withColumn("p", ks_upper_tail(F.col("n"), F.col("d")))
 
-def _shapiro_p(n: pd.Series, w: pd.Series) -> pd.Series:
-    def one(count: float, stat: float) -> float | None:
-        if pd.isna(stat) or count < 3:
-            return None
-        if count == 3:
-            return max(6 / math.pi * (math.asin(math.sqrt(stat)) - math.asin(math.sqrt(0.75))), 0.0)
-        if stat >= 1:
-            return 1.0
-        y = math.log(1 - stat)
-        if count <= 11:
-            gamma = _horner(SMALL_N_GAMMA, count)
-            if y >= gamma:
-                return 1e-99
-            y = -math.log(gamma - y)
-            mean, sd = _horner(SMALL_N_MEAN, count), math.exp(_horner(SMALL_N_LOG_SD, count))
-        else:
-            size = math.log(count)
-            mean, sd = _horner(LARGE_N_MEAN, size), math.exp(_horner(LARGE_N_LOG_SD, size))
-        return _normal_upper_tail((y - mean) / sd)
 
-    return pd.Series([one(a, b) for a, b in zip(n, w)], dtype="float64")
+def shapiro_upper_tail(n: Column, w: Column) -> Column:
+    """P(W <= w) by Royston's approximation; exact for three values."""
+    n = n.cast("double")
+    three = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    y = F.log(1 - w)
+    gamma = polynomial(SMALL_N_GAMMA, n)
+    small = (-F.log(gamma - y) - polynomial(SMALL_N_MEAN, n)) / F.exp(polynomial(SMALL_N_LOG_SD, n))
+    size = F.log(n)
+    large = (y - polynomial(LARGE_N_MEAN, size)) / F.exp(polynomial(LARGE_N_LOG_SD, size))
+    p = F.when(n == 3, three).when(w >= 1, 1.0).when((n <= 11) & (y >= gamma), 1e-99)
+    return F.when((n >= 3) & w.isNotNull(), p.otherwise(normal_upper_tail(F.when(n <= 11, small).otherwise(large))))
 
 
 def _expected_score_sums(positions: DataFrame, value: str) -> DataFrame:
@@ -229,9 +146,8 @@ def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
         + F.when(F.col("n") > 3, middle / F.sqrt(scale)).otherwise(0.0)
     )
     w = F.when((F.col("n") >= 3) & (F.col("ss") > 0), F.least(combined * combined / F.col("ss"), F.lit(1.0)))
-    p = F.pandas_udf(_shapiro_p, "double")
     return (
         weighed.select("n", w.alias("w"))
-        .withColumn("p", p("n", "w"))
+        .withColumn("p", shapiro_upper_tail(F.col("n"), F.col("w")))
         .withColumn("p_calibrated", F.col("n") <= SHAPIRO_CALIBRATED_MAX_N)
     )

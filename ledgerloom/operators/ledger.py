@@ -7,7 +7,7 @@ summed as decimals, so totals do not depend on the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.positions import kth_highest, ntile_maxima, ntiles, value_positions
@@ -33,7 +33,7 @@ def kth_highest_debit(tx: DataFrame, category: str, k: int = 7, method: str = "d
 
 def category_summary(tx: DataFrame) -> DataFrame:
     """Counts, total and share of all transactions per category, busiest first."""
-    everything = tx.agg(F.count(F.lit(1))).scalar()
+    everything = F.sum("txn_count").over(Window.partitionBy())  # over the categories, not the table
     return (
         tx.groupBy(F.col("narration").alias("category"))
         .agg(

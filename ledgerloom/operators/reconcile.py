@@ -1,7 +1,8 @@
 """Attaching a confirmation page's entries to the items that were submitted.
 
 An entry belongs to an item of its order by product id; else, when its text holds
-the first forty characters of the item's title.  The first entry by position wins.
+the item's title.  The first entry by position wins; of entries at one position, the
+first by its values.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from ledgerloom.operators.lookups import lookup
 from ledgerloom.schemas import FAILED, PLACED, SUPPORT_NEEDED
 
 ORDER_KEY = ["platform", "order_id"]
-TITLE_CHARS = 40
+ANCHOR_CHARS = 8
 _ENTRY = ("position", "product_id", "return_id_text", "refund_text")
 
 
@@ -28,39 +29,37 @@ def _entries(confirmations: DataFrame) -> DataFrame:
 def _by_title(rest: DataFrame, entries: DataFrame) -> DataFrame:
     """The first entry whose text contains each needle: ``platform, order_id, _needle, _entry``.
 
-    Containment without pairing items and entries: a text is cut into all its
-    pieces of the lengths its order asks for (41 at most), and the pieces meet the
-    needles in an equi-join.
+    A needle is looked for by its anchor, its first eight characters (all of a shorter
+    one): the distinct texts of an order are cut into pieces of anchor length, pieces meet
+    anchors in an equi-join, and what meets is compared whole.
     """
-    lengths = rest.groupBy(*ORDER_KEY).agg(F.collect_set(F.length("_needle")).alias("_lengths"))
-    asked = lookup(entries.select(*ORDER_KEY, "position", "_text"), lengths, ORDER_KEY, "inner")
-    sized = asked.select(*ORDER_KEY, "position", "_text", F.explode("_lengths").alias("_n"))
+    anchored = rest.withColumn("_anchor", F.substring("_needle", 1, ANCHOR_CHARS))
+    sizes = anchored.groupBy(*ORDER_KEY).agg(F.collect_set(F.length("_anchor")).alias("_sizes"))  # at most nine
+    texts = entries.groupBy(*ORDER_KEY, "_text").agg(F.min(F.struct("position", "_entry")).alias("_first"))
+    sized = lookup(texts, sizes, ORDER_KEY, "inner").withColumn("_n", F.explode("_sizes"))
     starts = F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1)
-    pieces = F.transform(starts, lambda i: F.col("_text").substr(i, F.col("_n")))
-    firsts = (
-        sized.where(F.length("_text") >= F.col("_n"))
-        .select(*ORDER_KEY, "position", F.explode(pieces).alias("_needle"))
-        .groupBy(*ORDER_KEY, "_needle")
-        .agg(F.min("position").alias("position"))
-    )
-    found = rest.join(firsts, [*ORDER_KEY, "_needle"])
-    single = entries.select(*ORDER_KEY, "position", "_entry").dropDuplicates([*ORDER_KEY, "position"])
-    return lookup(found, single, [*ORDER_KEY, "position"]).drop("position")
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.col("_text").substr(i, F.col("_n"))))
+    cut = sized.where(F.length("_text") >= F.col("_n")).select(*ORDER_KEY, "_text", "_first", F.explode(pieces).alias("_anchor"))
+    met = anchored.join(cut, [*ORDER_KEY, "_anchor"]).where(F.contains("_text", "_needle"))
+    first = met.groupBy(*ORDER_KEY, "_needle").agg(F.min("_first").alias("_first"))
+    return first.select(*ORDER_KEY, "_needle", F.col("_first._entry").alias("_entry"))
 
 
-def reconcile(submitted: DataFrame, confirmations: DataFrame) -> DataFrame:
+def reconcile(submitted: DataFrame, confirmations: DataFrame, title_chars: int | None = None) -> DataFrame:
     """Add ``entry`` (struct, null when not listed), ``confirmed_by`` and ``page_shown``.
 
-    ``submitted`` has ``platform, order_id, item_product_id, item_title``.
+    ``submitted`` has ``platform, order_id, item_product_id, item_title``.  Titles are looked
+    for whole, or by their first ``title_chars`` characters where pages cut them.
     """
     entries = _entries(confirmations)
     first = (
         entries.where(F.col("product_id").isNotNull())
         .groupBy(*ORDER_KEY, F.col("product_id").alias("item_product_id"))
-        .agg(F.min_by("_entry", "position").alias("_by_product"))
+        .agg(F.min(F.struct("position", "_entry"))["_entry"].alias("_by_product"))
     )
     pages = entries.select(*ORDER_KEY, F.lit(True).alias("_page")).distinct()
-    needle = flat(F.substring(F.coalesce("item_title", F.lit("")), 1, TITLE_CHARS))
+    title = F.coalesce("item_title", F.lit(""))
+    needle = flat(title if title_chars is None else F.substring(title, 1, title_chars))
     listed = lookup(submitted, first, [*ORDER_KEY, "item_product_id"])
     listed = listed.withColumn("_needle", F.when(F.col("_by_product").isNull(), needle))
     rest = listed.where(F.col("_needle").isNotNull()).select(*ORDER_KEY, "_needle").distinct()

@@ -1,7 +1,7 @@
 """Order sheets of unknown layout, normalised to one row per line item.
 
 Input is a raw grid ``sheet_id, row_no, cells``.  Which column means what is found
-per sheet; the header may stand on any of the first twenty rows.
+per sheet; the header is the first row that names an order id and a product link.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from ledgerloom.functions.text import header_field, products, title_case
 from ledgerloom.schemas import (
     DEFAULT_PLATFORM,
     HEADER_ALIASES,
-    HEADER_SCAN_ROWS,
     PENDING,
     REQUIRED_SHEET_FIELDS,
     RETURN_STATUSES,
@@ -37,22 +36,22 @@ class SheetError(ValueError):
     """A sheet has no usable header."""
 
 
-def header_candidates(grid: DataFrame) -> DataFrame:
-    """The first rows of each sheet with the column of each field (first wins, 0 when absent)."""
+def header_candidates(grid: DataFrame, scan_rows: int | None = None) -> DataFrame:
+    """Rows with the column of each field (first wins, 0 when absent); the first ``scan_rows`` of each sheet if given."""
     named = F.transform("cells", lambda cell: F.coalesce(header_field(cell), F.lit("")))
     places = [F.array_position("_named", F.lit(field)).alias(field) for field in SHEET_FIELDS]
     return (
-        grid.where(F.col("row_no").between(1, HEADER_SCAN_ROWS))
+        (grid if scan_rows is None else grid.where(F.col("row_no") <= scan_rows))
         .withColumn("_named", named)
         .select("sheet_id", "row_no", F.struct(*places).alias("columns"))
     )
 
 
-def sheet_layouts(grid: DataFrame) -> DataFrame:
+def sheet_layouts(grid: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """One row per sheet with a header: ``sheet_id, header_row, columns``."""
     usable = (F.col("columns.order_id") > 0) & (F.col("columns.product_link") > 0)
     return (
-        header_candidates(grid)
+        header_candidates(grid, scan_rows)
         .where(usable)
         .groupBy("sheet_id")
         .agg(F.min("row_no").alias("header_row"), F.min_by("columns", "row_no").alias("columns"))
@@ -93,12 +92,12 @@ def mapped_rows(grid: DataFrame) -> DataFrame:
 
 
 def _share(total: Column, items: Column, item_no: Column, allocate_remainder: bool) -> Column:
-    cents = (total.cast("decimal(18,2)") * 100).cast("bigint")
+    cents = (total.try_cast("decimal(18,2)") * 100).cast("bigint")
     if allocate_remainder:
         each = F.floor(cents / items)
         extra = F.when(item_no <= F.pmod(cents, items), 1).otherwise(0)
         return ((each + extra).cast("decimal(20,0)") / 100).cast("double")
-    return F.round(total.cast("decimal(18,2)") / items.cast("decimal(10,0)"), 2).cast("double")
+    return F.round(total.try_cast("decimal(18,2)") / items.cast("decimal(10,0)"), 2).cast("double")
 
 
 def line_items(
@@ -182,8 +181,10 @@ def count_mismatches(rows: DataFrame) -> DataFrame:
 
 
 def rejected_rows(rows: DataFrame) -> DataFrame:
-    """Order rows whose product cell is blank; they give no line item."""
-    return rows.where(F.size(products(F.col("product_link"))) == 0)
+    """Order rows whose product cell is blank, which give no line item, and those whose amount is no money value."""
+    total = money(F.col("amount"))
+    too_large = total.isNotNull() & total.try_cast("decimal(18,2)").isNull()
+    return rows.where((F.size(products(F.col("product_link"))) == 0) | too_large)
 
 
 def sheet_counts(items: DataFrame) -> DataFrame:

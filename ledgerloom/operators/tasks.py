@@ -17,8 +17,8 @@ def pending(tasks: DataFrame) -> DataFrame:
 
 
 def review_queue(tasks: DataFrame) -> DataFrame:
-    """Tasks a human must look at, with their label and last log line."""
-    last = F.coalesce(F.element_at(F.split(F.coalesce("log", F.lit("")), "\n"), -1), F.lit(""))
+    """Tasks a human must look at, with their label and last log line (line ends at the end of a log are none)."""
+    last = F.coalesce(F.element_at(F.split(F.regexp_replace(F.coalesce("log", F.lit("")), r"\n+\z", ""), "\n"), -1), F.lit(""))
     return tasks.where(F.col("task_status") == NEEDS_REVIEW).withColumns(
         {
             "label": task_label(*[F.col(c) for c in (*ORDER_KEY, "sku", "product_name", "product_link")]),

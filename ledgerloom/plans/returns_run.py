@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.verdicts import eligibility, flow_model, refusal_verdict
 from ledgerloom.operators.lookups import lookup
 from ledgerloom.operators.matching import match_line_items
-from ledgerloom.operators.outcomes import OUTCOME_FIELDS, merge_outcomes, outcome_log, run_report
+from ledgerloom.operators.outcomes import OUTCOME_FIELDS, merge_outcomes, outcome_log, run_orders, run_report
 from ledgerloom.operators.reconcile import confirmation_outcome, reconcile
 from ledgerloom.operators.tasks import pending
 from ledgerloom.schemas import SUPPORT_NEEDED
 from ledgerloom.session import pin
 
 ORDER_KEY = ["platform", "order_id"]
+ALREADY_PLACED = "a return of this item is on record"
+SAME_ITEM = "an earlier task of the run is for the same item"
 
 
 @dataclass(frozen=True)
@@ -25,6 +27,7 @@ class ReturnsRun:
     outcomes: DataFrame
     tasks: DataFrame
     report: DataFrame
+    orders: DataFrame  # platform, order_id, settled of every order the run touched
 
 
 def _plain(status: Column, message: Column) -> Column:
@@ -50,14 +53,19 @@ def decide(
     confirmations: DataFrame,
     today: date | Column,
     key: list[str],
+    placed: DataFrame | None = None,
+    chosen: Column | None = None,
 ) -> DataFrame:
     """One outcome per pending task: the key and the outcome fields.
 
+    No item is submitted twice: not one with a return in ``placed`` (``platform, order_id,
+    product_id``), and of tasks that mean one item only the first by key.
+
     The sheet's own dates are asked first; an ineligible task never reaches the
     platform.  After that the platform's word counts: an order it does not show, an
     item it does not have or does not take back, and last what its confirmation says.
     """
-    queue = screened(tasks, today)
+    queue = screened(tasks if chosen is None else tasks.where(chosen), today)
     skipped = queue.where(~F.col("verdict.eligible")).select(
         *key,
         _plain(F.col("verdict.status"), F.concat(F.lit("Skipped: "), F.col("verdict.reason"))).alias("outcome"),
@@ -84,8 +92,8 @@ def decide(
             F.col("platform"),
         ),
     )
-    # Read twice below, by the refused and by the submitted; matched once.
-    entered = pin(entered.drop("sku", "product_name", "product_link"))
+    # Read several times below; matched once.
+    entered = pin(_once_per_item(entered, key, placed).drop("sku", "product_name", "product_link"))
     unreachable = F.col("flow").isNull()
     refused = entered.where(unreachable | F.col("refusal").isNotNull()).select(
         *key,
@@ -104,6 +112,26 @@ def decide(
     return decided.select(*key, *[F.col(f"outcome.{f}").alias(f) for f in OUTCOME_FIELDS])
 
 
+def _once_per_item(entered: DataFrame, key: list[str], placed: DataFrame | None) -> DataFrame:
+    """Refuse tasks whose item has a return already, or is meant by an earlier task of the run."""
+    item = [*ORDER_KEY, "item_index"]
+    may_enter = F.col("flow").isNotNull() & F.col("refusal").isNull()
+    firsts = entered.where(may_enter).groupBy(*item).agg(F.min(F.struct(*key)).alias("_first"))
+    found = lookup(entered, firsts, item)
+    if placed is None:
+        found = found.withColumn("_placed", F.lit(None).cast("boolean"))
+    else:
+        known = placed.select(*ORDER_KEY, F.lower("product_id").alias("_product")).distinct().withColumn("_placed", F.lit(True))
+        found = lookup(found.withColumn("_product", F.lower("item_product_id")), known, [*ORDER_KEY, "_product"]).drop("_product")
+
+    def review(message: str) -> Column:
+        return F.struct(F.lit(SUPPORT_NEEDED).alias("status"), F.lit(message).alias("message"))
+
+    refusal = F.when(~may_enter, F.col("refusal")).when(F.col("_placed"), review(ALREADY_PLACED))
+    refusal = refusal.when(F.struct(*key) != F.col("_first"), review(SAME_ITEM))
+    return found.withColumn("refusal", refusal).drop("_first", "_placed")
+
+
 def run_returns(
     tasks: DataFrame,
     items: DataFrame,
@@ -112,13 +140,16 @@ def run_returns(
     today: date | Column,
     when: Column,
     key: list[str] | None = None,
+    placed: DataFrame | None = None,
+    chosen: Column | None = None,
 ) -> ReturnsRun:
-    """Outcomes of all pending tasks, the task table after them, and the report.
+    """Outcomes of all pending tasks - or those ``chosen`` - the task table after them, and the report.
 
-    ``key`` identifies a task and must include platform and order.
+    ``key`` identifies a task and must include platform and order; ``placed`` are returns of
+    earlier runs (``platform, order_id, product_id``).
     """
     key = [*ORDER_KEY, "row_no"] if key is None else key
     # Outcomes are durable before anything is made of them.
-    outcomes = pin(decide(tasks, items, orders, confirmations, today, key))
+    outcomes = pin(decide(tasks, items, orders, confirmations, today, key, placed, chosen))
     merged = merge_outcomes(tasks, outcome_log(outcomes, when, key), key)
-    return ReturnsRun(outcomes, merged, run_report(outcomes, merged))
+    return ReturnsRun(outcomes, merged, run_report(outcomes, merged), run_orders(outcomes, merged))

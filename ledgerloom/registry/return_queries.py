@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import verdicts
@@ -28,7 +28,7 @@ TASKS = with_views("tasks")
 # -- SQL pieces -------------------------------------------------------------------
 
 _LABEL = (
-    "concat_ws('/', platform, order_id, coalesce(nullif(sku, ''), nullif(product_name, ''), left(product_link, 48)))"
+    "concat_ws('/', platform, order_id, coalesce(nullif(sku, ''), nullif(product_name, ''), product_link))"
 )
 _REVIEW_SQL = "('Failed', 'Support Needed', 'Not yet delivered')"
 
@@ -40,12 +40,12 @@ def _settled_sql(column: str) -> str:
 _VERDICT = f"""verdicts AS (SELECT *,
   CASE WHEN return_window_days IS NULL THEN true WHEN delivery_date IS NULL OR delivery_date > t THEN false
        ELSE days >= 0 END AS eligible,
-  CASE WHEN return_window_days IS NULL THEN 'no return window on record; deferring to the platform'
-       WHEN delivery_date IS NULL THEN 'no delivery date on record, so the return window cannot be computed'
-       WHEN delivery_date > t THEN 'delivery date ' || delivery_date || ' is in the future; item not delivered yet'
-       WHEN days < 0 THEN 'return window closed: delivered ' || delivery_date || ', ' || return_window_days
-         || '-day window expired ' || -days || ' day(s) ago'
-       ELSE 'within return window, ' || days || ' day(s) remaining' END AS reason,
+  CASE WHEN return_window_days IS NULL THEN 'window unknown, the platform decides'
+       WHEN delivery_date IS NULL THEN 'delivery date unknown, window not computable'
+       WHEN delivery_date > t THEN 'delivery expected on ' || delivery_date
+       WHEN days < 0 THEN 'delivered on ' || delivery_date || ', window of ' || return_window_days
+         || ' days over since ' || -days || ' days'
+       ELSE days || ' days of the window left' END AS reason,
   CASE WHEN return_window_days IS NULL THEN NULL WHEN delivery_date IS NULL OR delivery_date > t THEN 'Not yet delivered'
        WHEN days < 0 THEN 'Out of window' END AS status,
   CASE WHEN return_window_days IS NOT NULL AND delivery_date <= t THEN days END AS days_left
@@ -75,15 +75,15 @@ def _flat_sql(expression: str) -> str:
     return f"lower(trim(regexp_replace({expression}, '\\s+', ' ', 'g')))"
 
 
-_RECONCILE = f"""c AS (SELECT *, {_flat_sql("concat_ws(' ', title, return_id_text, refund_text)")} AS block FROM confirmations),
+_RECONCILE = f"""c AS (SELECT *, {_flat_sql("concat_ws(' ', title, return_id_text, refund_text)")} AS block FROM shown_entries),
 by_product AS (SELECT s.platform, s.order_id, s.row_no, min(c.position) AS position FROM submitted s
   JOIN c ON c.platform = s.platform AND c.order_id = s.order_id AND c.product_id = s.item_product_id GROUP BY ALL),
 by_title AS (SELECT s.platform, s.order_id, s.row_no, min(c.position) AS position FROM submitted s
   JOIN c ON c.platform = s.platform AND c.order_id = s.order_id
-   AND contains(c.block, {_flat_sql("left(coalesce(s.item_title, ''), 40)")}) GROUP BY ALL),
+   AND contains(c.block, {_flat_sql("coalesce(s.item_title, '')")}) GROUP BY ALL),
 reconciled AS (SELECT s.*, coalesce(p.position, q.position) AS position,
     CASE WHEN p.position IS NOT NULL THEN 'product' WHEN q.position IS NOT NULL THEN 'title' END AS confirmed_by,
-    (s.platform, s.order_id) IN (SELECT (platform, order_id) FROM confirmations) AS page_shown
+    (s.platform, s.order_id) IN (SELECT (platform, order_id) FROM shown_entries) AS page_shown
   FROM submitted s
   LEFT JOIN by_product p ON p.platform = s.platform AND p.order_id = s.order_id AND p.row_no = s.row_no
   LEFT JOIN by_title q ON q.platform = s.platform AND q.order_id = s.order_id AND q.row_no = s.row_no)"""
@@ -110,7 +110,7 @@ _OUTCOME = f"""confirmed AS (SELECT platform, order_id, row_no,
       ELSE 'return placed via ' || platform || ' ' || flow || ' flow' END AS message
   FROM (SELECT r.platform, r.order_id, r.row_no, r.position, r.page_shown, r.flow, {_ID_SQL.replace('platform =', 'r.platform =')} AS rid,
           {_AMOUNT_SQL} AS refund
-        FROM reconciled r LEFT JOIN confirmations e
+        FROM reconciled r LEFT JOIN shown_entries e
           ON e.platform = r.platform AND e.order_id = r.order_id AND e.position = r.position))"""
 
 _REFUSAL_SQL = """CASE WHEN lower({0}) LIKE '%cancel%' OR lower({0}) LIKE '%refunded%' THEN 'Already Cancelled & Refunded'
@@ -118,26 +118,37 @@ _REFUSAL_SQL = """CASE WHEN lower({0}) LIKE '%cancel%' OR lower({0}) LIKE '%refu
     WHEN regexp_matches(lower({0}), 'window|period|expired|eligib') THEN 'Out of window' ELSE 'Support Needed' END"""
 _NOTE = "coalesce(nullif(reason_unreturnable, ''), platform || ' offers no return option for this item')"
 
-_DECIDED = f"""{_VERDICT}, queue AS (SELECT * FROM verdicts WHERE task_status = 'Pending'),
+_DECIDED = f"""{_VERDICT}, queue AS (SELECT * FROM verdicts WHERE task_status = 'Pending' AND {{chosen}}),
 {_MATCH.format(src="(SELECT * FROM queue WHERE eligible)")},
-entered AS (SELECT m.platform, m.order_id, m.row_no, m.item_index, x.product_id AS item_product_id, x.title AS item_title,
+matched AS (SELECT m.platform, m.order_id, m.row_no, m.item_index, x.product_id AS item_product_id, x.title AS item_title,
     coalesce(x.returnable, true) AS returnable, {_NOTE.replace('platform', 'm.platform')} AS note,
     CASE WHEN o.order_id IS NOT NULL THEN CASE WHEN o.has_batch_entry THEN 'batch' ELSE 'sequential' END END AS flow
   FROM matches m LEFT JOIN task_items x ON x.platform = m.platform AND x.order_id = m.order_id AND x.item_index = m.item_index
-  LEFT JOIN platform_orders o ON o.platform = m.platform AND o.order_id = m.order_id),
-submitted AS (SELECT * FROM entered WHERE flow IS NOT NULL AND item_index IS NOT NULL AND returnable),
+  LEFT JOIN reachable_orders o ON o.platform = m.platform AND o.order_id = m.order_id),
+firsts AS (SELECT platform, order_id, item_index, min(row_no) AS first_row FROM matched
+  WHERE flow IS NOT NULL AND item_index IS NOT NULL AND returnable GROUP BY ALL),
+entered AS (SELECT a.*, CASE
+    WHEN f.first_row IS NULL THEN NULL
+    WHEN (a.platform, a.order_id, lower(a.item_product_id)) IN (SELECT (platform, order_id, lower(product_id)) FROM placed_returns)
+    THEN 'a return of this item is on record'
+    WHEN a.row_no <> f.first_row THEN 'an earlier task of the run is for the same item' END AS twice
+  FROM matched a LEFT JOIN firsts f ON f.platform = a.platform AND f.order_id = a.order_id AND f.item_index = a.item_index
+    AND a.flow IS NOT NULL AND a.returnable),
+submitted AS (SELECT * FROM entered WHERE flow IS NOT NULL AND item_index IS NOT NULL AND returnable AND twice IS NULL),
 {_RECONCILE}, {_OUTCOME},
 decided AS (
   SELECT platform, order_id, row_no, status AS return_status, NULL AS return_id, CAST(NULL AS DOUBLE) AS refund_amount,
          'Skipped: ' || reason AS message FROM queue WHERE NOT eligible
   UNION ALL
   SELECT platform, order_id, row_no,
-         CASE WHEN flow IS NULL OR item_index IS NULL THEN 'Support Needed' ELSE {_REFUSAL_SQL.format('note')} END, NULL, NULL,
+         CASE WHEN flow IS NULL OR item_index IS NULL OR twice IS NOT NULL THEN 'Support Needed' ELSE {_REFUSAL_SQL.format('note')} END, NULL, NULL,
          CASE WHEN flow IS NULL THEN 'order ' || order_id || ' not reachable'
-              WHEN item_index IS NULL THEN 'line item could not be matched on the platform''s order page' ELSE note END
-  FROM entered WHERE flow IS NULL OR item_index IS NULL OR NOT returnable
+              WHEN item_index IS NULL THEN 'no item of the order fits the task' WHEN twice IS NOT NULL THEN twice ELSE note END
+  FROM entered WHERE flow IS NULL OR item_index IS NULL OR NOT returnable OR twice IS NOT NULL
   UNION ALL SELECT * FROM confirmed)"""
-RUN = with_views("tasks", "task_items", "confirmations", "platform_orders") + ", " + _DECIDED
+_RUN_VIEWS = with_views("tasks", "task_items", "shown_entries", "reachable_orders", "placed_returns")
+RUN = _RUN_VIEWS + ", " + _DECIDED.replace("{chosen}", "true")
+RUN_OF_PART = _RUN_VIEWS + ", " + _DECIDED.replace("{chosen}", "quantity <= 25")
 
 _MERGED_COLUMNS = f"""CASE WHEN known THEN {_settled_sql('n_status')} ELSE task_status END AS task_status,
   CASE WHEN known THEN nullif(n_id, '') ELSE return_id END AS return_id,
@@ -223,12 +234,12 @@ _SUBMITTED = """submitted AS (SELECT platform, order_id, item_index AS row_no, p
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reconcile.reconcile(_submitted_items(spark, sf_dir), views.confirmations(spark, sf_dir))
+    found = reconcile.reconcile(_submitted_items(spark, sf_dir), views.shown_entries(spark, sf_dir))
     return found.select(*KEY, F.col("entry.position").alias("position"), "confirmed_by", "page_shown")
 
 
 def confirmation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reconcile.reconcile(_submitted_items(spark, sf_dir), views.confirmations(spark, sf_dir))
+    found = reconcile.reconcile(_submitted_items(spark, sf_dir), views.shown_entries(spark, sf_dir))
     return reconcile.confirmation_outcome(found, F.col("flow")).select(*KEY, "outcome.*")
 
 
@@ -237,14 +248,16 @@ def line_item_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*KEY, "item_index", "match_rule", F.round("score", 9).alias("score"))
 
 
-def _run(spark: SparkSession, sf_dir: str):
+def _run(spark: SparkSession, sf_dir: str, chosen: Column | None = None):
     return run_returns(
         views.tasks(spark, sf_dir),
         views.task_items(spark, sf_dir),
-        views.platform_orders(spark, sf_dir),
-        views.confirmations(spark, sf_dir),
+        views.reachable_orders(spark, sf_dir),
+        views.shown_entries(spark, sf_dir),
         TODAY,
         F.lit(WHEN).cast("timestamp"),
+        placed=views.placed_returns(spark, sf_dir),
+        chosen=chosen,
     )
 
 
@@ -261,17 +274,14 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, delivered twice, folded into the tasks."""
+    """The events table as a stream, delivered by two runs into one log, folded into the tasks."""
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     for delivery in ("first", "again"):
         arriving = stream.event_stream(spark, sf_dir, schema=raw, pathGlobFilter="events.parquet")
-        log = stream.append_to_log(
-            views.as_outcome_events(arriving), f"{folder}/log/{delivery}", f"{folder}/{delivery}-checkpoint"
-        )
-        log.awaitTermination()
-    read = stream.read_log(spark, f"{folder}/log/first").unionByName(stream.read_log(spark, f"{folder}/log/again"))
-    return stream.current_tasks(views.customer_tasks(spark, sf_dir), read)
+        run = stream.append_to_log(views.as_outcome_events(arriving), f"{folder}/log", f"{folder}/{delivery}-checkpoint")
+        run.awaitTermination()
+    return stream.current_tasks(views.customer_tasks(spark, sf_dir), stream.read_log(spark, f"{folder}/log"))
 
 
 def failed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,27 +297,34 @@ def failed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _returned(spark: SparkSession, sf_dir: str, keep: bool) -> DataFrame:
-    line = views.table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey AS order_id", "l_partkey AS product_id", "l_suppkey", "l_linenumber", "l_returnflag"
-    )
-    placed = line.where(F.col("l_returnflag") == "R").select("order_id", "product_id")
     pick = outcomes.already_returned if keep else outcomes.not_yet_returned
-    return pick(line, placed)
+    found = pick(views.task_items(spark, sf_dir), views.placed_returns(spark, sf_dir))
+    return found.select("platform", "order_id", "item_index", "product_id")
 
 
 def next_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = views.lines(spark, sf_dir).where(F.col("l_returnflag") == "R")
-    placed = placed.select("order_id", F.expr("concat('p', l_partkey)").alias("product_id"))
-    return outcomes.next_queue(views.tasks(spark, sf_dir), placed).select(*KEY, "sku")
+    found = outcomes.next_queue(
+        views.tasks(spark, sf_dir), views.task_items(spark, sf_dir), views.placed_returns(spark, sf_dir)
+    )
+    return found.select(*KEY, "sku")
 
 
 _KEYS = "platform, order_id, row_no"
-_RETURNED_SQL = """SELECT l_orderkey AS order_id, l_partkey AS product_id, l_suppkey, l_linenumber, l_returnflag FROM lineitem
-WHERE (l_orderkey, l_partkey) {0} (SELECT (l_orderkey, l_partkey) FROM lineitem WHERE l_returnflag = 'R')"""
-_RUN_COUNTS = f"""SELECT count(*) AS attempted, count(*) FILTER (return_status = 'Placed') AS placed,
+_PLACED_KEY = "(SELECT (platform, order_id, lower(product_id)) FROM placed_returns)"
+_RETURNED_SQL = (
+    with_views("task_items", "placed_returns")
+    + f"""SELECT platform, order_id, item_index, product_id FROM task_items
+WHERE coalesce((platform, order_id, lower(product_id)) IN {_PLACED_KEY}, false) = {{0}}"""
+)
+_RUN_COUNTS = f""", touched AS (
+  SELECT bool_and(t.task_status <> 'Pending' OR d.row_no IS NOT NULL) AS settled
+  FROM tasks t LEFT JOIN decided d ON d.platform = t.platform AND d.order_id = t.order_id AND d.row_no = t.row_no
+  WHERE (t.platform, t.order_id) IN (SELECT (platform, order_id) FROM decided) GROUP BY t.platform, t.order_id)
+SELECT count(*) AS attempted, count(*) FILTER (return_status = 'Placed') AS placed,
   count(*) FILTER (return_status = 'Out of window') AS out_of_window,
   count(*) FILTER (return_status IN {_REVIEW_SQL}) AS needs_review,
-  (SELECT count(DISTINCT (platform, order_id)) FROM decided) AS orders_settled, 0::BIGINT AS orders_partial FROM decided"""
+  (SELECT count(*) FROM touched WHERE settled) AS orders_settled, (SELECT count(*) FROM touched WHERE NOT settled) AS orders_partial
+FROM decided"""
 
 QUERIES = [
     Query(
@@ -318,17 +335,17 @@ QUERIES = [
     Query(
         "review_queue",
         _tasks(lambda t: tasks.review_queue(t).select(*KEY, "label", "last_line")),
-        TASKS + f"SELECT {_KEYS}, {_LABEL} AS label, string_split(log, chr(10))[-1] AS last_line FROM tasks WHERE task_status = 'Needs human review'",
+        TASKS + f"SELECT {_KEYS}, {_LABEL} AS label, string_split(rtrim(log, chr(10)), chr(10))[-1] AS last_line FROM tasks WHERE task_status = 'Needs human review'",
     ),
     Query("task_labels", task_labels, TASKS + f"SELECT {_KEYS}, {_LABEL} AS label FROM tasks"),
     Query(
         "order_tasks",
         lambda spark, sf: tasks.of_orders(
             views.tasks(spark, sf),
-            views.platform_orders(spark, sf).where("has_batch_entry"),
+            views.reachable_orders(spark, sf).where("has_batch_entry"),
         ).select(*KEY),
-        with_views("tasks", "platform_orders")
-        + f"SELECT {_KEYS} FROM tasks WHERE order_id IN (SELECT order_id FROM platform_orders WHERE has_batch_entry)",
+        with_views("tasks", "reachable_orders")
+        + f"SELECT {_KEYS} FROM tasks WHERE order_id IN (SELECT order_id FROM reachable_orders WHERE has_batch_entry)",
     ),
     Query(
         "order_groups",
@@ -366,7 +383,7 @@ QUERIES = [
         refusal_verdicts,
         with_views("task_items") + f"""SELECT platform, order_id, item_index,
   CASE WHEN product_id IS NULL THEN 'Support Needed' WHEN NOT returnable THEN {_REFUSAL_SQL.format(_NOTE)} END AS status,
-  CASE WHEN product_id IS NULL THEN 'line item could not be matched on the platform''s order page'
+  CASE WHEN product_id IS NULL THEN 'no item of the order fits the task'
        WHEN NOT returnable THEN {_NOTE} END AS message FROM task_items""",
     ),
     Query(
@@ -400,13 +417,13 @@ QUERIES = [
     Query(
         "reconciled_confirmations",
         reconciled,
-        with_views("task_items", "confirmations")
+        with_views("task_items", "shown_entries")
         + f", {_SUBMITTED}, {_RECONCILE} SELECT {_KEYS}, position, confirmed_by, page_shown FROM reconciled",
     ),
     Query(
         "confirmation_outcomes",
         confirmation_outcomes,
-        with_views("task_items", "confirmations")
+        with_views("task_items", "shown_entries")
         + f", {_SUBMITTED}, {_RECONCILE}, {_OUTCOME} SELECT * FROM confirmed",
     ),
     Query(
@@ -440,13 +457,17 @@ SELECT {_KEYS}, {_MERGED_COLUMNS} FROM (
     '' AS n_id, CAST(NULL AS DOUBLE) AS n_refund, TIMESTAMP '{WHEN}' AS n_ts,
     '[{WHEN}] order ' || order_id[3:] || ' not reachable' AS n_log FROM tasks)""",
     ),
-    Query("not_yet_returned", lambda spark, sf: _returned(spark, sf, False), _RETURNED_SQL.format("NOT IN")),
-    Query("already_returned", lambda spark, sf: _returned(spark, sf, True), _RETURNED_SQL.format("IN")),
+    Query("not_yet_returned", lambda spark, sf: _returned(spark, sf, False), _RETURNED_SQL.format("false")),
+    Query("already_returned", lambda spark, sf: _returned(spark, sf, True), _RETURNED_SQL.format("true")),
     Query(
         "next_queue",
         next_queue,
-        TASKS + f"""SELECT {_KEYS}, sku FROM tasks WHERE task_status = 'Pending'
-AND (sku IS NULL OR (order_id, sku) NOT IN (SELECT (order_id, concat('p', l_partkey)) FROM lines WHERE l_returnflag = 'R'))""",
+        with_views("tasks", "task_items", "placed_returns")
+        + f", waiting AS (SELECT * FROM tasks WHERE task_status = 'Pending'), {_MATCH.format(src='waiting')}"
+        + f""" SELECT w.platform, w.order_id, w.row_no, w.sku FROM waiting w
+  JOIN matches m ON m.platform = w.platform AND m.order_id = w.order_id AND m.row_no = w.row_no
+  LEFT JOIN task_items x ON x.platform = m.platform AND x.order_id = m.order_id AND x.item_index = m.item_index
+WHERE NOT coalesce((x.platform, x.order_id, lower(x.product_id)) IN {_PLACED_KEY}, false)""",
     ),
     Query(
         "returns_outcomes",
@@ -463,4 +484,16 @@ AND (sku IS NULL OR (order_id, sku) NOT IN (SELECT (order_id, concat('p', l_part
   FROM tasks t LEFT JOIN decided d ON d.platform = t.platform AND d.order_id = t.order_id AND d.row_no = t.row_no)""",
     ),
     Query("returns_report", lambda spark, sf: _run(spark, sf).report, RUN + " " + _RUN_COUNTS),
+    Query(
+        "returns_orders_of_part",
+        lambda spark, sf: _run(spark, sf, F.col("quantity") <= 25).orders,
+        RUN_OF_PART + """ SELECT t.platform, t.order_id, bool_and(t.task_status <> 'Pending' OR d.row_no IS NOT NULL) AS settled
+  FROM tasks t LEFT JOIN decided d ON d.platform = t.platform AND d.order_id = t.order_id AND d.row_no = t.row_no
+  WHERE (t.platform, t.order_id) IN (SELECT (platform, order_id) FROM decided) GROUP BY ALL""",
+    ),
+    Query(
+        "returns_report_of_part",
+        lambda spark, sf: _run(spark, sf, F.col("quantity") <= 25).report,
+        RUN_OF_PART + " " + _RUN_COUNTS,
+    ),
 ]

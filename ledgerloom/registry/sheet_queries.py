@@ -35,7 +35,7 @@ def _strings(values) -> str:
 _ALIASES = ", ".join(f"('{n}', '{f}')" for f, names in HEADER_ALIASES.items() for n in names)
 _WIDE = f"""alias(name, field) AS (VALUES {_ALIASES}),
 spread AS (SELECT sheet_id, row_no, unnest(cells) AS cell, generate_subscripts(cells, 1) AS pos
-           FROM sheet_grid WHERE row_no BETWEEN 1 AND 20),
+           FROM sheet_grid),
 mapped AS (SELECT sheet_id, row_no, field, min(pos) AS pos FROM spread
            JOIN alias ON regexp_replace(lower(cell), '[^a-z0-9]', '', 'g') = name GROUP BY ALL),
 heads AS (SELECT sheet_id, row_no FROM mapped GROUP BY ALL
@@ -73,7 +73,7 @@ products AS (
     SELECT sheet_id, row_no, row_number() OVER (PARTITION BY sheet_id, row_no ORDER BY pos)::INT AS item_no,
            u AS link, pid AS sku, nullif({_title_sql(_SLUG)}, '') AS name FROM firsts
     UNION ALL
-    SELECT sheet_id, row_no, 1, '', NULL, left(trim(product_link), 120) FROM rows
+    SELECT sheet_id, row_no, 1, '', NULL, trim(product_link) FROM rows
     WHERE trim(product_link) <> '' AND len({_url_list('product_link')}) = 0),
 sizes AS (SELECT sheet_id, row_no, count(*) AS found FROM products GROUP BY ALL)"""
 
@@ -379,7 +379,7 @@ FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)""",
         "part_overlaps",
         part_overlaps,
         f"""SELECT p_partkey, round({overlap_sql('a', 'b')}, 9) AS score,
-  left(regexp_replace(lower(p_name || p_brand || p_type), '[^a-z0-9]', '', 'g'), 24) AS slug
+  regexp_replace(lower(p_name || p_brand || p_type), '[^a-z0-9]', '', 'g') AS slug
 FROM (SELECT *, {tokens_sql("p_name || ' ' || p_brand || ' ' || p_type")} AS a,
   {tokens_sql("p_type || '-' || p_name || '-www 2024 large'")} AS b FROM part)""",
     ),
@@ -394,7 +394,7 @@ WHERE order_id <> '' AND lower(trim(platform)) NOT IN ('flipkart', 'amazon')""",
         "flattened_orders",
         flattened_orders,
         """SELECT o_orderkey, sku, product_name, 'https://shop.example.com/'
-    || left(regexp_replace(lower(product_name), '[^a-z0-9]', '', 'g'), 24) || '/p/itm?pid=' || sku || '&lid=1' AS product_link,
+    || regexp_replace(lower(product_name), '[^a-z0-9]', '', 'g') || '/p/itm?pid=' || sku || '&lid=1' AS product_link,
   quantity, CAST(price * quantity AS DOUBLE) AS amount, return_window_days
 FROM (SELECT o_orderkey, concat('P', o_custkey) AS sku, o_orderpriority || ' Bag No.' || o_custkey AS product_name,
         2 AS quantity, CAST(o_totalprice AS DECIMAL(18,2)) AS price, 10 AS return_window_days FROM orders

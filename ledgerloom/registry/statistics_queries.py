@@ -72,6 +72,18 @@ _KS_SQL = """ranked AS (SELECT {x} AS x, row_number() OVER (ORDER BY {x}) AS i,
   min({x}) OVER () AS lo, max({x}) OVER () AS hi FROM {src}),
 dist AS (SELECT max(n) AS n, max(greatest(i / n - (x - lo) / (hi - lo), (x - lo) / (hi - lo) - (i - 1) / n)) AS d FROM ranked)"""
 
+# Kolmogorov's series and the normal integral as sums over numbered terms.
+_KS_P = """round(CASE WHEN d * (sqrt(n) + 0.12 + 0.11 / sqrt(n)) < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, (
+    SELECT sum(2 * power(-1, k - 1) * exp(-2 * k * k * power(d * (sqrt(n) + 0.12 + 0.11 / sqrt(n)), 2)))
+    FROM (SELECT unnest(range(1, 101)) AS k)))) END, 9)"""
+
+_SHAPIRO_P = f"""WITH tested AS ({_SHAPIRO_SQL}),
+z AS (SELECT n, w, (ln(1 - w) - {_horner_sql(hypothesis.LARGE_N_MEAN, 'ln(n)')})
+        / exp({_horner_sql(hypothesis.LARGE_N_LOG_SD, 'ln(n)')}) AS z FROM tested),
+tail AS (SELECT n, w, z, (SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * exp(-power(abs(z) + i * 0.003, 2) / 2)) * 0.001 / sqrt(2 * pi()) FROM (SELECT unnest(range(4001)) AS i)) AS t FROM z)
+SELECT n, w, CASE WHEN t = 0 THEN 0 ELSE round(CASE WHEN z >= 0 THEN t ELSE 1 - t END, 9) END AS p, n <= 5000 AS p_calibrated FROM tail"""
+
 _HISTOGRAM_SQL = """s AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM loads),
 counted AS (SELECT CAST(least(floor((x - lo) / (hi - lo) * 24), 23) AS BIGINT) AS bin, count(*) AS c FROM loads, s GROUP BY 1)
 SELECT b.bin, round(lo + b.bin * ((hi - lo) / 24), 6) AS bin_start, round(lo + (b.bin + 1) * ((hi - lo) / 24), 6) AS bin_end,
@@ -190,15 +202,21 @@ SELECT point, round(x, 4) AS x, round(exp(-power((x - mean) / sd, 2) / 2) / (sd
         ),
         "WITH "
         + _KS_SQL.format(x="l_extendedprice", src="lineitem")
-        + """ SELECT n, round(d, 9) AS d,
-  round(least(1.0, greatest(0.0, (SELECT sum(2 * power(-1, k - 1) * exp(-2 * k * k * n * d * d))
-        FROM (SELECT unnest(range(1, 101)) AS k)))), 9) AS p FROM dist""",
+        + f" SELECT n, round(d, 9) AS d, {_KS_P} AS p FROM dist",
     ),
     Query(
         "load_normality_w",
         _loads(lambda df: rounded(hypothesis.shapiro_wilk(df, AMOUNT).select("n", "w"), 8, "w")),
         _SHAPIRO_SQL,
     ),
-    Query("load_uniformity", _loads(lambda df: hypothesis.ks_uniform(df, AMOUNT))),
-    Query("load_normality", _loads(lambda df: hypothesis.shapiro_wilk(df, AMOUNT))),
+    Query(
+        "load_uniformity",
+        _loads(lambda df: rounded(hypothesis.ks_uniform(df, AMOUNT), 9, "d", "p")),
+        f"{LOADS}, {_KS_SQL.format(x='x', src='loads')} SELECT n, round(d, 9) AS d, {_KS_P} AS p FROM dist",
+    ),
+    Query(
+        "load_normality",
+        _loads(lambda df: rounded(rounded(hypothesis.shapiro_wilk(df, AMOUNT), 8, "w"), 9, "p")),
+        _SHAPIRO_P,
+    ),
 ]

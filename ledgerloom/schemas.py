@@ -139,7 +139,13 @@ HEADER_ALIASES = {
     "contact_number": ["contactnumber", "phone", "mobile", "contact"],
 }
 REQUIRED_SHEET_FIELDS = ("platform", "order_id", "product_link")
-HEADER_SCAN_ROWS = 20
+
+# Phrases of a refusal and the status each stands for, first match counts.
+REFUSAL_PHRASES = {
+    ALREADY_REFUNDED: ("cancel", "refunded"),
+    NOT_DELIVERED: ("not delivered", "out for delivery", "shipped"),
+    OUT_OF_WINDOW: ("window", "period", "expired", "eligib"),
+}
 
 # Agent-written columns, the only ones an outcome may touch.
 AGENT_WRITTEN = ("task_status", "return_id", "return_status", "refund_amount", "timestamp", "log")

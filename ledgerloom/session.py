@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +30,8 @@ def build_session(app_name: str = "ledgerloom", master: str | None = None, **con
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode session
-    that names none gets a temporary folder; on a cluster that would be a path no
+    The cluster names it in ``spark.checkpoint.dir``.  A local-mode session that names
+    none uses a folder beside its warehouse; on a cluster that could be a path no
     other machine can read, so it is an error there.
     """
     context = spark.sparkContext
@@ -43,7 +41,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if configured is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            configured = tempfile.mkdtemp(prefix="ledgerloom-")
+            configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{context.applicationId}"
         context.setCheckpointDir(configured)
         current = configured
     return configured or current

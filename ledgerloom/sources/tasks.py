@@ -117,7 +117,7 @@ def flatten_orders(orders: DataFrame, link_template: Column | None = None) -> Da
         F.col("_item.title").alias("product_name"),
         link.alias("product_link"),
         F.col("_item.quantity").cast("int").alias("quantity"),
-        (F.col("_item.amount").cast("decimal(18,2)") * F.col("_item.quantity").cast("int"))
+        (F.col("_item.amount").try_cast("decimal(18,2)") * F.col("_item.quantity").try_cast("int"))
         .cast("double")
         .alias("amount"),
         F.col("_item.return_window_days").alias("return_window_days"),

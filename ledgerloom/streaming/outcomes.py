@@ -1,9 +1,10 @@
 """A stream of outcome events folded into the task table.
 
-The stream appends events to a log with one folder per micro-batch.  A batch that
-is delivered again overwrites its own folder, and an event that comes again in a
-later batch is dropped by its id when the log is folded, so replays change nothing.
-The task table is the fold of the log over the imported tasks.
+The stream appends events to a log with one folder per run and micro-batch.  A run is
+the life of a checkpoint: Spark keeps its id there, so a batch that is delivered again
+overwrites its own folder, and another checkpoint, whose batches count from 0 again, writes
+beside it.  An event that comes again is dropped by its id when the log is folded, so replays
+change nothing.  The task table is the fold of the log over the imported tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ def append_to_log(events: DataFrame, log: str, checkpoint: str) -> StreamingQuer
     """Start the stream over everything available now; it ends by itself."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(["event_id"]).write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch.distinct().write.mode("overwrite").parquet(f"{log}/run={run}/batch_id={batch_id}")
 
     return (
         events.writeStream.foreachBatch(write_batch)
@@ -38,7 +40,7 @@ def append_to_log(events: DataFrame, log: str, checkpoint: str) -> StreamingQuer
 
 
 def read_log(spark: SparkSession, log: str, schema: StructType = OUTCOME_EVENT) -> DataFrame:
-    return spark.read.schema(schema).option("basePath", log).parquet(f"{log}/batch_id=*")
+    return spark.read.schema(schema).option("basePath", log).parquet(f"{log}/run=*/batch_id=*")
 
 
 def current_tasks(tasks: DataFrame, log: DataFrame, key: list[str] = TASK_KEY) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import normal
 from ledgerloom.operators import cohorts, hypothesis, ledger, positions, statistics
 from ledgerloom.plans.answers import transaction_answers
 from ledgerloom.sources import results, transactions
@@ -157,12 +158,36 @@ def test_distribution_tests(numbers):
     assert ks.d == pytest.approx(max((i / n - u).max(), (u - (i - 1) / n).max()), rel=1e-12)
 
 
-def test_published_p_values():
-    # Marsaglia, Tsang and Wang give P(D_10 < 0.274) = 0.6284796154565805.
-    assert hypothesis._ks_exact_upper_tail(10, 0.274) == pytest.approx(1 - 0.62847961545658, rel=1e-10)
-    # Royston's small-sample forms: W = 1 leaves no doubt, n = 3 has a closed form.
-    assert hypothesis._shapiro_p(np.array([3.0]), np.array([0.75]))[0] == pytest.approx(0.0, abs=1e-12)
-    assert 0 < hypothesis._shapiro_p(np.array([8.0]), np.array([0.9]))[0] < 1
+def test_p_values(spark):
+    def value(expression):
+        return spark.range(1).select(expression.alias("x")).first().x
+
+    def ks(n, d):
+        return value(hypothesis.ks_upper_tail(F.lit(n), F.lit(d)))
+
+    # Exact by Marsaglia, Tsang and Wang: P(D_10 < 0.274) = 0.6284796154565805.  One formula serves every n.
+    assert ks(10, 0.274) == pytest.approx(1 - 0.62847961545658, abs=0.02)
+    assert ks(10_000, 0.012) == pytest.approx(ks(10_001, 0.012), abs=1e-4)
+    assert ks(10**9, 1.36 / math.sqrt(1e9)) == pytest.approx(0.0495, abs=1e-3)
+    assert (ks(50, 0.0), ks(50, 1.0)) == (1.0, pytest.approx(0.0, abs=1e-12))
+
+    # Royston's forms: three values have a closed form, W = 1 leaves no doubt.
+    def shapiro(n, w):
+        return value(hypothesis.shapiro_upper_tail(F.lit(n), F.lit(w)))
+
+    assert shapiro(3, 0.75) == pytest.approx(0.0, abs=1e-12)
+    assert shapiro(3, 1.0) == pytest.approx(1.0, abs=1e-12)
+    assert (shapiro(20, 1.0), shapiro(2, 0.9)) == (1.0, None)
+    assert shapiro(8, 0.9) == pytest.approx(0.2893, abs=2e-3)
+    # Published for 352 load amounts, statistics rounded to four digits.
+    assert shapiro(352, 0.9493) == pytest.approx(1.22e-9, rel=0.05)
+    assert ks(352, 0.0436) == pytest.approx(0.501, abs=2e-3)
+
+
+@pytest.mark.parametrize("z", [-9.0, -2.5, 0.0, 0.3, 4.0, 12.0, 30.0])
+def test_normal_tail(spark, z):
+    found = spark.range(1).select(normal.normal_upper_tail(F.lit(z)).alias("x")).first().x
+    assert found == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-9)
 
 
 def test_runs_of_ranks_are_dealt_out(numbers, monkeypatch):

@@ -25,12 +25,13 @@ SMALL_N_GAMMA = (-2.273, 0.459)
 
 
 def ks_upper_tail(n: Column, d: Column) -> Column:
-    """P(D_n >= d): Kolmogorov's limit at Stephens' corrected distance (1970), for every n."""
+    """P(D_n >= d): Kolmogorov's limit at Vrbik's corrected distance (2018), for every n."""
     n = n.cast("double")
-    t = d * (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n))
+    plain = d * F.sqrt(n)
+    t = plain + 1 / (6 * F.sqrt(n)) + (plain - 1) / (4 * n)
     terms = [F.exp(-2.0 * k * k * t * t) * (2.0 if k % 2 else -2.0) for k in range(1, KS_TERMS + 1)]
     tail = F.aggregate(F.array(*terms), F.lit(0.0), lambda a, x: a + x)
-    return F.when((n >= 1) & d.isNotNull(), F.when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))))
+    return F.when((n >= 1) & d.isNotNull(), F.when(d >= 1, 0.0).when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))))
 
 
 def ks_uniform(df: DataFrame, value: str) -> DataFrame:

@@ -73,8 +73,9 @@ _KS_SQL = """ranked AS (SELECT {x} AS x, row_number() OVER (ORDER BY {x}) AS i,
 dist AS (SELECT max(n) AS n, max(greatest(i / n - (x - lo) / (hi - lo), (x - lo) / (hi - lo) - (i - 1) / n)) AS d FROM ranked)"""
 
 # Kolmogorov's series and the normal integral as sums over numbered terms.
-_KS_P = """round(CASE WHEN d * (sqrt(n) + 0.12 + 0.11 / sqrt(n)) < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, (
-    SELECT sum(2 * power(-1, k - 1) * exp(-2 * k * k * power(d * (sqrt(n) + 0.12 + 0.11 / sqrt(n)), 2)))
+_KS_T = "(d * sqrt(n) + 1 / (6 * sqrt(n)) + (d * sqrt(n) - 1) / (4 * n))"
+_KS_P = f"""round(CASE WHEN d >= 1 THEN 0.0 WHEN {_KS_T} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, (
+    SELECT sum(2 * power(-1, k - 1) * exp(-2 * k * k * power({_KS_T}, 2)))
     FROM (SELECT unnest(range(1, 101)) AS k)))) END, 9)"""
 
 _SHAPIRO_P = f"""WITH tested AS ({_SHAPIRO_SQL}),

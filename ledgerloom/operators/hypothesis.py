@@ -34,12 +34,12 @@ def ks_upper_tail(n: Column, d: Column) -> Column:
     return F.when((n >= 1) & d.isNotNull(), F.when(d >= 1, 0.0).when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))))
 
 
-def ks_uniform(df: DataFrame, value: str) -> DataFrame:
+def ks_uniform(df: DataFrame, value: str, positions: DataFrame | None = None) -> DataFrame:
     """Kolmogorov-Smirnov distance to the uniform distribution over [min, max]: ``n, d, p``.
 
     The range is fitted on the same data, so p is optimistic.
     """
-    positions = value_positions(df, value)
+    positions = value_positions(df, value) if positions is None else positions
     number = F.col(value).cast("double")
     ends = positions.agg(F.struct(F.min(number).alias("lo"), F.max(number).alias("hi"))).scalar()
     u = F.try_divide(number - F.col("_e.lo"), F.col("_e.hi") - F.col("_e.lo"))
@@ -95,13 +95,13 @@ def _expected_score_sums(positions: DataFrame, value: str) -> DataFrame:
     )
 
 
-def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
+def shapiro_wilk(df: DataFrame, value: str, positions: DataFrame | None = None) -> DataFrame:
     """Shapiro-Wilk test of normality: ``n, w, p, p_calibrated``.
 
     p follows Royston's approximation, calibrated up to 5,000 values; above that it
     is still given and ``p_calibrated`` is false.
     """
-    positions = value_positions(df, value)
+    positions = value_positions(df, value) if positions is None else positions
     number = F.col(value).cast("double")
     count = F.col("total")
 

@@ -23,17 +23,21 @@ def running_total(
     weight: Column | None = None,
     before: str = "before",
     total: str = "total",
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add, per row, the weight of all rows before it and the weight of all rows.
 
-    ``order_by`` must identify a row.  The weight is a whole number, 1 by default.
+    ``order_by`` must identify a row.  The weight is a whole number, 1 by default.  ``ranges`` is
+    how many tasks share the rows, by default the session's shuffle partitions.
+
+    Rows are sorted inside their range before they are pinned.  With the weight 1 a row's place
+    there is its number in its partition, so nothing is shuffled again.
     """
-    weight = F.lit(1) if weight is None else weight
-    ranges = pin(
-        df.withColumn("_weight", weight.cast("bigint"))
-        .repartitionByRange(shuffle_partitions(df.sparkSession), *order_by)
-        .withColumn("_range", F.spark_partition_id())
-    )
+    parts = ranges or shuffle_partitions(df.sparkSession)
+    dealt = df.withColumn("_weight", F.lit(1) if weight is None else weight.cast("bigint")).repartitionByRange(parts, *order_by)
+    # The number of a row in its partition is the low 33 bits of its id.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = pin(dealt.sortWithinPartitions(*order_by).select("*", F.spark_partition_id().alias("_range"), place.alias("_inside")))
     # One row per range: the unpartitioned windows below never see more than that.
     by_range = ranges.groupBy("_range").agg(F.sum("_weight").alias("_in_range"))
     offsets = by_range.select(
@@ -44,19 +48,20 @@ def running_total(
         ).alias("_offset"),
         F.sum("_in_range").over(Window.partitionBy()).alias(total),
     )
-    inside = Window.partitionBy("_range").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    if weight is not None:
+        inside = Window.partitionBy("_range").orderBy("_inside").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = ranges.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0).cast("bigint")))
     return (
-        ranges.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0).cast("bigint")))
-        .join(F.broadcast(offsets), "_range")
+        ranges.join(F.broadcast(offsets), "_range")
         .withColumn(before, F.col("_offset") + F.col("_inside"))
         .drop("_weight", "_range", "_inside", "_offset")
     )
 
 
-def row_numbers(df: DataFrame, order_by: list[Column], out: str = "row_number") -> DataFrame:
+def row_numbers(df: DataFrame, order_by: list[Column], out: str = "row_number", ranges: int | None = None) -> DataFrame:
     """ROW_NUMBER over one global, unique order."""
     return (
-        running_total(df, order_by, before="_before", total="_total")
+        running_total(df, order_by, before="_before", total="_total", ranges=ranges)
         .withColumn(out, F.col("_before") + 1)
         .drop("_before", "_total")
     )

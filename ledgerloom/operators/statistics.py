@@ -1,7 +1,8 @@
 """Descriptive statistics of one numeric column.
 
 Order statistics come from ``value_positions`` - the distinct values with their
-counts and positions - so ties cost nothing and no task sees the whole column.
+counts and positions - so ties cost nothing and no task sees the whole column.  A
+caller with several questions about one column passes them along.
 """
 
 from __future__ import annotations
@@ -53,14 +54,14 @@ def _quartiles(positions: DataFrame, value: str) -> DataFrame:
     )
 
 
-def quartiles(df: DataFrame, value: str) -> DataFrame:
+def quartiles(df: DataFrame, value: str, positions: DataFrame | None = None) -> DataFrame:
     """Q1, median and Q3 with linear interpolation, one row."""
-    return _quartiles(value_positions(df, value), value)
+    return _quartiles(value_positions(df, value) if positions is None else positions, value)
 
 
-def tukey_fences(df: DataFrame, value: str) -> DataFrame:
+def tukey_fences(df: DataFrame, value: str, positions: DataFrame | None = None) -> DataFrame:
     """Quartiles, IQR, the 1.5 IQR fences and how many values lie outside, one row."""
-    positions = value_positions(df, value)
+    positions = value_positions(df, value) if positions is None else positions
     return _count_outliers(positions, value)
 
 
@@ -100,9 +101,9 @@ def moments(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def box_plot(df: DataFrame, value: str) -> DataFrame:
+def box_plot(df: DataFrame, value: str, positions: DataFrame | None = None) -> DataFrame:
     """Quartiles, whisker ends (last values inside the fences) and number of fliers, one row."""
-    positions = value_positions(df, value)
+    positions = value_positions(df, value) if positions is None else positions
     fences = _with_fences(_quartiles(positions, value))
     number = F.col(value).cast("double")
     marked = positions.withColumn("_f", _one_row(fences, "f"))
@@ -177,13 +178,13 @@ def normal_curve(df: DataFrame, value: str, points: int = CURVE_POINTS) -> DataF
     )
 
 
-def summary_row(df: DataFrame, value: str) -> DataFrame:
+def summary_row(df: DataFrame, value: str, positions: DataFrame | None = None) -> DataFrame:
     """All fourteen summary statistics as one row, from one pass over ``df``.
 
     Moments are taken over the distinct values and their counts, which are pinned
     already: the mean first, then the central moments around it.
     """
-    positions = value_positions(df, value)
+    positions = value_positions(df, value) if positions is None else positions
     number, n = F.col(value).cast("double"), F.col("n")
     outliers = _count_outliers(positions, value)
     centre = positions.agg((F.sum(number * n) / F.sum(n))).scalar()
@@ -211,7 +212,7 @@ def summary_row(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def summary_table(df: DataFrame, value: str) -> DataFrame:
+def summary_table(df: DataFrame, value: str, positions: DataFrame | None = None) -> DataFrame:
     """The summary as ``position, statistic, value`` rows in reporting order."""
     rows = F.array(
         *[
@@ -223,4 +224,4 @@ def summary_table(df: DataFrame, value: str) -> DataFrame:
             for i, (label, name) in enumerate(SUMMARY, start=1)
         ]
     )
-    return summary_row(df, value).select(F.inline(rows))
+    return summary_row(df, value, positions).select(F.inline(rows))

@@ -27,8 +27,7 @@ def import_sheets(grid: DataFrame, carry_status: bool = True, fallback_year: int
     rows = sheets.mapped_rows(grid)
     # Parsed once; numbering and counting read the parsed items.
     items = pin(sheets.line_items(rows, carry_status=carry_status, fallback_year=fallback_year))
-    order = [F.col("sheet_id"), F.col("row_no"), F.col("item_no")]
-    numbered = number_tasks(items.withColumn("_status", F.col("task_status")), order)
+    numbered = number_tasks(items.withColumn("_status", F.col("task_status")), ["sheet_id", "row_no", "item_no"])
     tasks = numbered.withColumn("task_status", F.col("_status")).select(
         "sheet_id", "row_no", "item_no", *TASK_COLUMNS
     )

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import cohorts, ledger, positions
+from ledgerloom.plans.answers import transaction_answers
 from ledgerloom.registry import views
 from ledgerloom.registry.base import Query
 from ledgerloom.registry.views import with_views
@@ -44,6 +46,13 @@ def results_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.json(f"{folder}/categories")
 
 
+def all_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transaction answer as a set: its name and how many rows it has."""
+    answers = transaction_answers(views.transactions(spark, sf_dir), CATEGORY, declared=DECLARED)
+    counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("answer"), "n") for name, df in answers.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def money_as_double(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in (columns or ("transaction_amt",))})
 
@@ -104,7 +113,19 @@ grid AS (SELECT a.m AS cohort_month, b.m AS active_month,
          LEFT JOIN cells ON cells.cohort_month = a.m AND cells.active_month = b.m)"""
 MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if (y, m) <= (2001, 8)]
 
+_ANSWERS_SQL = TX + """, d AS (SELECT * FROM tx WHERE transaction_type = 'DEBIT'),
+months AS (SELECT count(DISTINCT txn_month) AS m FROM tx),
+firsts AS (SELECT user_id, min(txn_month) AS cohort FROM d GROUP BY 1)
+SELECT unnest(['totals', 'kth_highest_debit', 'categories', 'load_summary', 'load_statistics', 'load_normality',
+    'load_uniformity', 'load_histogram', 'load_normal_curve', 'load_box_plot', 'cohort_cells', 'cohort_matrix',
+    'top_decile_users', 'user_net_ranking']) AS answer,
+  unnest([1, (SELECT CASE WHEN count(DISTINCT transaction_amt) >= 7 THEN 1 ELSE 0 END FROM d WHERE narration = '1-URGENT'),
+    (SELECT count(DISTINCT narration) FROM tx), 1, 14, 1, 1, 24, 400, 1,
+    (SELECT count(*) FROM (SELECT DISTINCT cohort, d.txn_month FROM d JOIN firsts USING (user_id))),
+    (SELECT m FROM months), (SELECT CAST(ceil(count(DISTINCT user_id) / 10) AS BIGINT) FROM tx), (SELECT count(DISTINCT user_id) FROM tx)]) AS n"""
+
 QUERIES = [
+    Query("all_answers", all_answers, _ANSWERS_SQL),
     Query(
         "transaction_dates",
         transaction_dates,

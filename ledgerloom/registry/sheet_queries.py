@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from ledgerloom.schemas import (
     TASK_COLUMNS,
     TITLE_STOP_WORDS,
 )
+from ledgerloom.session import checkpoint_dir
 from ledgerloom.sources import tasks as task_source
 
 YEAR = 1999
@@ -236,6 +239,20 @@ def read_canonical_tasks(spark: SparkSession, sf_dir: str, unknown: bool = False
     return task_source.read_tasks(raw, YEAR)
 
 
+def written_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The imported tasks, written as a task table and read back."""
+    path = f"{checkpoint_dir(spark)}/task-table-{uuid.uuid4().hex}"
+    task_source.write_tasks(import_sheets(views.sheet_grid(spark, sf_dir), fallback_year=YEAR).tasks, path)
+    return task_source.read_written_tasks(spark, path)
+
+
+def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical columns that each sheet's header leaves out; such a sheet is no task table."""
+    layouts = sheets.sheet_layouts(views.sheet_grid(spark, sf_dir))
+    absent = F.array(*[F.when(F.col(f"columns.{f}") == 0, F.lit(f)) for f in FIELDS])
+    return layouts.select("sheet_id", F.explode(F.array_compact(absent)).alias("missing"))
+
+
 def flattened_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = views.table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey",
@@ -334,6 +351,18 @@ WHERE coalesce(trim(product_link), '') = ''""",
         lambda spark, sf: import_sheets(views.sheet_grid(spark, sf), fallback_year=YEAR).tasks,
         ITEMS + """ SELECT *, printf('T%03d', row_number() OVER (ORDER BY sheet_id, row_no, item_no)) AS task_id FROM items""",
     ),
+    Query(
+        "written_tasks",
+        written_tasks,
+        ITEMS + f""" SELECT {", ".join(f'"{c}"' for c in TASK_COLUMNS if c != "task_id")},
+    printf('T%03d', row_number() OVER (ORDER BY sheet_id, row_no, item_no)) AS task_id FROM items""",
+    ),
+    Query(
+        "missing_columns",
+        missing_columns,
+        GRID + " SELECT sheet_id, missing FROM (UNPIVOT (SELECT * EXCLUDE (header_row) FROM wide) "
+        "ON COLUMNS(* EXCLUDE (sheet_id)) INTO NAME missing VALUE pos) WHERE pos = 0",
+    ),
     Query(
         "sheet_dates",
         sheet_dates,

@@ -16,6 +16,7 @@ from ledgerloom.functions.cells import (
     task_status,
 )
 from ledgerloom.functions.text import slug
+from ledgerloom.operators.lookups import lookup
 from ledgerloom.operators.positions import row_numbers
 from ledgerloom.schemas import PENDING, PLATFORMS, RETURN_STATUSES, TASK, TASK_COLUMNS
 
@@ -87,9 +88,13 @@ def read_tasks_strictly(raw: DataFrame, fallback_year: int | None = None, report
     return read_tasks(raw, fallback_year)
 
 
-def number_tasks(items: DataFrame, order_by: list[Column]) -> DataFrame:
-    """Give the items task ids ``T001, T002, ...`` in the given, unique order, all pending."""
-    numbered = row_numbers(items.drop("task_id", "task_status"), order_by, "_number")
+def number_tasks(items: DataFrame, order_by: list[str]) -> DataFrame:
+    """Give the items task ids ``T001, T002, ...`` in the order of the given columns, which identify an item, all pending.
+
+    Only these columns are sorted; the rows receive their number by a join.
+    """
+    numbers = row_numbers(items.select(*order_by), [F.col(c) for c in order_by], "_number")
+    numbered = lookup(items.drop("task_id", "task_status"), numbers, order_by)
     return (
         numbered.withColumn("task_id", F.format_string("T%03d", "_number"))
         .withColumn("task_status", F.lit(PENDING))
@@ -97,6 +102,23 @@ def number_tasks(items: DataFrame, order_by: list[Column]) -> DataFrame:
     )
 
 
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def write_tasks(tasks: DataFrame, path: str) -> None:
+    """The task table in its canonical columns, as CSV files with a header that ``read_written_tasks`` reads."""
+    stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp")
+    columns = [stamp if c == "timestamp" else F.col(c).cast("string").alias(c) for c in TASK_COLUMNS]
+    tasks.select(*columns).write.options(**CSV, emptyValue="").mode("overwrite").csv(path)
+
+
+def read_written_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """The task table that ``write_tasks`` wrote."""
+    schema = ", ".join(f"`{c}` string" for c in TASK_COLUMNS)
+    raw = spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
+    return read_tasks(raw)
+
+
 def flatten_orders(orders: DataFrame, link_template: Column | None = None) -> DataFrame:
     """Nested orders (``items`` array) as one task row per item.
 

@@ -92,7 +92,7 @@ def test_reading_tasks(spark):
 
 
 def test_more_than_999_tasks_keep_whole_ids(spark):
-    numbered = task_source.number_tasks(spark.range(1205), [F.col("id")])
+    numbered = task_source.number_tasks(spark.range(1205), ["id"])
     assert {r.task_id for r in numbered.where("id in (0, 998, 1204)").collect()} == {"T001", "T999", "T1205"}
 
 

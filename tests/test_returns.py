@@ -294,6 +294,8 @@ def test_a_long_log_is_joined_in_pieces(spark, monkeypatch):
     df = spark.range(100).selectExpr("id % 2 AS k", "id AS at", "concat('e', id) AS entry")
     found = outcomes.log_text(df, ["k"], ["at"], "entry", "log").orderBy("k").collect()
     assert [r.log for r in found] == ["\n".join(f"e{i}" for i in range(k, 100, 2)) for k in (0, 1)]
+    tens = outcomes.log_text(df.repartition(3), ["k"], ["at"], "entry", "log", F.floor(F.col("at") / 10)).orderBy("k")
+    assert tens.collect() == found
 
 
 def test_failed_orders_and_defaults(spark):

@@ -106,10 +106,12 @@ WITH d AS (
     SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w,
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM documents
-), windows AS (
-    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS times
-    FROM d, unnest(range(1, len(w) - 3)) AS u(i)
-), repeats AS (
+), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+spans AS (
+    SELECT doc_id, i, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS had FROM words
+    WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+), windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS times FROM spans WHERE had = 5),
+repeats AS (
     SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, unnest(range(5)) AS v(k) WHERE times > 1 GROUP BY doc_id
 ), m AS (
     SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,

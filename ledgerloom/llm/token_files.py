@@ -31,28 +31,53 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.words import mix, pieces, text_array
+from ledgerloom.llm.words import LOWER, NOT_ALPHANUMERIC, SPACES, Words, mix, pieces, text_array
 from ledgerloom.operators.lookups import lookup
 
 KEYS_PER_BUCKET = 4096
 GAMMA = 2  # places of a level for each key that is left
-CACHE_WORDS = 250_000
-MAX_WORD = 64
+CACHE_WORDS = 400_000
+CACHE_PARTS = 100_000
 
-# The kinds of pre-tokens of the tokenizer's published pattern, for plain lower-case words.
-PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-LETTERS = re.compile(r"[a-z]+")
+# The pre-tokens of the tokenizer's published pattern, in words of ASCII and lower-case Latin-1 letters.
+LETTER = r"a-z\u00DF-\u00F6\u00F8-\u00FF"
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^0-9{LETTER}]+")
+PLAIN = re.compile(rf"[\x21-\x7e{LETTER}]+")
+# Bytes that byte-level tokenizers show as they are; the others follow from code point 256 on.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
-# White space to str.split() that is not ASCII, or that the library may read otherwise.
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-ASCII_SPACES = re.compile(r"[\x20\x09-\x0d]+")
+CLOSING = np.zeros(256, bool)  # marks that often close a word, where they are a pre-token of their own
+CLOSING[[ord(c) for c in ".,;:!?"]] = True
+ASCII_ALNUM = ~NOT_ALPHANUMERIC & (np.arange(256) < 0x80)
+
+
+def apart_from_closing_marks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words with closing marks split off, and how many parts the words before each have.
+
+    Only after an ASCII letter or digit or a Latin-1 letter, where the library splits too.
+    """
+    data, starts, ends = words.data, words.starts, words.ends
+    core = ends.copy()
+    for _ in range(8):
+        more = (core > starts + 1) & CLOSING[data[core - 1]]
+        if not more.any():
+            break
+        core -= more
+    last, before = data[core - 1], data[np.maximum(core - 2, 0)]
+    letter = (before == 0xC3) & (core - 2 >= starts) & (last != 0x97) & (last != 0xB7)
+    split = (core < ends) & (ASCII_ALNUM[last] | letter)
+    core = np.where(split, core, ends)
+    at = np.flatnonzero(split) + 1
+    upto = np.concatenate([[0], np.cumsum(1 + split)])
+    return np.insert(starts, at, core[split]), np.insert(core, at, ends[split]), upto
 
 
 class WordEncoder:
-    """A white-space-dropping tokenizer in one worker; ids of words it has met stay in a bounded cache.
+    """A white-space-dropping tokenizer in one worker; ids of parts it has met stay in a bounded cache.
 
     The library drops white space and looks at nothing beyond it, so a text's ids are those of
-    its words one after another.
+    its words one after another.  A batch looks up each distinct word once, by its 64-bit hash.
     """
 
     _loaded: dict[str, WordEncoder] = {}
@@ -69,7 +94,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[int, int] = {}
         self.parts: dict[str, list[int]] = {}
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, self.kind)
@@ -81,53 +106,53 @@ class WordEncoder:
         return cls._loaded[path]
 
     def _plain(self, word: str) -> list[int]:
-        """Ids of an ASCII word in lower case, by its pre-tokens."""
+        """Ids of a word of plain characters, by its pre-tokens."""
         out: list[int] = []
-        for part in PLAIN.findall(word):
+        for part in PRE_TOKEN.findall(word):
             ids = self.parts.get(part)
             if ids is None:
-                if LETTERS.fullmatch(part):
-                    ids = [t.id for t in self.tokenizer.model.tokenize(part)]
-                else:
-                    ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-                if len(part) <= MAX_WORD:
-                    self.parts[part] = ids
+                shown = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
+                ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(shown)]
             out += ids
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.number) > CACHE_WORDS:
-            self._forget()
-        if len(self.parts) > CACHE_WORDS:
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        plain = [w.isascii() and w.isprintable() and not any(s in w.lower() for s in self.special) for w in words]
+        plain = [PLAIN.fullmatch(w) and not any(s in w for s in self.special) for w in words]
         others = [w for w, p in zip(words, plain, strict=True) if not p]
         encoded = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
         found = [self._plain(w.lower()) if p else next(encoded).ids for w, p in zip(words, plain, strict=True)]
         lengths = np.array([len(f) for f in found], np.int64)
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.number.update(zip(hashes, range(len(self.number), len(self.number) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], self.kind)])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), self.kind, int(lengths.sum()))])
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by the end id, and how many each text has."""
-        split = [ASCII_SPACES.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
-        words = [w for s in split for w in s]
+        column = text_array(texts)
+        words = Words(column)
+        # The library ignores case but for special tokens, and so may the cache where there can be none.
+        folded = words if b"<|" in words.raw.tobytes() else Words(column, SPACES, LOWER)
+        first = folded.first
+        folded.starts, folded.ends, upto = apart_from_closing_marks(folded)
+        hashes, at, which = np.unique(folded.hashes(), return_index=True, return_inverse=True)
         if len(self.number) > CACHE_WORDS:
             self._forget()
-        new = list(dict.fromkeys(w for w, n in zip(words, map(self.number.get, words), strict=True) if n is None))
+        known = hashes.tolist()
+        new = [i for i, h in enumerate(known) if h not in self.number]
         if new:
-            self._learn(new)
-        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            data = folded.data.tobytes()
+            spans = zip(folded.starts[at[new]].tolist(), folded.ends[at[new]].tolist(), strict=True)
+            self._learn([known[i] for i in new], [data[a:b].decode() for a, b in spans])
+        numbers = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))[which]
         lengths = self.lengths[numbers]
-        upto = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(lengths, out=upto[1:])
-        ids = self.ids[np.repeat(self.starts[numbers] - upto[:-1], lengths) + np.arange(upto[-1])]
-        word_ends = np.cumsum([len(s) for s in split], dtype=np.int64)
-        ends = upto[word_ends]  # before the end ids are put in
-        n = np.diff(ends, prepend=0) + 1
-        return np.insert(ids, ends, end_id), n
+        upto_ids = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(lengths, out=upto_ids[1:])
+        ids = self.ids[np.repeat(self.starts[numbers] - upto_ids[:-1], lengths) + np.arange(upto_ids[-1])]
+        ends = upto_ids[upto[first[1:]]]  # before the end ids are put in
+        return np.insert(ids, ends, end_id), np.diff(ends, prepend=0) + 1
 
 
 class PerfectHash:
@@ -200,7 +225,7 @@ def write_tokens(
         encoder, part = WordEncoder.of(tokenizer), TaskContext.get().partitionId()
         last, nth = object(), 0
         for chunk, batch in enumerate(pieces(batches, "text")):
-            ids, n = encoder.encode(text_array(batch.column("text")).to_pylist(), end_id)
+            ids, n = encoder.encode(batch.column("text"), end_id)
             keys, numbers = batch.column("key").to_pylist(), []
             for k in keys:
                 nth = nth + 1 if k == last else 0

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,17 +39,17 @@ def test_documents_read_back(spark, with_null_key, written):
 def test_words_are_encoded_as_the_library_encodes_texts():
     rng = random.Random(8)
     alphabet = [*"abXYZ019 .,'!\n\t\r|<>-_éßñÉ×÷", "ſ", "K", "İ", "Σ", "ς", "中", "́", " ", " ", "　", "\x1c", "\x85", "​", "🙂"]
-    alphabet += ["<|endoftext|>", "<|startoftext|>", "'s", "'RE", " 'll", "  ", "<|ENDOFTEXT|>"]
+    alphabet += ["<|endoftext|>", "<|startoftext|>", "'s", "'RE", " 'll", "  ", "<|ENDOFTEXT|>", "é.", "a,", "é", "É!", "…", "×,"]
     encoder = token_files.WordEncoder.of(WORD_BPE)
     for _ in range(3000):
         texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(3)]
-        ids, n = encoder.encode(texts, 1)
+        ids, n = encoder.encode(pa.array(texts), 1)
         whole = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
         assert ids.tolist() == sum(whole, []) and n.tolist() == [len(w) for w in whole], texts
 
 
 def test_full_cache_changes_nothing(monkeypatch):
-    texts = ["one two three", "four five one", "two six"]
+    texts = pa.array(["one two three", "four five one", "two six"])
     whole = token_files.WordEncoder(WORD_BPE).encode(texts, 1)[0].tolist()
     monkeypatch.setattr(token_files, "CACHE_WORDS", 1)
     small = token_files.WordEncoder(WORD_BPE)

@@ -23,9 +23,10 @@ _DAY_FIRST = r"^([0-9]{1,2})/(0?[1-9]|1[0-2])/([0-9]{4})$"
 _MONTH_FIRST = r"^(0?[1-9]|1[0-2])/([0-9]{1,2})/([0-9]{4})$"
 _NAME_FIRST = r"^([A-Za-z]+)\s+([0-9]{1,2})(\s+[0-9]{4})?$"
 _ISO = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
-_NAMED = r"^[0-9]{1,2}\s+[A-Za-z]+(\s+[0-9]{4})?$"
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_STAMP = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}( [0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?)?$"
+_NAMED = r"^([0-9]{1,2})\s+([A-Za-z]+)(?:\s+([0-9]{4}))?$"
+# Found inside white space, so that a cell is read by one extraction.
+_NUMBER = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
+_STAMP = r"(?U)^\s*([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?: [0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?)?)\s*$"
 
 
 def strip(text: Column) -> Column:
@@ -67,29 +68,24 @@ def sheet_date(text: Column, default_year: Column) -> Column:
     ):
         plain = F.regexp_replace(plain, pattern, form)
 
-    def named(words: Column) -> Column:
-        day, month, year = (F.get(words, F.lit(i)) for i in range(3))
-        number = _lookup(F.lower(month), _MONTH_NUMBERS).cast("string")
-        return F.concat(F.coalesce(year, default_year.cast("string")), F.lit("-"), number, F.lit("-"), day)
-
+    # Plain branches over one repeated expression, which generated code evaluates once a row.
+    plain = F.trim(plain)
+    day, month, year = (F.regexp_extract(plain, _NAMED, i) for i in (1, 2, 3))
+    number = _lookup(F.lower(month), _MONTH_NUMBERS).cast("string")
+    year = F.coalesce(F.nullif(year, F.lit("")), default_year.cast("string"))
+    named = F.concat(year, F.lit("-"), number, F.lit("-"), day)
     # The string-to-date cast rejects impossible dates without raising.
-    return let(
-        F.trim(plain),
-        lambda t: F.when(t.rlike(_ISO), t)
-        .when(t.rlike(_NAMED), let(F.split(t, r"\s+"), named))
-        .try_cast("date"),
-    )
+    return F.when(plain.rlike(_ISO), plain).otherwise(named).try_cast("date")
 
 
 def sheet_timestamp(text: Column) -> Column:
     """``yyyy-MM-dd``, optionally with ``HH:mm`` or ``HH:mm:ss``; else null."""
-    return let(strip(text), lambda t: F.when(t.rlike(_STAMP), t.try_cast("timestamp")))
+    return F.regexp_extract(text, _STAMP, 1).try_cast("timestamp")
 
 
 def money(text: Column) -> Column:
     """A number that may carry thousands commas and a rupee sign; else null."""
-    digits = strip(F.translate(text, ",₹", ""))
-    return let(digits, lambda d: F.when(d.rlike(_NUMBER), d.try_cast("double")))
+    return F.regexp_extract(F.translate(text, ",₹", ""), _NUMBER, 1).try_cast("double")
 
 
 def first_integer(text: Column, default: Column | None = None) -> Column:

@@ -35,9 +35,9 @@ from ledgerloom.session import pin
 
 WINDOW = 20
 MINIMISER = 3  # words
-BUCKET_BYTES = 64 << 20  # packed text that a task holds at once
-AIM_BYTES = 16 << 20  # packed text a bucket is planned for
-PIECE = 8 << 20  # text handled at once before the shuffle
+BUCKET_BYTES = 16 << 20  # packed text that a task holds at once; its arrays take about twenty times that
+AIM_BYTES = 6 << 20  # packed text a bucket is planned for
+PIECE = 6 << 20  # text handled at once before the shuffle
 NULL_KEY = -(1 << 63)
 
 PACKED = "bucket long, keys array<long>, starts array<int>, counts array<int>, packed binary"

@@ -6,7 +6,7 @@ mixes maximum-likelihood estimates; the weights of each bucket of context freque
 two) are learned by expectation-maximisation on counts that were held out of the estimates: part of
 the training texts is counted apart, and for the weights its counts are taken off again.
 
-Work goes by blocks of about 8 MB of text.  A block counts its own distinct words and bigrams
+Work goes by blocks of about 4 MB of text.  A block counts its own distinct words and bigrams
 and sends each once, so a word that is everywhere is one entry a block; keys are grouped by range of
 their 64-bit hash, summed, and the sums go back to the blocks that asked, in the order in which they
 asked.  Nothing is broadcast but the weights.  All tables in between are written to the shared folder.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.words import LOWER, SPACES, Words, mix, pieces, sum_by_text
 from ledgerloom.session import checkpoint_dir
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 KEY_BYTES = 4 << 20  # text whose keys one group is planned for
 END = np.uint64(0x5BD1E9955BD1E995)
 BUCKETS = 40  # of context frequency: 0, 1, 2-3, 4-7, ...
@@ -107,7 +107,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _asked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """The distinct words (parts below 2**bits) and bigrams (from there on) of each block, with their counts."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):  # one block's bytes in Python at a time
+            row = batch.slice(i, 1).to_pylist()[0]
             tokens = Tokens(row["texts"], row["offsets"])
             learned = np.repeat(~np.array(row["held_out"], bool), tokens.counts)
             columns: list[list] = [[], [], [], [], []]

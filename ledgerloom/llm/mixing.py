@@ -3,9 +3,13 @@
 A source with ``k`` of every ``Q`` slots gives its block number i the release time
 floor(i Q / k) and the deadline ceil((i + 1) Q / k).  Earliest deadline first fills slot after
 slot with a released block; as the shares add up to Q, every block meets its deadline, so
-after any number of slots each source is less than one block away from its target.  The
-schedule repeats every Q slots, so one period - as many rows as slots - is worked out and
-every block finds its slot by arithmetic and a join to those rows.
+after any number of slots each source is less than one block away from its target.
+
+Shares are the weights in parts of 2**36, so fine that rounding moves no source by a block in any
+table, however many sources or blocks it has.  The blocks that the table holds are put into
+slots one by one - a row a block, 64 rows of the table - and every row finds its slot by a join to those.
+With a ``period`` the shares are whole blocks of so many slots instead: one period is worked out and
+repeats, and the targets are those rounded shares.
 
 All rows are kept: when a source has no blocks left its later slots stay empty, and the
 others go on in the same proportions.
@@ -23,11 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.positions import row_numbers
+from ledgerloom.session import BROADCAST_MAX_ROWS
 
 BLOCK_ROWS = 64
-PERIOD = 1000  # slots over which the shares are rounded to whole blocks
+PERIOD = 1000  # slots of the rounded schedule that OP4_SQL repeats
+PARTS = 1 << 36  # of the whole, in which shares are counted without a period; a source may have 2**27 blocks
 EXPONENT = 0.7  # target weight of a source: its rows to this power, so that small ones count for more
-MAX_SOURCES = 10_000  # bound of the tables of sources and of a period that the driver sees
+MAX_SOURCES = 10_000  # bound of the table of sources that the driver sees
 
 
 def whole_shares(weights: list[float], period: int = PERIOD) -> list[int]:
@@ -53,18 +59,40 @@ def one_period(shares: list[int]) -> list[tuple[int, int]]:
     return slots
 
 
+def every_block(shares: list[int], blocks: list[int]) -> list[list[int]]:
+    """Per source the slots of its blocks, as many as it has, earliest deadline first."""
+    period = sum(shares)
+    waiting = [(0, s, 0) for s in range(len(shares)) if blocks[s]]  # release, source, block
+    ready: list[tuple[int, int, int]] = []  # deadline, source, block
+    slots: list[list[int]] = [[] for _ in shares]
+    now = 0
+    while waiting or ready:
+        if not ready:
+            now = max(now, waiting[0][0])
+        while waiting and waiting[0][0] <= now:
+            _, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * period // shares[s]), s, i))
+        _, s, i = heapq.heappop(ready)
+        slots[s].append(now)
+        now += 1
+        if i + 1 < blocks[s]:
+            heapq.heappush(waiting, ((i + 1) * period // shares[s], s, i + 1))
+    return slots
+
+
 def schedule(
     docs: DataFrame,
     source: str = "source",
     key: str = "doc_id",
     targets: dict[str | None, float] | None = None,
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
 ) -> DataFrame:
     """``key, source, block, place, release, deadline, slot`` of every row: its block of the source, its place in that,
     and when the block is due.  The mixed order is by slot, then place.
 
     ``targets`` maps sources to weights (those it leaves out weigh as rows to the power ``EXPONENT`` do among all).
+    ``period`` rounds the weights to whole blocks of so many slots; without one they are kept.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(key).alias("key"), F.col(source).alias("source"))
@@ -74,11 +102,19 @@ def schedule(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     by_size = [r.n**EXPONENT for r in found]
     weights = [(targets or {}).get(r.source, w / sum(by_size)) for r, w in zip(found, by_size, strict=True)]
-    shares = whole_shares(weights, period) if found else []
+    shares = whole_shares(weights, PARTS if period is None else period) if found else []
     slots = sum(shares)
 
-    table = [{"number": s, "in_period": i, "at": t} for t, (s, i) in enumerate(one_period(shares))]
-    pattern = _rows(spark, table, "number int, in_period bigint, at bigint")
+    if period is None:
+        placed = every_block(shares, [-(-r.n // block_rows) for r in found])
+    else:
+        placed = [[] for _ in shares]
+        for t, (s, _) in enumerate(one_period(shares)):
+            placed[s].append(t)
+    lists = _rows(spark, [{"number": s, "at": at} for s, at in enumerate(placed)], "number int, at array<bigint>")
+    pattern = lists.select("number", F.posexplode("at").alias("in_period", "at"))
+    if sum(map(len, placed)) <= BROADCAST_MAX_ROWS:
+        pattern = F.broadcast(pattern)
     begins = [sum(r.n for r in found[:s]) for s in range(len(found))]
     sources = [{"number": s, "source": r.source, "share": k, "begins": b} for s, (r, k, b) in enumerate(zip(found, shares, begins, strict=True))]
     known = _rows(spark, sources, f"number int, source {keyed.schema['source'].dataType.simpleString()}, share bigint, begins bigint")
@@ -91,7 +127,7 @@ def schedule(
         F.expr(f"_row div {block_rows}").alias("block"),
         (F.col("_row") % block_rows).alias("place"),
     ).withColumn("in_period", F.col("block") % F.col("share"))
-    due = blocks.join(F.broadcast(pattern), ["number", "in_period"])
+    due = blocks.join(pattern, ["number", "in_period"])
     whole = F.lit(slots).cast("bigint")
     return due.select(
         F.col("key").alias(key), F.col("source").alias(source), "block", "place",

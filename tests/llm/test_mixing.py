@@ -78,3 +78,39 @@ def test_too_many_sources_are_refused(messy, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
     with pytest.raises(ValueError, match="sources"):
         mixing.schedule(messy)
+
+
+def one_block_bound(slots, weights):
+    """Every block starts less than a block from where the unrounded weights have its source."""
+    total = sum(weights)
+    for at, w in zip(slots, weights, strict=True):
+        assert all(abs(i - t * w / total) < 1.001 and abs(i + 1 - (t + 1) * w / total) < 1.001 for i, t in enumerate(at))
+    used = [t for at in slots for t in at]
+    assert len(used) == len(set(used))
+
+
+@pytest.mark.parametrize("rows", [[1_000_000, *[1000] * 2000], [500_000, *[100] * 9999], [93_091, *[8600 + i for i in range(19)]], [6_000_000, 7, 64, 65]])
+def test_every_block_is_within_a_block_of_the_unrounded_weights(rows):
+    weights, blocks = [n**mixing.EXPONENT for n in rows], [-(-n // mixing.BLOCK_ROWS) for n in rows]
+    slots = mixing.every_block(mixing.whole_shares(weights, mixing.PARTS), blocks)
+    assert [len(at) for at in slots] == blocks
+    one_block_bound(slots, weights)
+
+
+def test_schedule_keeps_small_weights_and_long_tables(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 1500}") for i in range(18_000)]
+    targets = {"hot": 0.8, "s1": 0.0001, "s2": 0.0004, "s4": 0.0003}
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    planned = mixing.schedule(docs, targets=targets, block_rows=1).select("source", "block", "slot", "release", "deadline").collect()
+    assert len(planned) == len(rows)
+    counts = {}
+    for r in planned:
+        counts[r.source] = counts.get(r.source, 0) + 1
+    sizes = sum(n**mixing.EXPONENT for n in counts.values())
+    names = sorted(counts)
+    weights = [targets.get(s, counts[s] ** mixing.EXPONENT / sizes) for s in names]
+    slots = {s: [] for s in names}
+    for r in sorted(planned, key=lambda r: r.block):
+        assert r.release <= r.slot < r.deadline
+        slots[r.source].append(r.slot)
+    one_block_bound([slots[s] for s in names], weights)

@@ -12,9 +12,10 @@ documents hold thus arrives once a task.  A bucket that still outgrows ``BUCKET_
 minimiser in very many contexts) hands its windows on singly, as two 64-bit hashes, to be
 spread over all tasks and grouped there.
 
-Defined cases: a null text has no words; a null key counts as smaller than any other; rows repeated
-under one key are one document, whose equal starts are not earlier than each other, and
-each gets the marks of the key.
+Defined cases: a null text has no words; a null key counts as smaller than any other; equal texts
+under one key, or under none, are one document, whose equal starts are not earlier than each other.  Different
+texts under one key, or under none, are documents of their own, in the order of a hash of the text (``tie``, 0 where
+the key alone tells the document).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.words import Words, mix, pieces, window_hashes, windows_in
 from ledgerloom.operators.lookups import lookup
-from ledgerloom.session import pin
+from ledgerloom.session import broadcast_if_small, pin
 
 WINDOW = 20
 MINIMISER = 3  # words
@@ -40,8 +41,8 @@ AIM_BYTES = 6 << 20  # packed text a bucket is planned for
 PIECE = 6 << 20  # text handled at once before the shuffle
 NULL_KEY = -(1 << 63)
 
-PACKED = "bucket long, keys array<long>, starts array<int>, counts array<int>, packed binary"
-MARKS = "key long, start int, n int, w1 long, w2 long"  # w1 and w2 only of windows that travel on singly
+PACKED = "bucket long, keys array<long>, ties array<long>, starts array<int>, counts array<int>, packed binary"
+MARKS = "key long, tie long, start int, n int, w1 long, w2 long"  # w1 and w2 only of windows that travel on singly
 
 
 def _sliding_least(values: np.ndarray, size: int) -> np.ndarray:
@@ -67,27 +68,27 @@ def super_kmers(words: Words, window: int, minimiser: int) -> tuple[np.ndarray,
     return starts[first], np.diff(np.append(first, len(starts))), texts[first], least[first]
 
 
-def _runs(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Single starts as key, first start and length of runs without a gap."""
-    order = np.lexsort((starts, keys))
-    keys, starts = keys[order], starts[order]
+def _runs(keys: np.ndarray, ties: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Single starts as key, tie, first start and length of runs without a gap."""
+    order = np.lexsort((starts, ties, keys))
+    keys, ties, starts = keys[order], ties[order], starts[order]
     if not len(keys):
-        return keys, starts.astype(np.int32), np.zeros(0, np.int32)
-    follows = (keys[1:] == keys[:-1]) & (starts[1:] - starts[:-1] <= 1)
+        return keys, ties, starts.astype(np.int32), np.zeros(0, np.int32)
+    follows = (keys[1:] == keys[:-1]) & (ties[1:] == ties[:-1]) & (starts[1:] - starts[:-1] <= 1)
     first = np.concatenate([[0], np.flatnonzero(~follows) + 1])
     last = np.append(first[1:], len(keys)) - 1
-    return keys[first], starts[first].astype(np.int32), (starts[last] - starts[first] + 1).astype(np.int32)
+    return keys[first], ties[first], starts[first].astype(np.int32), (starts[last] - starts[first] + 1).astype(np.int32)
 
 
 def _packed(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, buckets: int) -> Iterator[pa.RecordBatch]:
     compress = zstandard.ZstdCompressor(level=1).compress
     schema = pa.schema(
-        [("bucket", pa.int64()), ("keys", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("packed", pa.binary())]
+        [("bucket", pa.int64()), ("keys", pa.list_(pa.int64())), ("ties", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("packed", pa.binary())]
     )
     for batch in pieces(batches, "text", PIECE):
-        key = batch.column("key").to_numpy()
-        order = np.argsort(key, kind="stable")  # so that what is met first is the earliest
-        key = key[order]
+        key, tie = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
+        order = np.lexsort((tie, key))  # so that what is met first is the earliest
+        key, tie = key[order], tie[order]
         words = Words(batch.column("text").take(pa.array(order)))
         first, n, text, least = super_kmers(words, window, minimiser)
         joined, at, end = words.joined()
@@ -97,7 +98,7 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, buck
         again = []
         for i, (s, e) in enumerate(zip(begin, finish, strict=True)):
             j = seen.setdefault(joined[s:e], i)
-            if j != i and not (inside[i] == inside[j] and key[text[i]] == key[text[j]]):
+            if j != i and not (inside[i] == inside[j] and key[text[i]] == key[text[j]] and tie[text[i]] == tie[text[j]]):
                 again.append(i)
         strings = list(seen)
         kept = np.fromiter(seen.values(), np.int64, len(seen))
@@ -105,13 +106,13 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, buck
         bucket = (least[kept] % np.uint64(buckets)).astype(np.int64)
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for a, b in zip(cuts, [*cuts[1:], len(kept)], strict=True):
             some = by_bucket[a:b]
             chosen = kept[some]
             for column, value in zip(
                 rows,
-                (bucket[some[0]], key[text[chosen]], inside[chosen].astype(np.int32), n[chosen].astype(np.int32), compress(b"\n".join([strings[j] for j in some]))),
+                (bucket[some[0]], key[text[chosen]], tie[text[chosen]], inside[chosen].astype(np.int32), n[chosen].astype(np.int32), compress(b"\n".join([strings[j] for j in some]))),
                 strict=True,
             ):
                 column.append(value)
@@ -120,7 +121,7 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, buck
             # Marks need no bucket of their own.
             spread = np.repeat(again, n[again])
             step = np.arange(len(spread)) - np.repeat(np.cumsum(n[again]) - n[again], n[again])
-            marks = _runs(key[text[spread]], inside[spread] + step)
+            marks = _runs(key[text[spread]], tie[text[spread]], inside[spread] + step)
             for column, value in zip(rows, (int(mix(key[:1].view(np.uint64))[0] % np.uint64(buckets)), *marks, None), strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(rows, schema, strict=True)], schema=schema)
@@ -135,13 +136,13 @@ class _Bucket:
 
     def add(self, row: dict) -> Iterator[pa.RecordBatch]:
         raw = self.expand(row["packed"])
-        self.rows.append((raw, row["keys"], row["starts"], row["counts"]))
+        self.rows.append((raw, row["keys"], row["ties"], row["starts"]))
         self.size += len(raw)
         if self.size > BUCKET_BYTES:
             yield from self.singly()
 
     def _windows(self):
-        """All words, and per window its first word, key and start."""
+        """All words, and per window its first word, key, tie and start."""
         raw = b"\n".join(r[0] for r in self.rows)
         data = np.frombuffer(raw, np.uint8)
         breaks = np.flatnonzero(data == 0x0A)
@@ -150,18 +151,19 @@ class _Bucket:
         words = Words(strings)
         begins, string = windows_in(words.counts, self.window)
         keys = np.concatenate([r[1] for r in self.rows])
-        starts = np.concatenate([r[2] for r in self.rows]).astype(np.int64)
-        return raw, words, begins, keys[string], starts[string] + begins - words.first[string]
+        ties = np.concatenate([r[2] for r in self.rows])
+        starts = np.concatenate([r[3] for r in self.rows]).astype(np.int64)
+        return raw, words, begins, keys[string], ties[string], starts[string] + begins - words.first[string]
 
     def singly(self) -> Iterator[pa.RecordBatch]:
-        _, words, begins, keys, starts = self._windows()
+        _, words, begins, keys, ties, starts = self._windows()
         hashes = words.hashes()
         w1 = window_hashes(hashes, self.window)[begins].view(np.int64)
         w2 = window_hashes(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self.window)[begins].view(np.int64)
         self.rows, self.size, self.spilled = [], 0, True
         for i in range(0, len(begins), 100_000):
             s = slice(i, i + 100_000)
-            yield _marks(keys[s], starts[s].astype(np.int32), np.ones(len(keys[s]), np.int32), w1[s], w2[s])
+            yield _marks(keys[s], ties[s], starts[s].astype(np.int32), np.ones(len(keys[s]), np.int32), w1[s], w2[s])
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
@@ -169,7 +171,7 @@ class _Bucket:
         if self.spilled:
             yield from self.singly()
             return
-        raw, words, begins, keys, starts = self._windows()
+        raw, words, begins, keys, ties, starts = self._windows()
         hashes = window_hashes(words.hashes(), self.window)[begins]
         order = np.argsort(hashes)
         same = hashes[order][1:] == hashes[order][:-1]
@@ -177,20 +179,20 @@ class _Bucket:
         twice[1:] |= same
         twice[:-1] |= same
         chosen = order[twice]
-        chosen = chosen[np.lexsort((starts[chosen], keys[chosen]))]
-        earliest: dict[bytes, tuple[int, int]] = {}
+        chosen = chosen[np.lexsort((starts[chosen], ties[chosen], keys[chosen]))]
+        earliest: dict[bytes, tuple[int, int, int]] = {}
         later = np.zeros(len(chosen), bool)
         at, end = words.starts[begins[chosen]].tolist(), words.ends[begins[chosen] + self.window - 1].tolist()
-        for i, (s, e, place) in enumerate(zip(at, end, zip(keys[chosen].tolist(), starts[chosen].tolist(), strict=True), strict=True)):
+        for i, (s, e, place) in enumerate(zip(at, end, zip(*(x[chosen].tolist() for x in (keys, ties, starts)), strict=True), strict=True)):
             later[i] = earliest.setdefault(raw[s:e], place) != place
-        yield _marks(*_runs(keys[chosen[later]], starts[chosen[later]]))
+        yield _marks(*_runs(*(x[chosen[later]] for x in (keys, ties, starts))))
 
 
-def _marks(keys, starts, n, w1=None, w2=None) -> pa.RecordBatch:
+def _marks(keys, ties, starts, n, w1=None, w2=None) -> pa.RecordBatch:
     none = pa.nulls(len(keys), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(n, pa.int32()), none if w1 is None else pa.array(w1), none if w2 is None else pa.array(w2)],
-        ["key", "start", "n", "w1", "w2"],
+        [pa.array(keys, pa.int64()), pa.array(ties, pa.int64()), pa.array(starts, pa.int32()), pa.array(n, pa.int32()), none if w1 is None else pa.array(w1), none if w2 is None else pa.array(w2)],
+        ["key", "tie", "start", "n", "w1", "w2"],
     )
 
 
@@ -201,12 +203,13 @@ def _compared(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         for i in range(batch.num_rows):
             row = {
                 "keys": batch.column("keys")[i].values.to_numpy(),
+                "ties": batch.column("ties")[i].values.to_numpy(),
                 "starts": batch.column("starts")[i].values.to_numpy(),
                 "counts": batch.column("counts")[i].values.to_numpy(),
                 "packed": batch.column("packed")[i].as_py(),
             }
             if row["packed"] is None:
-                yield _marks(row["keys"], row["starts"], row["counts"])
+                yield _marks(row["keys"], row["ties"], row["starts"], row["counts"])
                 continue
             if (bucket := batch.column("bucket")[i].as_py()) != number:
                 yield from held.finish()
@@ -215,13 +218,22 @@ def _compared(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
     yield from held.finish()
 
 
+def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, text, key, tie``: the key as a whole number, null as ``NULL_KEY``, and what tells apart texts under one key."""
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"))
+    shared = pin(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
+    found = lookup(rows, broadcast_if_small(shared), ["key"])
+    return found.select("doc", "text", "key", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).cast("long").alias("tie"))
+
+
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
-    """``key, runs``: per key the starts (and lengths) of runs of windows whose words also start earlier.
+    """``key, tie, runs``: per document the starts (and lengths) of runs of windows whose words also start earlier."""
+    return _repeated(documents(docs, key, text), window, minimiser)
 
-    The key is a whole number, null as ``NULL_KEY``.
-    """
+
+def _repeated(docs: DataFrame, window: int, minimiser: int = MINIMISER) -> DataFrame:
     spark = docs.sparkSession
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), F.col(text).alias("text"))
+    plain = docs.select("key", "tie", "text")
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-3 * size // AIM_BYTES))
@@ -231,10 +243,10 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     found = pin(dealt.mapInArrow(lambda b: _compared(b, window), MARKS))
 
     single = found.where(F.col("w1").isNotNull())
-    earliest = single.groupBy("w1", "w2").agg(F.min(F.struct("key", "start")).alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    later = lookup(single, earliest.drop("_n"), ["w1", "w2"], "inner").where(F.struct("key", "start") != F.col("_first"))
-    marks = found.where(F.col("w1").isNull()).select("key", "start", "n").unionByName(later.select("key", "start", "n"))
-    return marks.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # no longer than the text
+    earliest = single.groupBy("w1", "w2").agg(F.min(F.struct("key", "tie", "start")).alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    later = lookup(single, earliest.drop("_n"), ["w1", "w2"], "inner").where(F.struct("key", "tie", "start") != F.col("_first"))
+    marks = found.where(F.col("w1").isNull()).select("key", "tie", "start", "n").unionByName(later.select("key", "tie", "start", "n"))
+    return marks.groupBy("key", "tie").agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # no longer than the text
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -242,11 +254,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     ``kept`` are the words left, joined by one space.
     """
-    runs = repeated_windows(docs, key, text, window)
     kind = docs.schema[key].dataType.simpleString()
-    marked = lookup(
-        docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key")), runs, ["key"]
-    ).select("doc", "text", "runs")
+    named = documents(docs, key, text)
+    marked = lookup(named, _repeated(named, window), ["key", "tie"]).select("doc", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):

@@ -58,6 +58,19 @@ def test_repeated_rows_are_one_document(spark):
     assert [r[:3] for r in cut(docs)] == [(1, 30, 0), (1, 30, 0), (2, 30, 30)]
 
 
+@pytest.mark.parametrize("key", [None, 7])
+@pytest.mark.parametrize("bound", [16 << 20, 300])
+def test_texts_that_share_a_key_keep_their_own_words(spark, monkeypatch, key, bound):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", bound)
+    passage = " ".join(f"w{i}" for i in range(25))
+    clean = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    texts = [clean[0] + " " + passage, passage + " " + clean[1], *clean[2:], clean[2]]
+    docs = spark.createDataFrame([(key, t) for t in texts] + [(9, "x " + passage)], "doc_id long, text string").repartition(3)
+    kept = sorted(r.kept for r in substrings.remove_repeats(docs).collect())
+    whole = [*clean[2:], clean[2], "x"]
+    assert kept in (sorted([*whole, texts[0], clean[1]]), sorted([*whole, clean[0], texts[1]]))
+
+
 def test_kept_text(spark):
     passage = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, f"a\n{passage}  b"), (2, f"c {passage} d")], "doc_id long, text string")

@@ -13,7 +13,8 @@ asked.  Nothing is broadcast but the weights.  All tables in between are written
 
 Defined cases: a null text is empty and has the end token alone; a null key counts as the empty string
 in the split; without training texts every word is unknown and c(w) / N is 0; a bucket that the
-held-out part never meets keeps equal weights.
+held-out part never meets keeps equal weights or, with ``nearest``, takes those of the nearest one it
+meets (contexts never seen, or where it meets none: equal weights).
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ class Model(NamedTuple):
     weights: np.ndarray  # a row per bucket: bigram, word, uniform
 
 
-def learn(docs: DataFrame, held_out: Column, dev: Column, key: str = "doc_id", text: str = "text") -> Model:
+def learn(docs: DataFrame, held_out: Column, dev: Column, key: str = "doc_id", text: str = "text", nearest: bool = False) -> Model:
     """Count the texts that ``held_out`` does not name, and learn the weights on those of them that ``dev`` names."""
     spark = docs.sparkSession
     path = f"{checkpoint_dir(spark)}/language-model-{uuid.uuid4().hex}"
@@ -188,12 +189,13 @@ def learn(docs: DataFrame, held_out: Column, dev: Column, key: str = "doc_id", t
 
     sums = replies.where(F.col("block").isNull()).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "dev_tokens", "types", "rest_types")])
     total = sums.first()
-    weights = _weights(blocks, replies, bits, path, total)
+    weights, met = _weights(blocks, replies, bits, path, total)
+    weights = nearest_weights(weights, met) if nearest else weights
     return Model(path, bits, total.tokens, total.types, weights)
 
 
-def _weights(blocks: DataFrame, replies: DataFrame, bits: int, path: str, total) -> np.ndarray:
-    """Expectation-maximisation over the held-out tokens, in buckets of their context's frequency elsewhere."""
+def _weights(blocks: DataFrame, replies: DataFrame, bits: int, path: str, total) -> tuple[np.ndarray, list[int]]:
+    """Expectation-maximisation over the held-out tokens, in buckets of their context's frequency elsewhere; the buckets met."""
 
     def estimated(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
@@ -219,7 +221,7 @@ def _weights(blocks: DataFrame, replies: DataFrame, bits: int, path: str, total)
     estimates.write.parquet(f"{path}/held-out")
     estimates = blocks.sparkSession.read.parquet(f"{path}/held-out")
 
-    weights = np.full((BUCKETS, 3), 1 / 3)
+    weights, met = np.full((BUCKETS, 3), 1 / 3), []
     p0 = 1 / (total.rest_types + 1)
     for _ in range(ROUNDS):
         a2, a1, a0 = (F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, j]]), F.col("bucket") + 1) for j in range(3))
@@ -230,11 +232,26 @@ def _weights(blocks: DataFrame, replies: DataFrame, bits: int, path: str, total)
         for r in sums:
             got = np.array([r.q2, r.q1, r.q0]) + 1e-3  # so that no weight becomes 0
             new[r.bucket] = got / got.sum()
+        met = [r.bucket for r in sums]
         change = np.abs(new - weights).max()
         weights = new
         if change < SETTLED:
             break
-    return weights
+    return weights, met
+
+
+def nearest_weights(weights: np.ndarray, met: list[int]) -> np.ndarray:
+    """The weights, those of a bucket that is not ``met`` from the nearest that is, the lower of two.
+
+    Full counts are higher than those the weights were learned on, so the most frequent contexts
+    can reach a bucket above all that were met.
+    """
+    learned = sorted(b for b in met if b)  # contexts never seen have no bigrams, so they are like no other bucket
+    out = weights.copy()
+    for b in range(1, len(weights)):
+        if learned and b not in learned:
+            out[b] = weights[min(learned, key=lambda m: (abs(m - b), m))]
+    return out
 
 
 def score(spark, model: Model, key: str = "doc_id", kind: str = "bigint") -> DataFrame:
@@ -270,12 +287,14 @@ def score(spark, model: Model, key: str = "doc_id", kind: str = "bigint") -> Dat
     return blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(scored, schema).withColumnRenamed("key", key)
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", split: int = 7, held_out: int = 2, dev: int = 3) -> DataFrame:
+def score_texts(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", split: int = 7, held_out: int = 2, dev: int = 3, nearest: bool = False
+) -> DataFrame:
     """Scores of all texts, learning from those whose CRC-32 of the key modulo ``split`` is not ``held_out``.
 
-    The weights are learned on those whose remainder is ``dev``.
+    The weights are learned on those whose remainder is ``dev``; ``nearest`` says which a bucket takes that they never meet.
     """
     rest = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % split
-    model = learn(docs, rest == held_out, rest == dev, key, text)
+    model = learn(docs, rest == held_out, rest == dev, key, text, nearest)
     found = score(docs.sparkSession, model, key, docs.schema[key].dataType.simpleString())
     return found.withColumn("train_tokens", F.lit(model.tokens).cast("long"))

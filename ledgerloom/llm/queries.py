@@ -33,7 +33,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = score_texts(table(spark, sf_dir, "documents"))
+    found = score_texts(table(spark, sf_dir, "documents"), nearest=True)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

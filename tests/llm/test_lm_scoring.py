@@ -93,3 +93,16 @@ def test_byte_planes_round_trip():
     values = np.array([0, 5, 1 << 40, 7], np.uint64)
     assert lm._unzip(lm._zip(values), np.uint64).tolist() == values.tolist()
     assert lm._unzip(lm._zip(values[:0]), np.uint64).tolist() == []
+
+
+def test_a_bucket_that_is_not_met_takes_the_nearest_weights(spark):
+    """The most frequent context moves up a power of two with the counts of the part the weights are learned on."""
+    kind = {r: [k for k in range(2000) if zlib.crc32(str(k).encode()) % 7 == r] for r in range(7)}
+    keys = [*kind[0][:60], *kind[3][:8], kind[2][0]]  # 60 ends elsewhere, 68 with the dev part: buckets 6 and 7
+    docs = spark.createDataFrame([(k, "a b c") for k in keys], "doc_id long, text string")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    model = lm.learn(docs, rest == 2, rest == 3, nearest=True)
+    assert model.weights[7].tolist() == model.weights[6].tolist() != [1 / 3] * 3
+    assert model.weights[0].tolist() == [1 / 3] * 3
+    held = lm.score_texts(docs, nearest=True).where("held_out").first()
+    assert held.score > -0.1  # every word follows from the one before

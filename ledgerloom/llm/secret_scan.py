@@ -30,7 +30,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of hex digits is one match, so shorter ones may be passed over
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,20}PRIVATE KEY-----")
-TOKEN_TRIPLE = re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+TOKEN_TRIPLE = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 
 
 def _assign(text: str) -> Iterator[tuple[int, int]]:
@@ -69,7 +69,7 @@ class Rule(NamedTuple):
 
 
 BASE_KINDS = ("assign", "access", "hex")
-RULES = (Rule("assign", 1, _assign), Rule("access", 1, _access), Rule("hex", 1, _hex), Rule("pem", 1, _pem), Rule("web_token", 1, _triple))
+RULES = (Rule("assign", 1, _assign), Rule("access", 1, _access), Rule("hex", 1, _hex), Rule("pem", 1, _pem), Rule("web_token", 2, _triple))
 
 
 def blob_id(text: str = "text") -> Column:

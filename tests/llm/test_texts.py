@@ -160,3 +160,11 @@ def test_further_rules(kind):
     text = {"pem": "x -----BEGIN RSA PRIVATE KEY-----\nMIIab+/=\n-----END RSA PRIVATE KEY----- y", "web_token": "a eyJhbGciOiJIUz.eyJzdWIiOiIxMg.abcdefghij-_ b"}
     assert list(rule.spans(text[kind])) == [(2, len(text[kind]) - 2)]
     assert list(rule.spans("plain words")) == []
+
+
+def test_web_tokens_after_a_word_character(spark, tmp_path):
+    token = "eyJhbGciOiJIUz.eyJzdWIiOiIxMg.abcdefghij-_"
+    texts = [f"a%20{token}", f"a%3D{token}", "a\\n" + token, f"a_{token}", token]
+    found = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "ledger")).collect()
+    spans = {r.doc_id: [(f.start_at, f.end_at) for f in r.findings if f.kind == "web_token"] for r in found}
+    assert spans == {i: [(t.index("eyJ"), len(t))] for i, t in enumerate(texts)}

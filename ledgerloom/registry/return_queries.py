@@ -484,6 +484,13 @@ WHERE NOT coalesce((x.platform, x.order_id, lower(x.product_id)) IN {_PLACED_KEY
   FROM tasks t LEFT JOIN decided d ON d.platform = t.platform AND d.order_id = t.order_id AND d.row_no = t.row_no)""",
     ),
     Query("returns_report", lambda spark, sf: _run(spark, sf).report, RUN + " " + _RUN_COUNTS),
+    Query(
+        "returns_orders",
+        lambda spark, sf: _run(spark, sf).orders,
+        RUN + """ SELECT t.platform, t.order_id, bool_and(t.task_status <> 'Pending' OR d.row_no IS NOT NULL) AS settled
+  FROM tasks t LEFT JOIN decided d ON d.platform = t.platform AND d.order_id = t.order_id AND d.row_no = t.row_no
+  WHERE (t.platform, t.order_id) IN (SELECT (platform, order_id) FROM decided) GROUP BY ALL""",
+    ),
     Query(
         "returns_orders_of_part",
         lambda spark, sf: _run(spark, sf, F.col("quantity") <= 25).orders,

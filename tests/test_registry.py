@@ -52,3 +52,9 @@ def test_query(spark, duck, query):
 def test_names_are_unique():
     names = [q.name for q in all_queries()]
     assert len(names) == len(set(names))
+
+
+def test_orders_of_the_whole_run_are_registered(spark):
+    built = {q.name: q for q in all_queries()}
+    whole, part = (built[n].build(spark, str(SF_DIR)) for n in ("returns_orders", "returns_orders_of_part"))
+    assert built["returns_orders"].sql and whole.count() > part.count()

@@ -7,11 +7,12 @@ summed as decimals, so totals do not depend on the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.positions import kth_highest, ntile_maxima, ntiles, value_positions
 from ledgerloom.schemas import DECLARED_CATEGORIES
+from ledgerloom.session import pin
 
 AMOUNT = "transaction_amt"
 
@@ -33,8 +34,7 @@ def kth_highest_debit(tx: DataFrame, category: str, k: int = 7, method: str = "d
 
 def category_summary(tx: DataFrame) -> DataFrame:
     """Counts, total and share of all transactions per category, busiest first."""
-    everything = F.sum("txn_count").over(Window.partitionBy())  # over the categories, not the table
-    return (
+    categories = pin(
         tx.groupBy(F.col("narration").alias("category"))
         .agg(
             F.count(F.lit(1)).alias("txn_count"),
@@ -42,8 +42,10 @@ def category_summary(tx: DataFrame) -> DataFrame:
             F.count_if(F.col("transaction_type") == "CREDIT").alias("credit_count"),
             F.sum(AMOUNT).cast("double").alias("total_amount"),
         )
-        .withColumn("pct_of_txns", F.round(100.0 * F.col("txn_count") / everything, 2))
-        .orderBy(F.col("txn_count").desc(), "category")
+    )
+    everything = categories.agg(F.sum("txn_count").alias("n")).scalar()  # partial sums over the categories, not the table
+    return categories.withColumn("pct_of_txns", F.round(100.0 * F.col("txn_count") / everything, 2)).orderBy(
+        F.col("txn_count").desc(), "category"
     )
 
 

@@ -52,6 +52,16 @@ def test_categories(tx):
     ]
 
 
+def test_share_of_categories_without_a_window(tx):
+    """The total is a partial sum over the categories: no task holds all of them."""
+    summary = ledger.category_summary(tx)
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    rows = summary.collect()
+    whole = sum(r.txn_count for r in rows)
+    assert rows and all(r.pct_of_txns == pytest.approx(100 * r.txn_count / whole, abs=0.005) for r in rows)
+
+
 def test_users_and_totals(tx):
     assert rows(ledger.table_totals(tx)) == [(9, 4, 4)]
     ranking = ledger.user_net_ranking(tx)

@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.decontamination import contamination
+from ledgerloom.llm.filter_audit import audit
 from ledgerloom.llm.lm_scoring import score_texts
 from ledgerloom.llm.mixing import EXPONENT, PERIOD, schedule
 from ledgerloom.llm.mixing import BLOCK_ROWS as MIXED_BLOCK
 from ledgerloom.llm.quality import quality_measures
 from ledgerloom.llm.secret_scan import BASE_KINDS, scan
 from ledgerloom.llm.simhash import near_duplicates
+from ledgerloom.llm.spelling import counted_words, one_in_31, spelling_groups
 from ledgerloom.llm.substrings import remove_repeats
 from ledgerloom.llm.token_counts import count_tokens
 from ledgerloom.llm.token_files import read_documents, write_tokens
 from ledgerloom.llm.toxicity import score, train
+from ledgerloom.llm.warc import read_records, write_archives
 from ledgerloom.registry.base import Query
 from ledgerloom.session import checkpoint_dir
 
@@ -99,6 +102,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_measures(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+FEWEST_OCCURRENCES = 2
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = counted_words(table(spark, sf_dir, "documents"), alter=one_in_31).where(F.col("n") >= FEWEST_OCCURRENCES)
+    return spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "web-archive")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_records(spark, path, payloads=False).select(
+        F.col("key").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP10_SQL = rf"""
@@ -232,6 +255,48 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN per_doc USING (doc_id)
 """
 
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+    SELECT d.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+           + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+           + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)::INT AS fails
+    FROM d LEFT JOIN marks ON d.doc_id = marks.doc_id
+), cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+letters(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+    SELECT concat(a.l, b.l, c.l, d.l, e.l) AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+), steps AS (
+    SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier
+    FROM orders, unnest(range(1, 6)) AS u(step)
+), r AS (
+    SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (fails & (earlier | bit) = 0), 0) AS kept,
+           coalesce(sum(n) FILTER (fails & bit > 0 AND fails & earlier = 0), 0) AS removed,
+           coalesce(sum(n) FILTER (fails & bit > 0 AND fails & earlier > 0), 0) AS redundant,
+           coalesce(sum(n) FILTER (fails = bit), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (fails & bit > 0 AND fails & earlier = 0), 0) AS good_lost,
+           coalesce(sum(toxic) FILTER (fails & bit > 0 AND fails & earlier = 0), 0) AS toxic_lost
+    FROM cells, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+OP13_SQL = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least
+    FROM pages
+), r AS (SELECT *, n >= 100 AND least IS NOT NULL AND (page_id IS NULL OR page_id > least) AS again FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN least END AS refers_to
+FROM r
+"""
+
 QUERIES = [
     Query("op1_lm_scoring", op1_lm_scoring),
     Query("op2_token_counts", op2_token_counts),
@@ -243,4 +308,7 @@ QUERIES = [
     Query("op8_decontamination", op8_decontamination, OP8_SQL),
     Query("op9_toxicity", op9_toxicity),
     Query("op10_quality_rules", op10_quality_rules, OP10_SQL),
+    Query("op11_filter_audit", op11_filter_audit, OP11_SQL),
+    Query("op12_spelling_variants", op12_spelling_variants),
+    Query("op13_warc", op13_warc, OP13_SQL),
 ]

@@ -17,6 +17,8 @@ from ledgerloom.llm.queries import QUERIES
 from .test_decontamination import brute as contaminated
 from .test_mixing import brute as mixed
 from .test_simhash import brute as components
+from .test_spelling import expected_counts as word_counts
+from .test_spelling import near as is_near
 
 SF_DIR = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="the given tables are not here")
@@ -26,7 +28,7 @@ pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="the given tables ar
 def test_query_and_sql(spark, query):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
-    for name in ("documents", "benchmark", "labels"):
+    for name in ("documents", "benchmark", "labels", "pages"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     found = query.build(spark, str(SF_DIR))
     expected = connection.execute(query.sql)
@@ -36,10 +38,32 @@ def test_query_and_sql(spark, query):
 
 
 def test_names():
-    assert [q.name.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.name.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "benchmark_decontamination", "source_mixing", "token_output"]
 
 
+def test_spelling_variants_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    counts = {w: n for w, n in word_counts(rows).items() if n >= 2}
+    found = next(q for q in QUERIES if q.name == "op12_spelling_variants").build(spark, str(SF_DIR))
+    by_length: dict[int, list[str]] = {}
+    for w in counts:
+        by_length.setdefault(len(w), []).append(w)
+    expected = {}
+    for w, n in counts.items():
+        around = [v for k in (-1, 0, 1) for v in by_length.get(len(w) + k, []) if is_near(w, v)]
+        best = min(around, key=lambda v: (-counts[v], v), default=None)
+        form = best if best and counts[best] >= 10 * n else None
+        expected[w] = (form, n, len(around), counts.get(form))
+    roots = {}
+    for w in expected:
+        roots[w] = w
+        while expected[roots[w]][0]:
+            roots[w] = expected[roots[w]][0]
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(str((w, f, roots[w], n, k, m)) for w, (f, n, k, m) in expected.items())
+    assert any(f for f, *_ in expected.values())
+
+
 def test_pipeline_against_brute_force(spark):
     sf_dir = str(SF_DIR)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join to ``right``, which has at most one row per key; null keys match nothing.
 
@@ -16,8 +24,9 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     reduced - right side is shuffled again.
     """
     extra = [c for c in right.columns if c not in keys]
-    known = right.dropna(subset=keys).select(F.struct(*keys).alias("_key"), *extra)
-    return left.withColumn("_key", F.struct(*keys)).join(known, "_key", how).drop("_key")
+    key = unused("_key", left, right)
+    known = right.dropna(subset=keys).select(F.struct(*keys).alias(key), *extra)
+    return left.withColumn(key, F.struct(*keys)).join(known, key, how).drop(key)
 
 
 def matching(left: DataFrame, right: DataFrame, keys: list[str], keep: bool = True) -> DataFrame:

@@ -4,123 +4,112 @@ Rules, first that applies: exactly one item carries the task's product id; the b
 title overlap is at least 0.45 and leads the runner-up by at least 0.15; the order
 has exactly one item; else no item.
 
-An order may hold a third of all rows, so tasks are never paired with all items of
-their order.  Ids are matched by an equi-join to counted ids.  Titles are compared
-as distinct word sets, and only sets that can overlap by 0.30 or more are compared:
-a runner-up below that can never come within 0.15 of a best of at least 0.45.  Two
-sets that overlap by a share t have a common word among the first
-``size - ceil(t * size) + 1`` words of each, in any one order of words (prefix
-filtering, Bayardo et al. 2007); word sets are sorted already.
+The items of an ordinary order - ``FEW`` at most - are one row, which every task of the order reads.  An order
+may also hold a third of all rows.  There nothing is gathered: ids are matched by an equi-join to counted ids, and
+titles, as distinct word sets, by a similarity join with a falling threshold (``set_matching``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import overlap, title_tokens
-from ledgerloom.operators.lookups import lookup
+from ledgerloom.functions.cells import let
+from ledgerloom.functions.text import title_tokens
+from ledgerloom.operators.lookups import lookup, matching, unused
+from ledgerloom.operators.set_matching import MIN_LEAD, MIN_SCORE, clear_winners
+from ledgerloom.session import pin
 
 ORDER_KEY = ["platform", "order_id"]
-MIN_SCORE = 0.45
-MIN_LEAD = 0.15
-# A little under 0.30, so that rounding can only admit more candidates.
-CANDIDATE_SCORE = 0.2999
+FEW = 64  # items of an order that are read as one row; more are matched by joins, with the same result
 
 
-def index_words(tokens: Column) -> Column:
-    """The words under which a sorted set must be filed to be found by any set close enough."""
-    size = F.size(tokens)
-    return F.slice(tokens, 1, (size - F.ceil(size * CANDIDATE_SCORE) + 1).cast("int"))
+def _wish(tasks: DataFrame) -> tuple[Column, Column]:
+    """The product id and the words a task gives."""
+    words = title_tokens(F.coalesce(F.nullif("product_name", F.lit("")), "product_link"))
+    return F.lower(F.coalesce("sku", F.lit(""))), words
 
 
-def title_matches(needles: DataFrame, titles: DataFrame) -> DataFrame:
-    """Each order's needle word sets with their clear winner among its title word sets.
+def _rule(by_id: Column, by_words: Column, alone: Column) -> Column:
+    return F.when(by_id, "sku").when(by_words, "title").when(alone, "single").otherwise("none")
 
-    ``needles`` and ``titles`` hold distinct ``platform, order_id, tokens``; a title
-    set also has ``copies`` (items with it) and ``item_index``.
-    """
-    left = needles.select(*ORDER_KEY, F.col("tokens").alias("needle"), index_words(F.col("tokens")).alias("_left"))
-    right = titles.select(
-        *ORDER_KEY, F.col("tokens").alias("title"), "copies", "item_index", index_words(F.col("tokens")).alias("_right")
-    )
-    # Outer explodes: for plain ones a filter on the words is pushed below the grouping
-    # of the sets, where it computes them again.  Sets without words meet nothing.
-    pairs = left.withColumn("word", F.explode_outer("_left")).join(
-        right.withColumn("word", F.explode_outer("_right")), [*ORDER_KEY, "word"]
-    )
-    # A pair that shares several words is kept only where the first of them meets.
-    once = pairs.where(F.col("word") == F.get(F.array_intersect("_left", "_right"), F.lit(0)))
-    scored = once.withColumn("score", overlap(F.col("needle"), F.col("title"))).where(
-        F.col("score") >= CANDIDATE_SCORE
-    )
-    # The rank filter also applies before the shuffle: a needle sends on at most two
-    # rows per task.  Several items with one title tie: there is no clear winner.
-    best_two = Window.partitionBy(*ORDER_KEY, "needle").orderBy(F.col("score").desc(), "title")
-    best = F.col("place") == 1
-    return (
-        scored.select(*ORDER_KEY, "needle", "score", "copies", "item_index", F.row_number().over(best_two).alias("place"))
-        .where(F.col("place") <= 2)
-        .groupBy(*ORDER_KEY, "needle")
-        .agg(
-            F.max("score").alias("score"),
-            F.coalesce(F.max(F.when(~best, F.col("score"))), F.lit(0.0)).alias("_second"),
-            F.max(F.when(best, F.col("copies"))).alias("_copies"),
-            F.max(F.when(best, F.col("item_index"))).alias("item_index"),
-        )
-        .where(
-            (F.col("score") >= MIN_SCORE) & (F.col("score") - F.col("_second") >= MIN_LEAD) & (F.col("_copies") == 1)
+
+def _in_small_orders(tasks: DataFrame, items: DataFrame) -> DataFrame:
+    """The rules for orders of at most ``FEW`` items."""
+    sku, words, shown = (unused(c, tasks) for c in ("_sku", "_words", "_shown"))
+    item = F.struct("item_index", F.lower("product_id").alias("id"), title_tokens(F.col("title")).alias("words"))
+    of_order = items.groupBy(*ORDER_KEY).agg(F.collect_list(item).alias(shown))
+    sku_of, words_of = _wish(tasks)
+    found = lookup(tasks.withColumns({sku: sku_of, words: words_of}), of_order, ORDER_KEY)
+
+    def scored(i: Column) -> Column:
+        # Words are distinct, so the sizes give the union; 0 when either has none.
+        both = F.size(F.col(words)) + F.size(i["words"])
+        score = let(F.size(F.array_intersect(F.col(words), i["words"])), lambda common: F.when(common > 0, common / (both - common)).otherwise(F.lit(0.0)))
+        return F.struct(score.alias("score"), i["item_index"].alias("item_index"))
+
+    def answer(facts: Column) -> Column:
+        hits, (best, second) = facts["hits"], (F.get(facts["best"], F.lit(n)) for n in (0, 1))
+        by_id = F.size(hits) == 1
+        by_words = (best["score"] >= MIN_SCORE) & (best["score"] - F.coalesce(second["score"], F.lit(0.0)) >= MIN_LEAD)
+        alone = F.size(facts["best"]) == 1
+        chosen = F.when(by_id, F.get(hits, F.lit(0))["item_index"]).when(by_words | alone, best["item_index"])
+        return F.struct(
+            chosen.alias("item_index"), _rule(by_id, by_words, alone).alias("match_rule"), F.when(~by_id & by_words, best["score"]).alias("score")
         )
-        .select(*ORDER_KEY, F.col("needle").alias("tokens"), "item_index", "score")
-    )
 
+    known = F.coalesce(F.col(shown), F.array().cast(of_order.schema[shown].dataType))
+    facts = F.struct(
+        F.filter(known, lambda i: (i["id"] == F.col(sku)) & (F.col(sku) != "")).alias("hits"),
+        F.sort_array(F.transform(known, scored), asc=False).alias("best"),
+    )
+    # As a generator, so that the scores are worked out once for all columns.
+    return found.select(*tasks.columns, F.inline(F.transform(F.array(facts), answer)))
 
-def match_line_items(tasks: DataFrame, items: DataFrame) -> DataFrame:
-    """Tasks with ``item_index``, ``match_rule`` (sku, title, single, none) and ``score``.
 
-    ``score`` is the title overlap where that rule decided.  Two tasks may mean the
-    same item.  The rules are applied to the distinct wishes (id and words) of an
-    order; whole task rows are shuffled once, to receive the answer.
-    """
+def _in_large_orders(tasks: DataFrame, items: DataFrame) -> DataFrame:
+    """The rules by joins alone, for orders of more than one item.  They are applied to the distinct wishes (id and
+    words) of an order; whole task rows are shuffled once, to receive the answer."""
     by_sku = (
         items.where(F.col("product_id") != "")
-        .groupBy(*ORDER_KEY, F.lower("product_id").alias("_sku"))
+        .groupBy(*ORDER_KEY, F.lower("product_id").alias("sku"))
         .agg(F.count(F.lit(1)).alias("_hits"), F.min("item_index").alias("_sku_item"))
         .where("_hits = 1")
         .drop("_hits")
     )
-    lone = (
-        items.groupBy(*ORDER_KEY)
-        .agg(F.count(F.lit(1)).alias("_items"), F.min("item_index").alias("_lone_item"))
-        .where("_items = 1")
-        .drop("_items")
-    )
     titles = (
         items.select(*ORDER_KEY, "item_index", title_tokens(F.col("title")).alias("tokens"))
         .groupBy(*ORDER_KEY, "tokens")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("item_index").alias("item_index"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("item_index").alias("item"))
     )
-    words = title_tokens(F.coalesce(F.nullif("product_name", F.lit("")), "product_link"))
-    keyed = tasks.withColumns({"_sku": F.lower(F.coalesce("sku", F.lit(""))), "_tokens": words})
-    wishes = keyed.select(*ORDER_KEY, "_sku", "_tokens").distinct()
-    needles = wishes.select(*ORDER_KEY, F.col("_tokens").alias("tokens")).distinct()
-    by_title = title_matches(needles, titles).withColumnsRenamed(
-        {"tokens": "_tokens", "item_index": "_title_item", "score": "_score"}
-    )
-    found = lookup(wishes, by_sku, [*ORDER_KEY, "_sku"])
-    found = lookup(found, by_title, [*ORDER_KEY, "_tokens"])
-    found = lookup(found, lone, ORDER_KEY)
+    sku, words = (unused(c, tasks) for c in ("_sku", "_words"))
+    sku_of, words_of = _wish(tasks)
+    keyed = tasks.withColumns({sku: sku_of, words: words_of})
+    wishes = pin(keyed.select(*ORDER_KEY, F.col(sku).alias("sku"), F.col(words).alias("tokens")).distinct())
+    by_title = clear_winners(wishes.select(*ORDER_KEY, "tokens").distinct(), titles, ORDER_KEY)
+    by_title = by_title.select(*ORDER_KEY, "tokens", F.col("item").cast(items.schema["item_index"].dataType).alias("_title_item"), "score")
+    found = lookup(lookup(wishes, by_sku, [*ORDER_KEY, "sku"]), by_title, [*ORDER_KEY, "tokens"])
     by_id, by_words = F.col("_sku_item").isNotNull(), F.col("_title_item").isNotNull()
     answers = found.select(
         *ORDER_KEY,
-        "_sku",
-        "_tokens",
-        F.coalesce("_sku_item", "_title_item", "_lone_item").alias("item_index"),
-        F.when(by_id, "sku")
-        .when(by_words, "title")
-        .when(F.col("_lone_item").isNotNull(), "single")
-        .otherwise("none")
-        .alias("match_rule"),
-        F.when(~by_id, F.col("_score")).alias("score"),
+        F.col("sku").alias(sku),
+        F.col("tokens").alias(words),
+        F.coalesce("_sku_item", "_title_item").alias("item_index"),
+        _rule(by_id, by_words, F.lit(False)).alias("match_rule"),
+        F.when(~by_id, F.col("score")).alias("score"),
     )
-    return lookup(keyed, answers, [*ORDER_KEY, "_sku", "_tokens"]).drop("_sku", "_tokens")
+    return lookup(keyed, answers, [*ORDER_KEY, sku, words]).drop(sku, words)
+
+
+def match_line_items(tasks: DataFrame, items: DataFrame) -> DataFrame:
+    """Tasks with ``item_index``, ``match_rule`` (sku, title, single, none) and ``score``.
+
+    ``score`` is the title overlap where that rule decided.  Two tasks may mean the
+    same item.  A null platform or order is no order.
+    """
+    sizes = items.groupBy(*ORDER_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    large = pin(sizes.where(F.col("_n") > FEW).select(*ORDER_KEY))
+    if large.isEmpty():
+        return _in_small_orders(tasks, items)
+    small = _in_small_orders(matching(tasks, large, ORDER_KEY, keep=False), matching(items, large, ORDER_KEY, keep=False))
+    return small.unionByName(_in_large_orders(matching(tasks, large, ORDER_KEY), matching(items, large, ORDER_KEY)))

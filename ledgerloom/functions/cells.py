@@ -18,6 +18,7 @@ MONTHS = (
 # Whole-text patterns, each rewritten to a plainer form: a range to its later day,
 # slashes to ISO (day first when the second number can be a month), month first to
 # day first.
+# Fixed value: what may stand between the two days of a range.
 _DAY_RANGE = r"(?Uis)^\d{1,2}\s*[-–—to]+\s*(\d{1,2})\s+(\w+)(?:\s+(\d{4})\b)?.*$"
 _DAY_FIRST = r"^([0-9]{1,2})/(0?[1-9]|1[0-2])/([0-9]{4})$"
 _MONTH_FIRST = r"^(0?[1-9]|1[0-2])/([0-9]{1,2})/([0-9]{4})$"

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import LETTER_RETURN_ID, RMA_RETURN_ID, amount_in_text, flat, return_id
 from ledgerloom.operators.lookups import lookup
+from ledgerloom.operators.positions import row_numbers
 from ledgerloom.schemas import FAILED, PLACED, SUPPORT_NEEDED
+from ledgerloom.session import pin
 
 ORDER_KEY = ["platform", "order_id"]
-ANCHOR_CHARS = 8
+PIECE_CHARS = 8
 _ENTRY = ("position", "product_id", "return_id_text", "refund_text")
 
 
@@ -26,23 +28,52 @@ def _entries(confirmations: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(text: Column, size: Column) -> Column:
+    """Hashes of the distinct pieces of a text, each with its order, so that a piece is one number."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*ORDER_KEY, text.substr(i, size))))
+
+
+def title_candidates(anchors: DataFrame, cut: DataFrame) -> DataFrame:
+    """``needle, number``: the later texts that hold the rarest piece of a needle its first such text does not answer."""
+    return anchors.join(cut, "piece").where(F.col("number") > F.col("first")).select("needle", "number")
+
+
 def _by_title(rest: DataFrame, entries: DataFrame) -> DataFrame:
     """The first entry whose text contains each needle: ``platform, order_id, _needle, _entry``.
 
-    A needle is looked for by its anchor, its first eight characters (all of a shorter
-    one): the distinct texts of an order are cut into pieces of anchor length, pieces meet
-    anchors in an equi-join, and what meets is compared whole.
+    The distinct texts of an order are numbered in the order of their first entries and cut into pieces of eight
+    characters (all of a shorter needle); pieces are hashed with their order and carry the text's number, not the
+    text.  A needle needs all of its pieces in an order, and is looked for where its *rarest* one is: first in the first
+    text that has it, which settles a needle that many texts contain, then in the others.  What meets is compared whole.
     """
-    anchored = rest.withColumn("_anchor", F.substring("_needle", 1, ANCHOR_CHARS))
-    sizes = anchored.groupBy(*ORDER_KEY).agg(F.collect_set(F.length("_anchor")).alias("_sizes"))  # at most nine
+    needles = pin(rest.select(*ORDER_KEY, "_needle").withColumn("needle", F.monotonically_increasing_id()))
+    needles = needles.withColumn("_n", F.least(F.length("_needle"), F.lit(PIECE_CHARS)))
+    sizes = needles.groupBy(*ORDER_KEY).agg(F.collect_set("_n").alias("_sizes"))  # at most nine
     texts = entries.groupBy(*ORDER_KEY, "_text").agg(F.min(F.struct("position", "_entry")).alias("_first"))
-    sized = lookup(texts, sizes, ORDER_KEY, "inner").withColumn("_n", F.explode("_sizes"))
-    starts = F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1)
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.col("_text").substr(i, F.col("_n"))))
-    cut = sized.where(F.length("_text") >= F.col("_n")).select(*ORDER_KEY, "_text", "_first", F.explode(pieces).alias("_anchor"))
-    met = anchored.join(cut, [*ORDER_KEY, "_anchor"]).where(F.contains("_text", "_needle"))
-    first = met.groupBy(*ORDER_KEY, "_needle").agg(F.min("_first").alias("_first"))
-    return first.select(*ORDER_KEY, "_needle", F.col("_first._entry").alias("_entry"))
+    in_order = [*(F.col(c) for c in ORDER_KEY), F.col("_first"), F.col("_text")]
+    texts = row_numbers(lookup(texts, sizes, ORDER_KEY, "inner"), in_order, "number")
+    sized = texts.withColumn("_n", F.explode("_sizes")).where(F.length("_text") >= F.col("_n"))
+    cut = pin(sized.select("number", F.explode(_pieces(F.col("_text"), F.col("_n"))).alias("piece")))
+    directory = cut.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first"))
+
+    asked = needles.withColumn("_pieces", _pieces(F.col("_needle"), F.col("_n")))
+    asked = asked.select("needle", F.size("_pieces").alias("_all"), F.explode("_pieces").alias("piece"))
+    rarest = F.min(F.struct("n", "piece", "first"))
+    anchors = lookup(asked, directory, ["piece"], "inner").groupBy("needle", "_all").agg(F.count(F.lit(1)).alias("_met"), rarest.alias("a"))
+    anchors = pin(anchors.where("_met = _all").select("needle", "a.*"))
+
+    def holding(pairs: DataFrame) -> DataFrame:
+        both = lookup(pairs, needles.select("needle", "_needle"), ["needle"], "inner")
+        both = lookup(both, texts.select("number", "_text"), ["number"], "inner")
+        return both.where(F.contains("_text", "_needle")).select("needle", "number")
+
+    at_once = pin(holding(anchors.select("needle", F.col("first").alias("number"))))
+    left = lookup(anchors.where("n > 1"), at_once.select("needle"), ["needle"], "left_anti")
+    later = holding(title_candidates(left, cut)).groupBy("needle").agg(F.min("number").alias("number"))
+    found = lookup(at_once.unionByName(later), texts.select("number", "_first"), ["number"], "inner")
+    named = lookup(found, needles.select("needle", *ORDER_KEY, "_needle"), ["needle"], "inner")
+    return named.select(*ORDER_KEY, "_needle", F.col("_first._entry").alias("_entry"))
 
 
 def reconcile(submitted: DataFrame, confirmations: DataFrame, title_chars: int | None = None) -> DataFrame:
@@ -98,23 +129,23 @@ def confirmation_outcome(reconciled: DataFrame, flow: Column) -> DataFrame:
         "outcome",
         F.when(
             ~F.col("page_shown"),
-            outcome(FAILED, F.concat(flow, F.lit(" return submitted but no confirmation page was shown"))),
+            outcome(FAILED, F.concat(flow, F.lit(" return was sent, yet nothing came back to confirm it"))),
         )
         .when(
             F.col("entry").isNull(),
             outcome(
                 SUPPORT_NEEDED,
-                F.concat(flow, F.lit(" confirmation did not list this item; verify manually before retrying")),
+                F.concat(flow, F.lit(" confirmation leaves this item out; look at the order before another try")),
             ),
         )
         .when(
             placed_id.isNull(),
-            outcome(SUPPORT_NEEDED, F.lit("item confirmed but no return ID was shown"), with_page=True),
+            outcome(SUPPORT_NEEDED, F.lit("confirmation names the item without a return number"), with_page=True),
         )
         .otherwise(
             outcome(
                 PLACED,
-                F.concat(F.lit("return placed via "), F.col("platform"), F.lit(" "), flow, F.lit(" flow")),
+                F.concat(F.lit("accepted by "), F.col("platform"), F.lit(", "), flow, F.lit(" return")),
                 with_page=True,
             )
         ),

@@ -67,7 +67,7 @@ def sheet_errors(grid: DataFrame) -> DataFrame:
     )
     error = F.when(F.col("header_row").isNull(), F.lit("no header row with order id and product link")).when(
         F.size(absent) > 0,
-        F.concat(F.lit("required column(s) not found: "), F.array_join(absent, ", ")),
+        F.concat(F.lit("no column for: "), F.array_join(absent, ", ")),
     )
     return sheets.join(layouts, "sheet_id", "left").select("sheet_id", error.alias("error")).where("error is not null")
 

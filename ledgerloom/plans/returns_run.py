@@ -14,7 +14,7 @@ from ledgerloom.operators.matching import match_line_items
 from ledgerloom.operators.outcomes import OUTCOME_FIELDS, merge_outcomes, outcome_log, run_orders, run_report
 from ledgerloom.operators.reconcile import confirmation_outcome, reconcile
 from ledgerloom.operators.tasks import pending
-from ledgerloom.schemas import SUPPORT_NEEDED
+from ledgerloom.schemas import PLACED, SUPPORT_NEEDED
 from ledgerloom.session import pin
 
 ORDER_KEY = ["platform", "order_id"]
@@ -28,6 +28,7 @@ class ReturnsRun:
     tasks: DataFrame
     report: DataFrame
     orders: DataFrame  # platform, order_id, settled of every order the run touched
+    placed: DataFrame  # platform, order_id, product_id of every return it placed, which the next run takes
 
 
 def _plain(status: Column, message: Column) -> Column:
@@ -56,7 +57,7 @@ def decide(
     placed: DataFrame | None = None,
     chosen: Column | None = None,
 ) -> DataFrame:
-    """One outcome per pending task: the key and the outcome fields.
+    """One outcome per pending task: the key, the outcome fields and the ``product_id`` that was submitted, if any.
 
     No item is submitted twice: not one with a return in ``placed`` (``platform, order_id,
     product_id``), and of tasks that mean one item only the first by key.
@@ -107,9 +108,10 @@ def decide(
     submitted = entered.where(~unreachable & F.col("refusal").isNull()).select(
         *dict.fromkeys([*key, *ORDER_KEY]), "item_product_id", "item_title", "flow"
     )
-    confirmed = confirmation_outcome(reconcile(submitted, confirmations), F.col("flow")).select(*key, "outcome")
-    decided = skipped.unionByName(refused).unionByName(confirmed)
-    return decided.select(*key, *[F.col(f"outcome.{f}").alias(f) for f in OUTCOME_FIELDS])
+    confirmed = confirmation_outcome(reconcile(submitted, confirmations), F.col("flow"))
+    confirmed = confirmed.select(*key, "outcome", F.col("item_product_id").alias("product_id"))
+    decided = skipped.unionByName(refused).unionByName(confirmed, allowMissingColumns=True)
+    return decided.select(*key, *[F.col(f"outcome.{f}").alias(f) for f in OUTCOME_FIELDS], "product_id")
 
 
 def _once_per_item(entered: DataFrame, key: list[str], placed: DataFrame | None) -> DataFrame:
@@ -150,6 +152,8 @@ def run_returns(
     """
     key = [*ORDER_KEY, "row_no"] if key is None else key
     # Outcomes are durable before anything is made of them.
-    outcomes = pin(decide(tasks, items, orders, confirmations, today, key, placed, chosen))
+    decided = pin(decide(tasks, items, orders, confirmations, today, key, placed, chosen))
+    outcomes = decided.drop("product_id")
     merged = merge_outcomes(tasks, outcome_log(outcomes, when, key), key)
-    return ReturnsRun(outcomes, merged, run_report(outcomes, merged), run_orders(outcomes, merged))
+    returned = decided.where((F.col("return_status") == PLACED) & F.col("product_id").isNotNull()).select(*ORDER_KEY, "product_id")
+    return ReturnsRun(outcomes, merged, run_report(outcomes, merged), run_orders(outcomes, merged), returned)

@@ -39,11 +39,8 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scratch(spark, "results")
     tx = views.transactions(spark, sf_dir)
-    results.write_results({"categories": ledger.category_summary(tx)}, folder, "json")
-    read = spark.read.schema(
-        "category string, txn_count bigint, debit_count bigint, credit_count bigint, total_amount double, pct_of_txns double"
-    )
-    return read.json(f"{folder}/categories")
+    results.write_results({"categories": ledger.category_summary(tx)}, folder)
+    return results.read_result(spark, folder, "categories")
 
 
 def all_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

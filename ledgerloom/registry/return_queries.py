@@ -17,7 +17,8 @@ from ledgerloom.registry.base import Query
 from ledgerloom.registry.sheet_queries import overlap_sql, tokens_sql
 from ledgerloom.registry.views import with_views
 from ledgerloom.schemas import FAILED, SUPPORT_NEEDED
-from ledgerloom.session import checkpoint_dir
+from ledgerloom.session import checkpoint_dir, pin
+from ledgerloom.sources import task_table
 from ledgerloom.streaming import outcomes as stream
 
 TODAY = date.fromisoformat(views.TODAY)
@@ -104,10 +105,10 @@ _AMOUNT_SQL = (
 _OUTCOME = f"""confirmed AS (SELECT platform, order_id, row_no,
     CASE WHEN NOT page_shown THEN 'Failed' WHEN position IS NULL OR rid IS NULL THEN 'Support Needed' ELSE 'Placed' END AS return_status,
     rid AS return_id, refund AS refund_amount,
-    CASE WHEN NOT page_shown THEN flow || ' return submitted but no confirmation page was shown'
-      WHEN position IS NULL THEN flow || ' confirmation did not list this item; verify manually before retrying'
-      WHEN rid IS NULL THEN 'item confirmed but no return ID was shown'
-      ELSE 'return placed via ' || platform || ' ' || flow || ' flow' END AS message
+    CASE WHEN NOT page_shown THEN flow || ' return was sent, yet nothing came back to confirm it'
+      WHEN position IS NULL THEN flow || ' confirmation leaves this item out; look at the order before another try'
+      WHEN rid IS NULL THEN 'confirmation names the item without a return number'
+      ELSE 'accepted by ' || platform || ', ' || flow || ' return' END AS message
   FROM (SELECT r.platform, r.order_id, r.row_no, r.position, r.page_shown, r.flow, {_ID_SQL.replace('platform =', 'r.platform =')} AS rid,
           {_AMOUNT_SQL} AS refund
         FROM reconciled r LEFT JOIN shown_entries e
@@ -116,7 +117,7 @@ _OUTCOME = f"""confirmed AS (SELECT platform, order_id, row_no,
 _REFUSAL_SQL = """CASE WHEN lower({0}) LIKE '%cancel%' OR lower({0}) LIKE '%refunded%' THEN 'Already Cancelled & Refunded'
     WHEN regexp_matches(lower({0}), 'not delivered|out for delivery|shipped') THEN 'Not yet delivered'
     WHEN regexp_matches(lower({0}), 'window|period|expired|eligib') THEN 'Out of window' ELSE 'Support Needed' END"""
-_NOTE = "coalesce(nullif(reason_unreturnable, ''), platform || ' offers no return option for this item')"
+_NOTE = "coalesce(nullif(reason_unreturnable, ''), platform || ' takes no return of this item')"
 
 _DECIDED = f"""{_VERDICT}, queue AS (SELECT * FROM verdicts WHERE task_status = 'Pending' AND {{chosen}}),
 {_MATCH.format(src="(SELECT * FROM queue WHERE eligible)")},
@@ -284,6 +285,29 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.current_tasks(views.customer_tasks(spark, sf_dir), stream.read_log(spark, f"{folder}/log"))
 
 
+def compacted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream: two thirds of the users, compacted, then all of them, twice, with another compaction between."""
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    for delivery in ("some", "all", "again"):
+        arriving = stream.event_stream(spark, sf_dir, schema=raw, pathGlobFilter="events.parquet")
+        arriving = arriving.where("user_id % 3 > 0") if delivery == "some" else arriving
+        stream.append_to_log(views.as_outcome_events(arriving), f"{folder}/log", f"{folder}/{delivery}-checkpoint").awaitTermination()
+        if delivery != "again":
+            stream.compact(spark, f"{folder}/log")
+    return stream.tasks_of_log(spark, views.customer_tasks(spark, sf_dir), f"{folder}/log")
+
+
+def table_of_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task table after two merges, each of the outcomes of every other task."""
+    folder = f"{checkpoint_dir(spark)}/tasks-{uuid.uuid4().hex}"
+    task_table.create_table(views.customer_tasks(spark, sf_dir), folder)
+    folded = pin(outcomes.fold_events(views.outcome_events(spark, sf_dir)))
+    for odd in (0, 1):
+        task_table.merge_into_table(folded.where(F.col("row_no") % 2 == odd), folder)
+    return task_table.read_table(spark, folder)
+
+
 def failed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = views.table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
     failed = orders.selectExpr(
@@ -438,7 +462,7 @@ QUERIES = [
   CASE WHEN return_status = 'Failed' THEN 'Support Needed' ELSE return_status END AS return_status,
   CASE WHEN return_status <> 'Failed' THEN return_id END AS return_id,
   CASE WHEN return_status <> 'Failed' THEN refund_amount END AS refund_amount,
-  CASE WHEN return_status = 'Failed' THEN 'batch flow returned no result for this line item' ELSE message END AS message
+  CASE WHEN return_status = 'Failed' THEN 'the batch came back without a word on this item' ELSE message END AS message
 FROM resolved""",
     ),
     Query(
@@ -448,6 +472,8 @@ FROM resolved""",
     ),
     Query("merged_events", merged_events, _MERGE_EVENTS),
     Query("streamed_events", streamed_events, _MERGE_EVENTS),
+    Query("compacted_events", compacted_events, _MERGE_EVENTS),
+    Query("table_of_tasks", table_of_tasks, _MERGE_EVENTS),
     Query(
         "failed_orders",
         failed_orders,
@@ -482,6 +508,13 @@ WHERE NOT coalesce((x.platform, x.order_id, lower(x.product_id)) IN {_PLACED_KEY
   SELECT t.*, d.row_no IS NOT NULL AS known, d.return_status AS n_status, d.return_id AS n_id,
     d.refund_amount AS n_refund, TIMESTAMP '{WHEN}' AS n_ts, '[{WHEN}] ' || d.message AS n_log
   FROM tasks t LEFT JOIN decided d ON d.platform = t.platform AND d.order_id = t.order_id AND d.row_no = t.row_no)""",
+    ),
+    Query(
+        "returns_placed",
+        lambda spark, sf: _run(spark, sf).placed,
+        RUN + """ SELECT s.platform, s.order_id, s.item_product_id AS product_id FROM submitted s
+  JOIN confirmed c ON c.platform = s.platform AND c.order_id = s.order_id AND c.row_no = s.row_no
+  WHERE c.return_status = 'Placed' AND s.item_product_id IS NOT NULL""",
     ),
     Query("returns_report", lambda spark, sf: _run(spark, sf).report, RUN + " " + _RUN_COUNTS),
     Query(

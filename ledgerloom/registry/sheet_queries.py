@@ -301,7 +301,7 @@ QUERIES = [
         "sheet_errors",
         lambda spark, sf: sheets.sheet_errors(views.sheet_grid(spark, sf)),
         GRID + """ SELECT s.sheet_id, CASE WHEN w.sheet_id IS NULL THEN 'no header row with order id and product link'
-    ELSE 'required column(s) not found: platform' END AS error
+    ELSE 'no column for: platform' END AS error
 FROM (SELECT DISTINCT sheet_id FROM sheet_grid) s LEFT JOIN wide w ON w.sheet_id = s.sheet_id
 WHERE w.sheet_id IS NULL OR w.platform = 0""",
     ),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.cells import strip
 from ledgerloom.schemas import MONEY, TRANSACTION_CSV
+from ledgerloom.sources.versions import current, fresh_name, publish
 
 # The layout of one printed record; amount and narration are fused.
 PRINTED_RECORD = (
@@ -65,6 +66,36 @@ def load_printed(lines: DataFrame, line: str = "value") -> DataFrame:
     return printed_records(lines, line)
 
 
+def publish_printed(lines: DataFrame, folder: str, line: str = "value", exact_header: str | None = None) -> int:
+    """Load printed lines into a versioned folder, all or nothing; the version they are.
+
+    The lines are read once: rejects are counted while the records are written to a place that no reader knows, which
+    becomes the table only when there were none.  Otherwise ``UnparsedLines`` tells how many and shows the first found.
+    """
+    spark = lines.sparkSession
+    before, path, seen = current(spark, folder).version, fresh_name(folder), Observation()
+    text = F.coalesce(F.col(line), F.lit(""))
+    header = text.contains(HEADER_WORD) if exact_header is None else text == exact_header
+    found = lines.select(text.alias("_line"), F.regexp_extract_all(text, F.lit(PRINTED_RECORD), F.lit(0)).alias("_records"), header.alias("_header"))
+    left_over = (F.size("_records") == 0) & ~F.col("_header") & (strip(F.col("_line")) != "")
+    counted = found.observe(seen, F.count_if(left_over).alias("rejects"))
+    records = counted.select(F.explode("_records").alias("_record"))
+    fields = [F.regexp_extract("_record", PRINTED_RECORD, i + 1).alias(f) for i, f in enumerate(PRINTED_FIELDS)]
+    typed(records.select(*fields).withColumn("narration", F.upper("narration"))).write.parquet(path)
+    if rejects := seen.get["rejects"]:
+        first = unparsed_lines(lines, line, exact_header).select(line).limit(REPORTED_REJECTS).collect()
+        raise UnparsedLines(f"{rejects} unparsed lines, nothing loaded:\n" + "\n".join(r[0] for r in first))
+    return publish(spark.createDataFrame([(path,)], "path string"), folder, before)
+
+
+def read_published(spark: SparkSession, folder: str) -> DataFrame:
+    """The transactions of the last load that left no line over."""
+    state = current(spark, folder)
+    if not state.rows:
+        raise ValueError(f"no transactions in {folder}")
+    return spark.read.parquet(state.rows[0].path)
+
+
 def typed(records: DataFrame) -> DataFrame:
     """Text records as the typed transactions table."""
     return with_dates(

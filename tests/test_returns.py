@@ -101,25 +101,32 @@ ITEM = "platform string, order_id string, item_index int, title string, product_
 
 
 def test_matching_rules(spark):
-    items = [
-        ("two", 0, "Some Blue Jeans", "Ab1"), ("two", 1, "Some Blue Jeans", "AB2"),
-        ("clear", 0, "Dolly Regular Women Blue Jeans", "A"), ("clear", 1, "Vasa Women Line Maroon Midi Dress", "B"),
-        ("same", 0, "Tokyo Loose Fit Jeans", None), ("same", 1, "Tokyo Loose Fit Jeans", None),
-        ("one", 0, "Anything At All", "Z"), ("dup", 0, "Red Kettle", "K"), ("dup", 1, "Steel Pan", "k"),
-        ("low", 0, "red green blue cyan teal", "L"), ("low", 1, "one more item", "M"),
-    ]
+    """Each rule decides once, and each condition fails once by the least that it can."""
+    shelf = {
+        "ids": [("oak desk lamp", "L7"), ("oak desk lamp", "l8"), ("oak desk lamp", "L9")],
+        "twins": [("copper wall clock", "C1"), ("copper wall clock", "c1"), ("velvet footstool", None)],
+        "lone": [("garden hose", "H")],
+        "nine": [("alpha bravo charlie delta echo foxtrot golf hotel india", "N"), ("zulu", "Z")],
+        "close": [("alpha bravo charlie delta", "A"), ("alpha bravo charlie", "B")],
+    }
     wishes = [
-        ("two", "ab2", None), ("clear", None, "Vasa Women Line Maroon Midi Dress"), ("same", None, "Tokyo Loose Fit Jeans"),
-        ("one", None, None), ("none", "A", "x"), ("clear", "nope", "Dolly Women Blue Jeans"), ("dup", "K", "steel pan"),
-        ("low", None, "red green pink gray lime"), ("low", None, None),
-    ]
-    items = spark.createDataFrame([("P", *i) for i in items], ITEM)
-    asked = spark.createDataFrame([(n, "P", o, s, p, "") for n, (o, s, p) in enumerate(wishes)], TASK)
+        # order, id, words, item, rule
+        ("ids", "l9", "velvet footstool", 2, "sku"),
+        ("ids", "L0", "oak desk lamp", None, "none"),  # three titles tie
+        ("twins", "C1", "velvet footstool", 2, "title"),  # the id is on two items
+        ("twins", "C1", None, None, "none"),
+        ("lone", "X", "copper wall clock", 0, "single"),
+        ("nine", None, "alpha bravo charlie delta", None, "none"),  # 4 of 9 words: 0.444
+        ("nine", None, "alpha bravo charlie delta echo", 0, "title"),  # 5 of 9
+        ("close", None, "alpha bravo charlie delta", 0, "title"),  # 1.0 before 0.75
+        ("close", None, "alpha bravo charlie delta echo foxtrot", 0, "title"),  # 0.667 before 0.5
+        ("close", None, "alpha bravo charlie delta echo foxtrot golf", None, "none"),  # 0.571 before 0.429
+        ("elsewhere", "L7", "oak desk lamp", None, "none"),
+    ]
+    items = spark.createDataFrame([("P", o, n, t, p) for o, rows in shelf.items() for n, (t, p) in enumerate(rows)], ITEM)
+    asked = spark.createDataFrame([(n, "P", o, s, w, "") for n, (o, s, w, *_) in enumerate(wishes)], TASK)
     found = matching.match_line_items(asked, items).orderBy("row_no").collect()
-    assert [(r.item_index, r.match_rule) for r in found] == [
-        (1, "sku"), (1, "title"), (None, "none"), (0, "single"), (None, "none"), (0, "title"), (1, "title"),
-        (None, "none"), (None, "none"),
-    ]
+    assert [(r.item_index, r.match_rule) for r in found] == [(i, rule) for *_, i, rule in wishes]
 
 
 def reference_match(sku, needle, items):
@@ -189,6 +196,23 @@ def test_reconciliation_agrees_with_comparing_all_pairs(spark):
     assert {r.confirmed_by for r in found.collect()} == {"product", "title", None}
 
 
+def test_titles_with_a_common_beginning_do_not_all_meet(spark, monkeypatch):
+    joined, plain = [], reconcile.title_candidates
+
+    def counted(*args):
+        joined.append(plain(*args).count())
+        return plain(*args)
+
+    monkeypatch.setattr(reconcile, "title_candidates", counted)
+    n, shared = 400, "Long sleeved cotton shirt, colour "
+    submitted = [(i, "P", "hot", None, f"{shared}{i:04d}") for i in range(n)] + [(n, "P", "hot", None, "cotton SHIRT"), (n + 1, "P", "hot", None, "shirt, colour 9999")]
+    listed = [("P", "hot", n - i, None, f"{shared}{i:04d} size {i % 7}", f"ID{i}", "") for i in range(n)]
+    found = reconcile.reconcile(spark.createDataFrame(submitted, SUBMITTED), spark.createDataFrame(listed, CONFIRMATION))
+    got = {r.row_no: r.position for r in found.select("row_no", "entry.position").collect()}
+    assert got == {**{i: n - i for i in range(n)}, n: 1, n + 1: None}
+    assert sum(joined) <= 2 * n
+
+
 def test_a_whole_run(spark):
     """Seven orders and thirteen items on two platforms, one fate each."""
     today = date(2026, 7, 31)
@@ -230,8 +254,8 @@ def test_a_whole_run(spark):
     assert [after[n].return_status for n in range(13)] == [p[-1] for p in plan]
     assert after[8].return_id == "RMA88000108" and after[0].return_id == "CR26060000000100"
     assert after[0].refund_amount == 1200.5 and after[0].timestamp == datetime(2026, 7, 31, 12)
-    assert after[0].log == "note\n[2026-07-31 12:00:00] return placed via Flipkart sequential flow"
-    assert "batch flow" in after[8].log and "sequential flow" in after[11].log
+    assert after[0].log == "note\n[2026-07-31 12:00:00] accepted by Flipkart, sequential return"
+    assert "batch return" in after[8].log and "sequential return" in after[11].log
     assert after[98].return_status == "Support Needed" and "not reachable" in after[98].log
     assert (after[99].log, after[99].return_status) == ("kept", None)
     assert all(t.task_status != "Pending" for t in after.values())
@@ -298,6 +322,25 @@ def test_a_long_log_is_joined_in_pieces(spark, monkeypatch):
     assert tens.collect() == found
 
 
+def test_a_bulk_load_within_an_hour_never_meets_in_one_group(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr(
+        "concat('e', lpad(id, 6, '0')) AS event_id", "'P' AS platform", "'O' AS order_id", "id % 100 div 99 AS row_no",
+        "1 AS attempt_no", "timestamp'2026-07-01 09:00:00' + make_interval(0, 0, 0, 0, 0, 0, id % 3600) AS event_ts",
+        "'Failed' AS return_status", "cast(null as string) AS return_id", "cast(null as double) AS refund_amount", "concat('m', id) AS message",
+    )
+
+    folded = outcomes.fold_events(rows)
+    kept = {r.row_no: r.log_entries for r in folded.select("row_no", "log_entries").collect()}
+    expected = {0: [], 1: []}
+    for i in sorted(range(n), key=lambda i: (i % 3600, i)):
+        expected[i % 100 // 99].append(f"] m{i}")
+    assert {k: [line[20:] for line in v.split("\n")] for k, v in kept.items()} == expected
+    pieces = outcomes.log_pieces(rows, outcomes.TASK_KEY, ["event_ts", "event_id"], "message", F.date_trunc("hour", "event_ts"))
+    counts = pieces.groupBy(*outcomes.TASK_KEY, "_bucket", "_piece").count().collect()
+    assert max(r["count"] for r in counts) <= outcomes.ENTRIES_PER_PIECE and sum(r["count"] for r in counts) == n
+
+
 def test_failed_orders_and_defaults(spark):
     table = blank_tasks(spark, 2).withColumn("task_status", F.when(F.col("row_no") == 1, "Done").otherwise("Pending"))
     failed = spark.createDataFrame([("P", "O", "Failed", "no login")], "platform string, order_id string, return_status string, message string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.decontamination import contamination
 from ledgerloom.llm.filter_audit import audit
 from ledgerloom.llm.lm_scoring import score_texts
-from ledgerloom.llm.mixing import EXPONENT, PERIOD, schedule
+from ledgerloom.llm.mixing import EXPONENT, PARTS, schedule
 from ledgerloom.llm.mixing import BLOCK_ROWS as MIXED_BLOCK
 from ledgerloom.llm.quality import quality_measures
 from ledgerloom.llm.secret_scan import BASE_KINDS, scan
@@ -153,29 +153,34 @@ FROM b
 # Earliest deadline first in a recursive query: one row per slot, with every source's next block in a list.
 OP4_SQL = f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+weights AS (SELECT source, n, pow(n, {EXPONENT}) / sum(pow(n, {EXPONENT})) OVER () AS w FROM counts),
 shares AS (
-    SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS number,
-           greatest(1, floor({PERIOD} * pow(n, {EXPONENT}) / sum(pow(n, {EXPONENT})) OVER () + 0.5)::BIGINT) AS share
-    FROM counts
-), whole AS (SELECT sum(share)::BIGINT AS q, list(share ORDER BY number) AS k, count(*) AS m FROM shares),
-slots AS (
-    SELECT -1::BIGINT AS t, 0::BIGINT AS picked, 0::BIGINT AS i, list_transform(k, lambda x: 0::BIGINT) AS following FROM whole
+    SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS number, (n + {MIXED_BLOCK} - 1) // {MIXED_BLOCK} AS n_blocks,
+           greatest(1, floor({PARTS} * w / sum(w) OVER () + 0.5)::BIGINT)::HUGEINT AS share
+    FROM weights
+), whole AS (
+    SELECT sum(share)::HUGEINT AS q, list(share ORDER BY number) AS k, list(n_blocks ORDER BY number) AS b, sum(n_blocks) AS blocks, count(*) AS m
+    FROM shares
+), slots AS (
+    SELECT -1::HUGEINT AS t, 0::BIGINT AS picked, 0::HUGEINT AS i, list_transform(k, lambda x: 0::HUGEINT) AS following FROM whole
     UNION ALL
     SELECT t, picked, following[picked],
            list_transform(following, lambda x, s: CASE WHEN s = picked THEN x + 1 ELSE x END)
     FROM (
-        SELECT t + 1 AS t, following,
-               list_min(list_transform(following, lambda x, s:
-                   CASE WHEN x < k[s] AND (x * q) // k[s] <= t + 1 THEN (((x + 1) * q + k[s] - 1) // k[s]) * (m + 1) + s ELSE 1000000000000 END
-               )) % (m + 1) AS picked
-        FROM slots, whole WHERE t + 1 < q)
+        SELECT now AS t, following,
+               (list_min(list_transform(following, lambda x, s:
+                   CASE WHEN x < b[s] AND (x * q) // k[s] <= now THEN (((x + 1) * q + k[s] - 1) // k[s]) * (m + 1) + s END
+               )) % (m + 1))::BIGINT AS picked
+        FROM (SELECT following, greatest(t + 1, list_min(list_transform(following, lambda x, s: CASE WHEN x < b[s] THEN (x * q) // k[s] END))) AS now,
+                     k, b, q, m
+              FROM slots, whole WHERE list_sum(following) < blocks))
 ), numbered AS (
     SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR) NULLS FIRST, doc_id) - 1 AS r FROM documents
 ), blocks AS (SELECT doc_id, source, r // {MIXED_BLOCK} AS block, r % {MIXED_BLOCK} AS place FROM numbered)
 SELECT doc_id, b.source, block::BIGINT AS block, place::BIGINT AS place, ((block * q) // share)::BIGINT AS release,
-       (((block + 1) * q + share - 1) // share)::BIGINT AS deadline, ((block // share) * q + slots.t)::BIGINT AS slot
+       (((block + 1) * q + share - 1) // share)::BIGINT AS deadline, slots.t::BIGINT AS slot
 FROM blocks b JOIN shares s ON b.source IS NOT DISTINCT FROM s.source, whole, slots
-WHERE slots.picked = s.number AND slots.i = block % share
+WHERE slots.picked = s.number AND slots.i = block
 """
 
 OP7_ASSIGN = (

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
-import math
+import hashlib
 import random
+import resource
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing
 
@@ -23,22 +25,27 @@ def test_a_period_is_within_a_block_of_every_target(seed):
 
 
 def brute(rows, targets=None, block_rows=3, period=20):
+    """Without a period the unrounded weights."""
     by_source = {}
     for doc, source in rows:
         by_source.setdefault(source, []).append(doc)
     names = sorted(by_source, key=lambda s: (s is not None, s or ""))
     sizes = [len(by_source[s]) ** mixing.EXPONENT for s in names]
     weights = [(targets or {}).get(s, w / sum(sizes)) for s, w in zip(names, sizes, strict=True)]
-    shares = mixing.whole_shares(weights, period)
-    slots = {place: t for t, place in enumerate(mixing.one_period(shares))}
-    import hashlib
+    shares = mixing.whole_shares(weights, period or mixing.PARTS)
+    if period:
+        slots = {place: t for t, place in enumerate(mixing.one_period(shares))}
+    else:
+        placed = mixing.every_block(shares, [-(-len(by_source[s]) // block_rows) for s in names])
+        slots = {(n, i): t for n, at in enumerate(placed) for i, t in enumerate(at)}
 
     out = []
     for n, (name, k) in enumerate(zip(names, shares, strict=True)):
         for i, doc in enumerate(sorted(by_source[name], key=lambda d: hashlib.md5(str(d).encode()).hexdigest())):
             block = i // block_rows
             q = sum(shares)
-            out.append((doc, name, block, i % block_rows, block * q // k, math.ceil((block + 1) * q / k), block // k * q + slots[n, block % k]))
+            slot = block // k * q + slots[n, block % k] if period else slots[n, block]
+            out.append((doc, name, block, i % block_rows, block * q // k, -(-(block + 1) * q // k), slot))
     return sorted(out, key=str)
 
 
@@ -74,10 +81,53 @@ def test_mixed_keeps_every_row(with_null_key, nothing):
     assert mixing.schedule(nothing).collect() == [] and mixing.mixed(nothing).collect() == []
 
 
-def test_too_many_sources_are_refused(messy, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
-    with pytest.raises(ValueError, match="sources"):
-        mixing.schedule(messy)
+@pytest.mark.parametrize("frame", [1 << 17, 7])
+def test_unrounded_schedule(messy, monkeypatch, frame):
+    monkeypatch.setattr(mixing, "FRAME", frame)
+    rows = [(r.doc_id, r.source) for r in messy.collect()]
+    found = mixing.schedule(messy, block_rows=2, targets={"s1": 0.37})
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows, {"s1": 0.37}, block_rows=2, period=None)
+
+
+def test_clashing_columns(spark):
+    rows = [(i, f"s{i % 3}", -i, "p", "b") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, _slot long, _place string, block string")
+    assert sorted(map(tuple, mixing.mixed(docs, block_rows=4).collect())) == sorted(rows)
+    assert mixing.mixed(docs, block_rows=4).columns == docs.columns
+
+
+def test_more_sources_than_a_frame(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FRAME", 5000)
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "concat('s', id % 12000) AS source")
+    found = mixing.schedule(docs, block_rows=1).select("slot", "source", "block").collect()
+    assert len({r.slot for r in found}) == len(found) == 24_000
+    assert sorted((r.source, r.block) for r in found) == sorted((f"s{i}", b) for i in range(12_000) for b in range(2))
+
+
+def test_large_block_numbers(spark, monkeypatch):
+    """Release times and deadlines of blocks that a product in 64 bits would not hold."""
+    numbers = mixing.row_numbers
+
+    def far(df, order_by, out, **options):
+        found = numbers(df, order_by, out, **options)
+        return found.withColumn(out, F.col(out) + (1 << 40)) if out == "_row" else found
+
+    monkeypatch.setattr(mixing, "row_numbers", far)
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, source string")
+    planned = mixing.schedule(docs, block_rows=1, period=1 << 14, targets={"a": 3.0, "b": 1.0}).collect()
+    for r in planned:
+        k, q = (12288, 16384) if r.source == "a" else (4096, 16384)
+        assert (r.release, r.deadline) == (r.block * q // k, -(-(r.block + 1) * q // k)) and r.block >= 1 << 40
+
+
+def test_the_driver_holds_one_frame_of_ten_million_blocks():
+    weights = [float(n) ** mixing.EXPONENT for n in (600_000_000, 30_000_000, 9_000_000, 1_000_000)]
+    blocks = [9_375_000, 468_750, 140_625, 15_625]
+    before, n = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0
+    for frame in mixing.frames(mixing.whole_shares(weights, mixing.PARTS), blocks):
+        n += sum(len(r["at"]) for r in frame)
+    assert n == sum(blocks) == 10_000_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150 << 10  # KB
 
 
 def one_block_bound(slots, weights):

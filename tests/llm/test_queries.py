@@ -37,6 +37,18 @@ def test_query_and_sql(spark, query):
     assert sorted(map(str, (tuple(r) for r in found.select(columns).collect()))) == sorted(map(str, expected.fetchall()))
 
 
+def test_mixing_of_unequal_sources_and_sql(spark):
+    """Eight sources of very different sizes, row by row."""
+    duckdb = pytest.importorskip("duckdb")
+    documents = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 29 > 0 THEN concat('s', id % 29 % 7) END AS source")
+    connection = duckdb.connect()
+    connection.register("documents", documents.toArrow())
+    query = next(q for q in QUERIES if q.name == "op4_source_mixing")
+    expected = connection.execute(query.sql)
+    columns = [c[0] for c in expected.description]
+    assert sorted(map(tuple, mixing.schedule(documents).select(columns).collect()), key=str) == sorted(expected.fetchall(), key=str)
+
+
 def test_names():
     assert [q.name.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "benchmark_decontamination", "source_mixing", "token_output"]
@@ -76,7 +88,7 @@ def test_pipeline_against_brute_force(spark):
     left = {i: left[i] for _, i, _, least in components(left.items()) if least == i}
     bad = contaminated(left, items)
     left = {i: t for i, t in left.items() if not bad[i][3]}
-    order = mixed([(i, rows[i].source) for i in left], block_rows=mixing.BLOCK_ROWS, period=mixing.PERIOD)
+    order = mixed([(i, rows[i].source) for i in left], block_rows=mixing.BLOCK_ROWS, period=None)
     tokenizer, start, expected = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
     for _, _, doc in sorted((slot, place, doc) for doc, _, _, place, _, _, slot in order):
         ids = [*tokenizer.encode(left[doc], add_special_tokens=False).ids, 1]

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.positions import kth_highest, ntile_maxima, ntiles, value_positions
+from ledgerloom.operators.positions import kth_highest, ntiles
+from ledgerloom.operators.selection import ntile_highest
 from ledgerloom.schemas import DECLARED_CATEGORIES
 from ledgerloom.session import pin
 
@@ -57,16 +58,14 @@ def undeclared_categories(tx: DataFrame, declared: tuple[str, ...] = DECLARED_CA
 
 def load_summary(tx: DataFrame) -> DataFrame:
     """Count, mean, range and positional (NTILE) quartiles of the load amounts, one row."""
-    values = value_positions(credits(tx), AMOUNT, keep_nulls=True)
-    amount, n = F.col(AMOUNT), F.col("n")
-    known = F.sum(F.when(amount.isNotNull(), n))
-    totals = values.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"),
-        F.round(F.sum(amount.cast("decimal(28,2)") * n).cast("double") / known, 2).alias("mean"),
+    loads, amount = credits(tx), F.col(AMOUNT)
+    totals = loads.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum(amount.cast("decimal(28,2)")).cast("double") / F.count(amount), 2).alias("mean"),
         F.min(amount).cast("double").alias("min"),
         F.max(amount).cast("double").alias("max"),
     )
-    quartiles = ntile_maxima(values, AMOUNT, 4, {1: "q1", 2: "median", 3: "q3"})
+    quartiles = ntile_highest(loads, AMOUNT, 4, {1: "q1", 2: "median", 3: "q3"})
     picked = quartiles.select(
         F.struct(*[F.col(c).cast("double").alias(c) for c in ("q1", "median", "q3")]).alias("q")
     ).scalar()

@@ -1,8 +1,8 @@
 """Descriptive statistics of one numeric column.
 
-Order statistics come from ``value_positions`` - the distinct values with their
-counts and positions - so ties cost nothing and no task sees the whole column.  A
-caller with several questions about one column passes them along.
+Quartiles come from ``selection``, which sorts nothing.  What needs every value's place comes from
+``value_positions`` - the distinct values with their counts and positions - so ties cost nothing and no task
+sees the whole column.  A caller with several questions about one column passes them along.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.normal import normal_density
 from ledgerloom.operators.positions import interpolated, value_positions
+from ledgerloom.operators.selection import ACCURACY, approximate_quantiles, quantiles
 
 HISTOGRAM_BINS = 24
 CURVE_POINTS = 400
 FENCE_FACTOR = 1.5
+QUARTILES = {"q1": 0.25, "median": 0.50, "q3": 0.75}
 
 SUMMARY = (
     ("count", "n"),
@@ -56,7 +58,12 @@ def _quartiles(positions: DataFrame, value: str) -> DataFrame:
 
 def quartiles(df: DataFrame, value: str, positions: DataFrame | None = None) -> DataFrame:
     """Q1, median and Q3 with linear interpolation, one row."""
-    return _quartiles(value_positions(df, value) if positions is None else positions, value)
+    return quantiles(df, value, QUARTILES) if positions is None else _quartiles(positions, value)
+
+
+def approximate_quartiles(df: DataFrame, value: str, accuracy: int = ACCURACY) -> DataFrame:
+    """Q1, median and Q3 as values of the column, off their rank by ``n / accuracy`` at most, from one pass."""
+    return approximate_quantiles(df, value, QUARTILES, accuracy)
 
 
 def tukey_fences(df: DataFrame, value: str, positions: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import cohorts, ledger, positions
+from ledgerloom.operators import cohorts, ledger, positions, selection
 from ledgerloom.plans.answers import transaction_answers
 from ledgerloom.registry import views
 from ledgerloom.registry.base import Query
@@ -66,8 +66,7 @@ def debit_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_price_ntiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = views.table(spark, sf_dir, "lineitem")
-    found = positions.value_positions(lines, "l_extendedprice", keep_nulls=True)
-    return positions.ntile_maxima(found, "l_extendedprice", 7, {j: f"t{j}" for j in range(1, 8)})
+    return selection.ntile_highest(lines, "l_extendedprice", 7, {j: f"t{j}" for j in range(1, 8)})
 
 
 def order_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

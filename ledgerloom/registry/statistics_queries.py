@@ -115,6 +115,23 @@ def _round_sql(columns: tuple[str, ...], digits: int) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
+def approximate_line_price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each approximate quartile's true rank is within its stated error."""
+    lines = views.table(spark, sf_dir, "lineitem").select("l_extendedprice")
+    found = statistics.approximate_quartiles(lines, "l_extendedprice", accuracy=1000).first()
+    shares = statistics.QUARTILES
+    value = F.col("l_extendedprice").cast("double")
+    counts = lines.agg(
+        F.count(value).alias("n"), *[F.count_if(value < found[q]).alias(f"b_{q}") for q in shares], *[F.count_if(value <= found[q]).alias(f"u_{q}") for q in shares]
+    )
+
+    def row(q: str, share: float):
+        near = (F.col(f"b_{q}") <= F.col("n") * (share + 1e-3) + 1) & (F.col(f"u_{q}") >= F.col("n") * (share - 1e-3) - 1)
+        return F.struct(F.lit(share).cast("decimal(3,2)").cast("double").alias("share"), near.alias("within"))
+
+    return counts.select(F.inline(F.array(*[row(q, share) for q, share in shares.items()])))
+
+
 QUERIES = [
     Query(
         "load_quartiles",
@@ -128,6 +145,12 @@ QUERIES = [
         ),
         "WITH " + _quantiles("l_extendedprice", "lineitem") + f" SELECT {_round_sql(('q1', 'median', 'q3'), 6)} FROM q",
     ),
+    Query(
+        "approximate_line_price_quartiles",
+        approximate_line_price_quartiles,
+        "WITH x AS (SELECT count(l_extendedprice) AS n FROM lineitem) SELECT 0.25::DOUBLE AS share, true AS within FROM x UNION ALL SELECT 0.5, true FROM x "
+        "UNION ALL SELECT 0.75, true FROM x",
+    ),
     Query(
         "value_fences",
         _values(lambda df: rounded(statistics.tukey_fences(df, "value"), 6, *_FENCES)),

@@ -27,7 +27,7 @@ from ledgerloom.schemas import (
     REQUIRED_SHEET_FIELDS,
     RETURN_STATUSES,
 )
-from ledgerloom.session import broadcast_if_small
+from ledgerloom.session import broadcast_if_small, pin
 
 SHEET_FIELDS = tuple(HEADER_ALIASES)
 
@@ -47,20 +47,34 @@ def header_candidates(grid: DataFrame, scan_rows: int | None = None) -> DataFram
     )
 
 
+def _names(field: str) -> Column:
+    """Whether some cell of a row names the field: its spellings with anything but letters and digits around and between.
+
+    The pattern is anchored, so a cell of data is given up at its first letter or digit that no spelling has.
+    """
+    apart = "[^a-z0-9]*"
+    spellings = "|".join(apart.join(name) for name in HEADER_ALIASES[field])
+    return F.exists("cells", lambda cell: F.coalesce(F.lower(cell).rlike(f"^{apart}(?:{spellings}){apart}$"), F.lit(False)))
+
+
 def sheet_layouts(grid: DataFrame, scan_rows: int | None = None) -> DataFrame:
-    """One row per sheet with a header: ``sheet_id, header_row, columns``."""
+    """One row per sheet with a header: ``sheet_id, header_row, columns``.
+
+    All rows are only looked through for one cell that names an order id and one that names a product link; the
+    columns are worked out for the few that have both.
+    """
     usable = (F.col("columns.order_id") > 0) & (F.col("columns.product_link") > 0)
     return (
-        header_candidates(grid, scan_rows)
+        header_candidates(grid.where(_names("order_id") & _names("product_link")), scan_rows)
         .where(usable)
         .groupBy("sheet_id")
         .agg(F.min("row_no").alias("header_row"), F.min_by("columns", "row_no").alias("columns"))
     )
 
 
-def sheet_errors(grid: DataFrame) -> DataFrame:
-    """Sheets that cannot be imported and why: ``sheet_id, error``."""
-    layouts = sheet_layouts(grid)
+def sheet_errors(grid: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+    """Sheets that cannot be imported and why: ``sheet_id, error``.  ``layouts`` if they are known already."""
+    layouts = sheet_layouts(grid) if layouts is None else layouts
     sheets = grid.select("sheet_id").distinct()
     absent = F.array_compact(
         F.array(*[F.when(F.col(f"columns.{f}") == 0, F.lit(f)) for f in REQUIRED_SHEET_FIELDS])
@@ -72,12 +86,12 @@ def sheet_errors(grid: DataFrame) -> DataFrame:
     return sheets.join(layouts, "sheet_id", "left").select("sheet_id", error.alias("error")).where("error is not null")
 
 
-def mapped_rows(grid: DataFrame) -> DataFrame:
+def mapped_rows(grid: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
     """The data rows of importable sheets with one text column per field.
 
-    Rows with a blank order id are spacers and are dropped.
+    Rows with a blank order id are spacers and are dropped.  Layouts are worked out once, or given.
     """
-    layouts = sheet_layouts(grid)
+    layouts = pin(sheet_layouts(grid)) if layouts is None else layouts
     for field in REQUIRED_SHEET_FIELDS:
         layouts = layouts.where(F.col(f"columns.{field}") > 0)
     # One row per sheet, so this broadcasts unless there are very many sheets.

@@ -24,7 +24,8 @@ class SheetImport:
 
 def import_sheets(grid: DataFrame, carry_status: bool = True, fallback_year: int | None = None) -> SheetImport:
     """All sheets of a grid.  Task ids follow sheet, row and product order."""
-    rows = sheets.mapped_rows(grid)
+    layouts = pin(sheets.sheet_layouts(grid))  # looked for once, read by rows and errors
+    rows = sheets.mapped_rows(grid, layouts)
     # Parsed once; numbering and counting read the parsed items.
     items = pin(sheets.line_items(rows, carry_status=carry_status, fallback_year=fallback_year))
     numbered = number_tasks(items.withColumn("_status", F.col("task_status")), ["sheet_id", "row_no", "item_no"])
@@ -32,5 +33,5 @@ def import_sheets(grid: DataFrame, carry_status: bool = True, fallback_year: int
         "sheet_id", "row_no", "item_no", *TASK_COLUMNS
     )
     return SheetImport(
-        tasks, sheets.count_mismatches(rows), sheets.rejected_rows(rows), sheets.sheet_errors(grid), sheets.sheet_counts(items)
+        tasks, sheets.count_mismatches(rows), sheets.rejected_rows(rows), sheets.sheet_errors(grid, layouts), sheets.sheet_counts(items)
     )

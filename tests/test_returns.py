@@ -68,6 +68,23 @@ def test_sheet_options(grid):
     assert [r.amount for r in reset.where("order_id = 'OD2'").orderBy("item_no").collect()] == [33.34, 33.33, 33.33]
 
 
+def test_layouts_are_worked_out_once_for_an_import(grid, monkeypatch):
+    found, plain = [], sheets.sheet_layouts
+    monkeypatch.setattr(sheets, "sheet_layouts", lambda *a, **k: found.append(1) or plain(*a, **k))
+    done = import_sheets(grid)
+    done.tasks.count(), done.errors.count(), done.rejects.count(), done.mismatches.count()
+    assert len(found) == 1
+
+
+def test_headers_in_odd_spellings(spark):
+    rows = [
+        ("a", 1, ["~Order~~No!", None, "ordered number"]), ("a", 2, ["order   number", "PRODUCT (URL)"]),
+        ("b", 1, ["my order id", "link"]), ("c", 1, ["O.R.D.E.R.I.D", "---link---", "Platform"]),
+    ]
+    found = {r.sheet_id: r.header_row for r in sheets.sheet_layouts(spark.createDataFrame(rows, schemas.GRID)).collect()}
+    assert found == {"a": 2, "c": 1}
+
+
 def raw_tasks(spark, *changes):
     base = dict.fromkeys(schemas.TASK_COLUMNS, "") | {"platform": "flipkart", "order_id": "OD1"}
     rows = [tuple((base | c).values()) for c in changes]

@@ -203,7 +203,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({_matches_sql("assign", 0, OP7_ASSIGN, 2, 6)}
     UNION ALL {_matches_sql("access", 1, "AKIA[A-Z0-9]+", 0, 20)}
     UNION ALL {_matches_sql("hex", 2, "[0-9a-f]{24,}", 0, 24)}
-    UNION ALL {_matches_sql("pem", 3, "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=[:space:]]+-----END [A-Z ]{0,20}PRIVATE KEY-----", 0, 0)}
+    UNION ALL {_matches_sql("pem", 3, "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=[:space:]:,\\\\-]+?-----END [A-Z ]{0,20}PRIVATE KEY-----", 0, 0)}
     UNION ALL {_matches_sql("web_token", 4, "eyJ[A-Za-z0-9_-]{10,}[.]eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}", 0, 0)}
 ), found AS (
     SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.words import pieces, text_array
 from ledgerloom.operators.lookups import lookup
+from ledgerloom.session import BROADCAST_MAX_ROWS, pin
+from ledgerloom.sources.versions import names_in
 
 FINDING = "struct<rule:string,start_at:bigint,end_at:bigint>"
 LEDGER = f"blob string, rules array<string>, findings array<{FINDING}>"
@@ -29,7 +31,8 @@ LEDGER = f"blob string, rules array<string>, findings array<{FINDING}>"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of hex digits is one match, so shorter ones may be passed over
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,20}PRIVATE KEY-----")
+# The body up to the first end mark, with header lines (Proc-Type, DEK-Info) and escaped line ends.
+PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\\-]+?-----END [A-Z ]{0,20}PRIVATE KEY-----", re.ASCII)
 TOKEN_TRIPLE = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 
 
@@ -69,7 +72,7 @@ class Rule(NamedTuple):
 
 
 BASE_KINDS = ("assign", "access", "hex")
-RULES = (Rule("assign", 1, _assign), Rule("access", 1, _access), Rule("hex", 1, _hex), Rule("pem", 1, _pem), Rule("web_token", 2, _triple))
+RULES = (Rule("assign", 1, _assign), Rule("access", 1, _access), Rule("hex", 1, _hex), Rule("pem", 2, _pem), Rule("web_token", 2, _triple))
 
 
 def blob_id(text: str = "text") -> Column:
@@ -78,7 +81,8 @@ def blob_id(text: str = "text") -> Column:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """One row per blob: the rule versions that have read it and their findings, empty before the first scan."""
-    spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)
+    if not any(name.endswith(".parquet") for name in names_in(spark, path)):
+        return spark.createDataFrame([], LEDGER)
     rows = spark.read.schema(LEDGER).parquet(path)
     # A blob has one row per scan that read it, so never more than there are rule versions.
     return rows.groupBy("blob").agg(
@@ -88,12 +92,19 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unseen_pairs(texts: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The blobs that some current rule version has not read: ``blob, text, to_run``."""
+    """The blobs that some current rule version has not read: ``blob, text, to_run``.
+
+    Names are compared first, so that of a scan with little that is new only those texts move, and with nothing new none.
+    """
     current = F.array(*[F.lit(r.id) for r in rules])
-    blobs = texts.dropDuplicates(["blob"])  # copies go before the shuffle, so a text of many paths is no hot key
     seen = ledger.select("blob", F.col("rules").alias("_seen"))
     to_run = F.array_except(current, F.coalesce("_seen", F.array().cast("array<string>")))
-    return blobs.join(seen, "blob", "left").select("blob", "text", to_run.alias("to_run")).where(F.size("to_run") > 0)
+    names = texts.select("blob").distinct()
+    unseen = pin(names.join(seen, "blob", "left").select("blob", to_run.alias("to_run")).where(F.size("to_run") > 0))
+    # Copies go before the shuffle, so a text of many paths is no hot key.
+    if unseen.count() <= BROADCAST_MAX_ROWS:
+        return texts.join(F.broadcast(unseen), "blob").dropDuplicates(["blob"])
+    return texts.dropDuplicates(["blob"]).join(unseen, "blob")
 
 
 def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,7 +127,8 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, key
             )
 
     texts = docs.select(blob_id(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    unseen_pairs(texts, read_ledger(spark, ledger_path), rules).mapInArrow(read, LEDGER).write.mode("append").parquet(ledger_path)
+    unseen = unseen_pairs(texts, read_ledger(spark, ledger_path), rules).select("blob", "text", "to_run")
+    unseen.mapInArrow(read, LEDGER).write.mode("append").parquet(ledger_path)
 
     order = F.create_map(*[x for n, r in enumerate(rules) for x in (F.lit(r.id), F.lit(n))])
     placed = F.transform(

@@ -9,6 +9,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import quality, secret_scan, token_counts
@@ -162,6 +163,31 @@ def test_further_rules(kind):
     assert list(rule.spans("plain words")) == []
 
 
+def test_private_keys_with_header_lines_and_escaped_line_ends():
+    rule = {r.kind: r for r in secret_scan.RULES}["pem"]
+    begin, end = "-----BEGIN EC PRIVATE KEY-----", "-----END EC PRIVATE KEY-----"
+    locked = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nMIIab+/=\n{end}"
+    escaped = begin + r"\nMIIab+/=\nMIIcd\n" + end
+    text = f"a {locked} b {escaped} c"
+    assert [text[s:e] for s, e in rule.spans(text)] == [locked, escaped]
+    assert list(rule.spans(f"{begin} not (closed) {end}")) == []
+
+
+def test_a_second_scan_moves_no_text(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    long = "x" * 300_000 + " token=abcdef123 " + "é" * 100_000
+    docs = spark.createDataFrame([(1, "password: hunter22", "b"), (2, long, "c"), (2, long, "d"), (None, None, "e")], "doc_id long, text string, blob string")
+    docs = docs.withColumns({"findings": F.lit(1), "rules": F.lit(2), "to_run": F.lit(3)})
+    first = sorted(map(str, secret_scan.scan(docs, path).collect()))
+    texts = docs.select(secret_scan.blob_id().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    again = secret_scan.unseen_pairs(texts, secret_scan.read_ledger(spark, path))
+    assert again.collect() == []
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # of the joined rows, none
+    assert sorted(map(str, secret_scan.scan(docs, path).collect())) == first
+    assert [f.start_at for r in secret_scan.scan(docs, path).collect() if r.doc_id == 2 for f in r.findings] == [300_001] * 2
+
+
 def test_web_tokens_after_a_word_character(spark, tmp_path):
     token = "eyJhbGciOiJIUz.eyJzdWIiOiIxMg.abcdefghij-_"
     texts = [f"a%20{token}", f"a%3D{token}", "a\\n" + token, f"a_{token}", token]

@@ -10,8 +10,11 @@ A document word is *hit* inside an occurrence of a window of 13 consecutive item
 whole item if it is shorter); a document is contaminated with at least one hit word and one
 hit in 20 words.
 
+Equal windows of any number of items are searched as one.
+
 Defined cases: null texts have no words; items without words match nothing; repeated items
-count once by their id; a null item id reads as the empty string.
+count once by their id; a null item id reads as the empty string; rows with null or repeated keys are
+judged one by one and kept or dropped by their own texts.
 """
 
 from __future__ import annotations
@@ -31,6 +34,27 @@ WINDOW = 13
 SLICE_BYTES = 16 << 20  # benchmark text broadcast at once; its arrays take about three times that
 
 
+def window_groups(hashes: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the windows ``hashes[at:at + length]`` are equal: the group of each, and the first window of each group.
+
+    A window is told by its first and its last words, as many as a power of two has, whose ranks come from doubling.
+    """
+    group, firsts, known = np.zeros(len(at), np.int64), [np.zeros(0, np.int64)], 0
+    rank, width = np.unique(hashes, return_inverse=True)[1].astype(np.int64), 1
+    for n in np.unique(length).tolist():
+        while 2 * width <= n:
+            after = np.zeros_like(rank)
+            after[: max(0, len(rank) - width)] = rank[width:] + 1
+            rank, width = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64), 2 * width
+        rows = np.flatnonzero(length == n)
+        ends = rank[at[rows]] * (len(rank) + 2) + rank[at[rows] + n - width]
+        _, first, which = np.unique(ends, return_index=True, return_inverse=True)
+        group[rows] = known + which
+        firsts.append(rows[first])
+        known += len(first)
+    return group, np.concatenate(firsts)
+
+
 class Benchmark(NamedTuple):
     """Word suffixes of a slice of the benchmark."""
 
@@ -39,6 +63,9 @@ class Benchmark(NamedTuple):
     item: np.ndarray  # per suffix, the number of its item
     window: np.ndarray  # per suffix, the words of the window that starts there; 0 if none does
     ids: list[str]
+    distinct: np.ndarray  # a suffix for each window that differs from the others
+    owner_at: np.ndarray  # where the items of each distinct window begin in ``owners``
+    owners: np.ndarray  # numbers of items, each once a window
 
     @classmethod
     def of(cls, items: list[tuple[str, str]], window: int = WINDOW) -> Benchmark:
@@ -47,7 +74,12 @@ class Benchmark(NamedTuple):
         left = words.first[item + 1] - np.arange(len(item))
         n = words.counts[item]
         starts = np.where(n >= window, left >= window, left == n)
-        return cls(words.hashes(), left, item, np.where(starts, np.minimum(n, window), 0), [i for i, _ in items])
+        sizes = np.where(starts, np.minimum(n, window), 0)
+        at, hashes = np.flatnonzero(sizes), words.hashes()
+        group, firsts = window_groups(hashes, at, sizes[at])
+        owned = np.unique(group * (len(items) + 1) + item[at])
+        owner_at = np.searchsorted(owned // (len(items) + 1), np.arange(len(firsts) + 1))
+        return cls(hashes, left, item, sizes, [i for i, _ in items], at[firsts], owner_at, owned % (len(items) + 1))
 
 
 class SuffixArray:
@@ -128,6 +160,18 @@ def find(words: Words, bench: Benchmark, window: int = WINDOW) -> tuple[np.ndarr
     return at, suffix[which], length[which], array.common(at, bench, suffix[which])
 
 
+def find_windows(words: Words, bench: Benchmark, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every occurrence of a distinct window: word number in the shard, number of the window, its length."""
+    array = SuffixArray(words, window)
+    if not array.n or not bench.distinct.size:
+        return (np.zeros(0, np.int64),) * 3
+    length = bench.window[bench.distinct]
+    low = array.search(bench, bench.distinct, length, or_equal=False)
+    high = array.search(bench, bench.distinct, length, or_equal=True)
+    places, which = _spread(low, high)
+    return array.order[places], which, length[which]
+
+
 def benchmark_slices(benchmark: DataFrame, item: str = "item_id", text: str = "text", slice_bytes: int = SLICE_BYTES) -> Iterator[list[tuple[str, str]]]:
     """The benchmark in parts whose expected size is at most ``slice_bytes``."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -192,7 +236,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
             b = bench.value
             for batch in pieces(batches, text):
                 words = Words(batch.column(text), NOT_ALPHANUMERIC, LOWER)
-                at, suffix, length, _ = find(words, b, window)
+                at, found_window, length = find_windows(words, b, window)
                 doc = words.doc_of_word()
                 marked = np.zeros(len(words), bool)
                 for size in np.unique(length):
@@ -200,9 +244,14 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
                 inside = np.concatenate([[0], np.cumsum(sum_by_text(marked.astype(np.int64), words.first))])
                 place = np.flatnonzero(marked)
                 hits = pa.ListArray.from_arrays(pa.array(inside, pa.int32()), pa.array(place - words.first[doc[place]], pa.int64()))
-                pair = np.unique(np.stack([doc[at], b.item[suffix]]), axis=1)
-                items_at = np.searchsorted(pair[0], np.arange(batch.num_rows + 1))
-                found = pa.ListArray.from_arrays(pa.array(items_at, pa.int32()), pa.array([b.ids[i] for i in pair[1]], pa.string()))
+                # A window is looked up once a text, whichever items have it; their ids come last.
+                n_windows = len(b.distinct) + 1
+                pair = np.unique(doc[at] * n_windows + found_window)
+                owner, which = _spread(b.owner_at[pair % n_windows], b.owner_at[pair % n_windows + 1])
+                owned = np.unique(pair[which] // n_windows * (len(b.ids) + 1) + b.owners[owner])
+                items_at = np.searchsorted(owned // (len(b.ids) + 1), np.arange(batch.num_rows + 1))
+                ids = pa.array([b.ids[i] for i in (owned % (len(b.ids) + 1)).tolist()], pa.string())
+                found = pa.ListArray.from_arrays(pa.array(items_at, pa.int32()), ids)
                 if number:
                     hits = pa.array([a + c for a, c in zip(batch.column("_hits").to_pylist(), hits.to_pylist(), strict=True)], hits.type)
                     found = pa.array([a + c for a, c in zip(batch.column("_items").to_pylist(), found.to_pylist(), strict=True)], found.type)

@@ -64,6 +64,35 @@ def test_hits(spark, monkeypatch, texts, items, slice_bytes):
     assert {r.doc_id for r in clean.collect()} == {d for d, e in expected.items() if not e[3]}
 
 
+def test_rows_without_a_key_and_repeated_rows(spark, with_null_key, items):
+    benchmark = spark.createDataFrame([*items, (77, "same " * 13)], "item_id long, text string")
+    rows = [(r.doc_id, r.text) for r in with_null_key.collect()]
+    by_text = brute({t: t or "" for _, t in rows}, [*items, (77, "same " * 13)])
+    found = sorted(str((r.doc_id, r.n_words, r.n_hit, list(r.item_ids), r.contaminated)) for r in dc.contamination(with_null_key, benchmark).collect())
+    assert found == sorted(str((k, *by_text[t])) for k, t in rows)
+    kept = sorted(str((r.doc_id, r.text)) for r in dc.decontaminate(with_null_key, benchmark).select("doc_id", "text").collect())
+    assert kept == sorted(str((k, t)) for k, t in rows if not by_text[t][3]) and len(kept) < len(rows)
+
+
+def test_equal_items_are_searched_as_one():
+    words = dc.Words(dc.pa.array(["the cat and the dog and the end " * 500]), dc.NOT_ALPHANUMERIC, dc.LOWER)
+    one, many = (dc.Benchmark.of([(f"i{i}", "the") for i in range(n)]) for n in (1, 300))
+    assert len(dc.find_windows(words, many)[0]) == len(dc.find_windows(words, one)[0]) == 1500
+    assert len(many.distinct) == 1 and len(many.owners) == 300
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_window_groups_against_tuples(seed):
+    rng = random.Random(seed)
+    hashes = dc.np.array([rng.randint(0, 2) for _ in range(120)], dc.np.uint64)
+    length = dc.np.array([rng.choice([1, 2, 3, 5, 8, 13]) for _ in range(60)])
+    at = dc.np.array([rng.randint(0, 120 - n) for n in length])
+    group, firsts = dc.window_groups(hashes, at, length)
+    said = [tuple(hashes[a : a + n].tolist()) for a, n in zip(at, length, strict=True)]
+    assert len(firsts) == len(set(said)) and len({(g, w) for g, w in zip(group.tolist(), said, strict=True)}) == len(set(said))
+    assert [said[f] for f in firsts[group]] == said
+
+
 def test_longest_matches_and_places(spark, items):
     long_item = items[4][1]
     words = alnum(long_item)

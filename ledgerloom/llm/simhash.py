@@ -9,7 +9,7 @@ threshold of a fingerprint then meets it at its home, where the whole fingerprin
 compared.
 
 Only distinct fingerprints are replicated, so exact copies cost one.  An anchor with many
-homes is dealt out in slices of its homes.  What an anchor hands on are not its pairs but
+homes is dealt out in slices of its homes; a task holds the homes of one slice and lets the members pass by.  What an anchor hands on are not its pairs but
 a spanning tree of them: links for the components, no more than it has members.
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; a null
@@ -172,24 +172,21 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(some[who]), pa.array(home)], ["anchor", "fp", "home"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(part: pa.Table) -> pa.RecordBatch:
-            key = part["key"].to_numpy()
-            a, b = _close_pairs(part["fp"].to_numpy().view(np.uint64), part["home"].to_numpy(), key, distance)
-            tree = spanning_tree(a, b) if len(a) else (a, b)
-            return pa.RecordBatch.from_arrays(list(map(pa.array, tree)), ["a", "b"])
-
-        held: list[pa.RecordBatch] = []
+        # Homes come before the other members of their group, so of a group that goes on only these are held.
+        open_key, held = -1, np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))  # its last group may go on in the next batch
-            if last or (held and held[-1].column("key")[-1].as_py() != key[0]):
-                yield found(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield found(pa.Table.from_batches(held))
+            key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
+            home = batch.column("home").to_numpy(zero_copy_only=False)
+            if key[0] == open_key:
+                key, fp = np.concatenate([np.full(len(held), open_key), key]), np.concatenate([held, fp])
+                home = np.concatenate([np.ones(len(held), bool), home])
+            a, b = _close_pairs(fp.view(np.uint64), home, key, distance)
+            tree = spanning_tree(a, b) if len(a) else (a, b)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, tree)), ["a", "b"])
+            last = int(np.searchsorted(key, key[-1]))
+            open_key, held = key[-1], fp[last:][home[last:]]
 
     homes = distinct.mapInArrow(home_anchors, "anchor long").groupBy("anchor").count().where(F.col("count") > HOMES_PER_SLICE)
     slices = homes.select("anchor", F.ceil(F.col("count") / HOMES_PER_SLICE).cast("int").alias("slices"))
@@ -202,7 +199,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # One number per anchor and slice; at the bound of 2**24 slices an anchor would have 2**36 homes.
     keyed = dealt.select((F.col("anchor") + F.col("slice").cast("long") * (1 << 36)).alias("key"), "fp", "home")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(compared, "a long, b long")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", F.desc("home")).mapInArrow(compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

@@ -66,6 +66,20 @@ def test_every_pair_within_the_distance_meets_at_an_anchor():
     assert met == set(range(len(fps)))
 
 
+@pytest.fixture
+def small_batches(spark):
+    """Groups of an anchor that go on over many batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "13")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_groups_over_many_batches(spark, monkeypatch, small_batches):
+    test_links_join_a_large_group_of_near_copies(spark, monkeypatch, 7)
+
+
 @pytest.mark.parametrize("homes_per_slice", [4096, 7])
 def test_links_join_a_large_group_of_near_copies(spark, monkeypatch, homes_per_slice):
     """Fingerprints a few bits around one another, some only reachable through others; anchors dealt out in slices."""

@@ -77,13 +77,20 @@ def small_batches(spark):
 
 
 def test_groups_over_many_batches(spark, monkeypatch, small_batches):
-    test_links_join_a_large_group_of_near_copies(spark, monkeypatch, 7)
+    monkeypatch.setattr(simhash, "HOMES_PER_SLICE", 7)
+    links_and_pairs(spark)
 
 
 @pytest.mark.parametrize("homes_per_slice", [4096, 7])
 def test_links_join_a_large_group_of_near_copies(spark, monkeypatch, homes_per_slice):
-    """Fingerprints a few bits around one another, some only reachable through others; anchors dealt out in slices."""
+    """Anchors dealt out in slices."""
     monkeypatch.setattr(simhash, "HOMES_PER_SLICE", homes_per_slice)
+    links, pairs = links_and_pairs(spark)
+    assert len(links) < len(pairs)
+
+
+def links_and_pairs(spark):
+    """Fingerprints a few bits around one another, some only reachable through others: links and pairs connect the same."""
     rng = random.Random(4)
     centre = rng.getrandbits(64)
     fps = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(250)} | {rng.getrandbits(64) for _ in range(150)}
@@ -94,7 +101,7 @@ def test_links_join_a_large_group_of_near_copies(spark, monkeypatch, homes_per_s
     links = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in found]
     assert all((a ^ b).bit_count() >= 1 for a, b in links)
     assert grouped(fps, links) == grouped(fps, pairs)
-    assert len(links) < len(pairs)
+    return links, pairs
 
 
 def test_components_of_long_chains_and_a_hot_node(spark):

@@ -28,10 +28,14 @@ def _entries(confirmations: DataFrame) -> DataFrame:
     )
 
 
-def _pieces(text: Column, size: Column) -> Column:
-    """Hashes of the distinct pieces of a text, each with its order, so that a piece is one number."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*ORDER_KEY, text.substr(i, size))))
+def _pieces(text: Column, size: Column, starts: Column) -> Column:
+    """Hashes of the distinct pieces of a text at the given places, each with its order, so that a piece is one number."""
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64("_order", text.substr(i, size))))
+
+
+def _side_by_side(length: Column, size: Column) -> Column:
+    """Places of pieces that cover a needle, the last one up to its end."""
+    return F.array_append(F.sequence(F.lit(1), F.greatest(length - size, F.lit(1)), F.greatest(size, F.lit(1))), length - size + 1)
 
 
 def title_candidates(anchors: DataFrame, cut: DataFrame) -> DataFrame:
@@ -43,9 +47,10 @@ def _by_title(rest: DataFrame, entries: DataFrame) -> DataFrame:
     """The first entry whose text contains each needle: ``platform, order_id, _needle, _entry``.
 
     The distinct texts of an order are numbered in the order of their first entries and cut into pieces of eight
-    characters (all of a shorter needle); pieces are hashed with their order and carry the text's number, not the
-    text.  A needle needs all of its pieces in an order, and is looked for where its *rarest* one is: first in the first
-    text that has it, which settles a needle that many texts contain, then in the others.  What meets is compared whole.
+    characters (all of a shorter needle); pieces are hashed with their order and carry the text's number, not the text.
+    A needle needs all of the pieces that cover it in an order, and is looked for where the *rarest* of them is: first in
+    the first text that has it, which settles a needle that many texts contain, then in the others.  What meets is compared
+    whole.
     """
     needles = pin(rest.select(*ORDER_KEY, "_needle").withColumn("needle", F.monotonically_increasing_id()))
     needles = needles.withColumn("_n", F.least(F.length("_needle"), F.lit(PIECE_CHARS)))
@@ -53,12 +58,15 @@ def _by_title(rest: DataFrame, entries: DataFrame) -> DataFrame:
     texts = entries.groupBy(*ORDER_KEY, "_text").agg(F.min(F.struct("position", "_entry")).alias("_first"))
     in_order = [*(F.col(c) for c in ORDER_KEY), F.col("_first"), F.col("_text")]
     texts = row_numbers(lookup(texts, sizes, ORDER_KEY, "inner"), in_order, "number")
-    sized = texts.withColumn("_n", F.explode("_sizes")).where(F.length("_text") >= F.col("_n"))
-    cut = pin(sized.select("number", F.explode(_pieces(F.col("_text"), F.col("_n"))).alias("piece")))
+    order = F.xxhash64(*ORDER_KEY)
+    asked = needles.withColumn("_order", order)
+    asked = asked.withColumn("_pieces", _pieces(F.col("_needle"), F.col("_n"), _side_by_side(F.length("_needle"), F.col("_n"))))
+    asked = pin(asked.select("needle", F.size("_pieces").alias("_all"), F.explode("_pieces").alias("piece")))
+    sized = texts.withColumn("_order", order).withColumn("_n", F.explode("_sizes")).where(F.length("_text") >= F.col("_n"))
+    everywhere = F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1)
+    cut = sized.select("number", F.explode(_pieces(F.col("_text"), F.col("_n"), everywhere)).alias("piece"))
+    cut = pin(cut.join(asked.select("piece"), "piece", "left_semi"))  # most pieces of a text are in no needle's cover
     directory = cut.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first"))
-
-    asked = needles.withColumn("_pieces", _pieces(F.col("_needle"), F.col("_n")))
-    asked = asked.select("needle", F.size("_pieces").alias("_all"), F.explode("_pieces").alias("piece"))
     rarest = F.min(F.struct("n", "piece", "first"))
     anchors = lookup(asked, directory, ["piece"], "inner").groupBy("needle", "_all").agg(F.count(F.lit(1)).alias("_met"), rarest.alias("a"))
     anchors = pin(anchors.where("_met = _all").select("needle", "a.*"))

@@ -213,6 +213,19 @@ def test_reconciliation_agrees_with_comparing_all_pairs(spark):
     assert {r.confirmed_by for r in found.collect()} == {"product", "title", None}
 
 
+def test_needles_of_every_length_are_found_wherever_they_stand(spark):
+    rng = random.Random(21)
+    texts = ["".join(rng.choices("abé ", k=rng.randint(1, 60))).strip() + "." for _ in range(40)]
+    cuts = [(t, a, a + n) for t in texts for n in (1, 7, 8, 9, 14, 15, 16, 30) for a in [rng.randint(0, 50)] if a + n <= len(t)]
+    needles = sorted({" ".join(t[a:b].split()) for t, a, b in cuts} | {"absent words of some length", "zz"})
+    submitted = [(i, "P", "o", None, w) for i, w in enumerate(needles)]
+    listed = [("P", "o", i, None, t, None, None) for i, t in enumerate(texts)]
+    found = reconcile.reconcile(spark.createDataFrame(submitted, SUBMITTED), spark.createDataFrame(listed, CONFIRMATION))
+    flat = [" ".join(t.split()) for t in texts]
+    expected = {i: next((n for n, t in enumerate(flat) if w in t), None) for i, w in enumerate(needles)}
+    assert {r.row_no: r.position for r in found.select("row_no", "entry.position").collect()} == expected
+
+
 def test_titles_with_a_common_beginning_do_not_all_meet(spark, monkeypatch):
     joined, plain = [], reconcile.title_candidates
 

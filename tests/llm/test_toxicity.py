@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import toxicity
 
@@ -86,3 +88,64 @@ def test_the_sample_is_bounded_and_repeatable(frames):
     a, b = (toxicity.train(docs.repartition(n), labels, labelled_rows=120) for n in (2, 5))
     assert a.features.tolist() == b.features.tolist()
     assert all(np.allclose(x, y, atol=1e-3) for x, y in zip(a.weights, b.weights, strict=True))
+
+
+def newton(x, y, use, penalty=toxicity.PENALTY):
+    """Logistic regression by Newton steps on all columns; the first is the intercept and is not penalised."""
+    x, y = x[use], y[use]
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+    ridge[0] = 0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        slope = x.T @ (p - y) / len(y) + ridge * w
+        curve = (x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(ridge + 1e-12)
+        w -= np.linalg.solve(curve, slope)
+    return w
+
+
+def parts_of(text):
+    """The words of a text and the beginnings of its longer words."""
+    words = re.findall("[0-9a-z]+", text.lower())
+    return {("word", w) for w in words} | {(n, w[:n]) for w in words for n in toxicity.BEGINNINGS if len(w) > n}
+
+
+def test_chain_against_plain_loops(spark):
+    """Counts, evidence, folds, fits and probabilities worked out one by one."""
+    rng = random.Random(31)
+    vocabulary = ["alpha", "brick", "cloud", "drift", "ember", "flint", "grove", "hazelnut", "hazelwood", "ivory"]
+    rows = []
+    for i in range(400):
+        words = rng.sample(vocabulary, rng.randint(2, 6))
+        toxic = rng.random() < (0.75 if "brick" in words else 0.2)
+        quality = rng.random() < (0.8 if "hazelnut" in words or "hazelwood" in words else 0.35)
+        rows.append((i, " ".join(words), int(quality), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    found = {r.doc_id: r for r in toxicity.score(table, toxicity.train(table, table.drop("text"))).collect()}
+
+    texts = [parts_of(t) for _, t, _, _ in rows]
+    labels = [np.array([t and not q for _, _, q, t in rows], float), np.array([t and q for _, _, q, t in rows], float), np.array([t for *_, t in rows], float)]
+    n, features = len(rows), []
+    for f in sorted({f for t in texts for f in t}, key=str):
+        has = np.array([f in t for t in texts])
+        most = 0.0
+        for y in labels:
+            table2 = [[(has & (y == v)).sum() for v in (1, 0)], [(~has & (y == v)).sum() for v in (1, 0)]]
+            (a, b), (c, d) = table2
+            spread = (a + b) * (c + d) * (a + c) * (b + d)
+            most = max(most, n * (a * d - b * c) ** 2 / spread if spread else 0.0)
+        if has.sum() >= toxicity.LEAST_TEXTS and most >= toxicity.LEAST_EVIDENCE:
+            features.append(has.astype(float))
+    assert 2 <= len(features) < 20
+    fold_of = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(toxicity.FOLDS))
+    fold = np.array([r.f for r in table.select("doc_id", fold_of.alias("f")).orderBy("doc_id").collect()])
+    words = np.column_stack([np.ones(n), *features])
+    learned, judged = words, words
+    for name, y in zip(toxicity.CATEGORIES, labels, strict=True):
+        p = 1 / (1 + np.exp(-(judged @ newton(learned, y, np.ones(n, bool)))))
+        assert [found[i][f"p_{name}"] for i in range(n)] == pytest.approx(p.tolist(), abs=1e-3)
+        out_of_fold = np.zeros(n)
+        for k in range(toxicity.FOLDS):
+            w = newton(learned, y, fold != k)
+            out_of_fold[fold == k] = 1 / (1 + np.exp(-(learned @ w)))[fold == k]
+        learned, judged = np.column_stack([learned, out_of_fold]), np.column_stack([judged, p])
+    assert all(r.rejected == (r.p_toxic >= toxicity.THRESHOLD) for r in found.values())

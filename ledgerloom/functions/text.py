@@ -115,13 +115,21 @@ def overlap(a: Column, b: Column) -> Column:
     )
 
 
-def refusal_status(note: Column) -> Column:
-    """The return status a platform's refusal text stands for; rules in order."""
+def refusal_status(note: Column, more: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The return status a platform's refusal text stands for; rules in order.
+
+    ``more`` adds lower-case phrases to a status's own; they are asked for in its turn.
+    """
     text = F.lower(F.coalesce(note, F.lit("")))
+    if unknown := set(more or {}) - set(REFUSAL_PHRASES):
+        raise ValueError(f"no refusal status: {', '.join(sorted(unknown))}")
 
     status = F.lit(SUPPORT_NEEDED)
     for meaning, phrases in reversed(REFUSAL_PHRASES.items()):
-        status = F.when(text.rlike("|".join(phrases)), meaning).otherwise(status)
+        hit = text.rlike("|".join(phrases))
+        for phrase in (more or {}).get(meaning, ()):
+            hit = hit | F.contains(text, F.lit(phrase))
+        status = F.when(hit, meaning).otherwise(status)
     return status
 
 

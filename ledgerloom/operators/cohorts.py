@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,15 +28,30 @@ def cohort_cells(activity: DataFrame, period: str = "txn_month") -> DataFrame:
     )
 
 
-def cohort_grid(everything: DataFrame, activity: DataFrame, period: str = "txn_month") -> DataFrame:
+def periods_of(everything: DataFrame, period: str = "txn_month", full_calendar: bool = False) -> DataFrame:
+    """The distinct periods as ``p``; with ``full_calendar`` every month (``yyyy-MM``) from the first to the last one."""
+    if not full_calendar:
+        return everything.select(F.col(period).alias("p")).where(F.col(period).isNotNull()).distinct()
+
+    def first_day(month: Column) -> Column:
+        return F.to_date(F.concat(month, F.lit("-01")))
+
+    span = everything.agg(F.min(period).alias("first"), F.max(period).alias("last"))
+    months = F.sequence(first_day(F.col("first")), first_day(F.col("last")), F.make_ym_interval(F.lit(0), F.lit(1)))
+    return span.select(F.explode(F.transform(months, lambda day: F.date_format(day, "yyyy-MM"))).alias("p"))
+
+
+def cohort_grid(
+    everything: DataFrame, activity: DataFrame, period: str = "txn_month", full_calendar: bool = False
+) -> DataFrame:
     """Every pair of periods with its user count: ``cohort_month, active_month, active_users``.
 
     Periods come from all rows, cohorts only from the activity.  A cell before its
     cohort, or of a period that formed no cohort, is null; a cell of an existing
-    cohort in which nobody was active is 0.  The periods of a calendar are few, so
-    their list travels as one array.
+    cohort in which nobody was active is 0.  With ``full_calendar`` months without any row
+    appear too.  The periods of a calendar are few, so their list travels as one array.
     """
-    periods = everything.select(F.col(period).alias("p")).where(F.col("p").isNotNull()).distinct()
+    periods = periods_of(everything, period, full_calendar)
     calendar = periods.agg(F.array_sort(F.collect_set("p"))).scalar()
     cells = cohort_cells(activity, period)
     formed = cells.select("cohort_month").distinct().withColumn("formed", F.lit(True))
@@ -55,13 +70,14 @@ def cohort_grid(everything: DataFrame, activity: DataFrame, period: str = "txn_m
     )
 
 
-def cohort_matrix(everything: DataFrame, activity: DataFrame, period: str = "txn_month") -> DataFrame:
+def cohort_matrix(
+    everything: DataFrame, activity: DataFrame, period: str = "txn_month", full_calendar: bool = False
+) -> DataFrame:
     """The grid with one column per period.
 
     The column names are data, so the distinct periods - a calendar's worth - are
     read first; naming them also spares the pivot a second pass.
     """
-    found = everything.select(period).where(F.col(period).isNotNull()).distinct().orderBy(period).collect()
-    names = [str(row[0]) for row in found]
-    grid = cohort_grid(everything, activity, period).withColumn("active_month", F.col("active_month").cast("string"))
+    names = [str(row.p) for row in periods_of(everything, period, full_calendar).orderBy("p").collect()]
+    grid = cohort_grid(everything, activity, period, full_calendar).withColumn("active_month", F.col("active_month").cast("string"))
     return grid.groupBy("cohort_month").pivot("active_month", names).agg(F.max("active_users")).orderBy("cohort_month")

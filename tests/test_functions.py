@@ -128,6 +128,16 @@ def test_refusals_keep_their_order(spark):
     assert apply(spark, text.refusal_status, list(cases)) == list(cases.values())
 
 
+def test_further_refusal_phrases(spark):
+    notes = ["Not yet delivered", "NOT YET delivered, cancelled", "too late (a+b)", "shipped", None]
+    more = {"Not yet delivered": ("not yet delivered",), "Out of window": ("(a+b)",)}
+    assert apply(spark, lambda c: text.refusal_status(c, more), notes) == [
+        "Not yet delivered", "Already Cancelled & Refunded", "Out of window", "Not yet delivered", "Support Needed",
+    ]
+    with pytest.raises(ValueError, match="Lost"):
+        text.refusal_status(F.lit("x"), {"Lost": ("x",)})
+
+
 def test_ids_and_amounts_in_text(spark):
     assert apply(spark, lambda c: text.return_id(c, text.LETTER_RETURN_ID), ["Return ID: cr2606000000", "later", " "]) == [
         "cr2606000000", "later", None,

@@ -206,6 +206,19 @@ def test_runs_of_ranks_are_dealt_out(numbers, monkeypatch):
     assert hypothesis.shapiro_wilk(numbers, "x").first().w == pytest.approx(whole, rel=1e-12)
 
 
+def test_a_full_calendar_has_the_months_without_rows(spark):
+    made = [(1, "2021-11"), (2, "2022-02"), (1, "2022-02"), (1, None)]
+    tx = spark.createDataFrame(made, "user_id long, txn_month string")
+    months = ["2021-11", "2021-12", "2022-01", "2022-02"]
+    found = cohorts.cohort_matrix(tx, tx, full_calendar=True)
+    assert found.columns == ["cohort_month", *months]
+    assert [tuple(r) for r in found.collect()] == [
+        ("2021-11", 1, 0, 0, 1), ("2021-12", None, None, None, None), ("2022-01", None, None, None, None), ("2022-02", None, None, None, 1),
+    ]
+    assert cohorts.cohort_matrix(tx, tx).columns == ["cohort_month", "2021-11", "2022-02"]
+    assert cohorts.cohort_grid(tx.limit(0), tx, full_calendar=True).collect() == []
+
+
 LINES = [
     "1/5/2020 7 1342IMPS DEBIT ab12 1 1",
     "1/6/2020 8 20upi CREDIT cd34 1 1 2/7/2020 9 30NEFT DEBIT ef56 2 2",

@@ -10,6 +10,7 @@ Work goes by blocks of about 4 MB of text.  A block counts its own distinct word
 and sends each once, so a word that is everywhere is one entry a block; keys are grouped by range of
 their 64-bit hash, summed, and the sums go back to the blocks that asked, in the order in which they
 asked.  Nothing is broadcast but the weights.  All tables in between are written to the shared folder.
+Words and bigrams are told apart by their 64-bit hashes alone, so two of billions could be counted as one.
 
 Defined cases: a null text is empty and has the end token alone; a null key counts as the empty string
 in the split; without training texts every word is unknown and c(w) / N is 0; a bucket that the

@@ -12,7 +12,7 @@ documents hold thus arrives once a task.  A bucket that still outgrows ``BUCKET_
 minimiser in very many contexts) hands its windows on singly, as two 64-bit hashes, to be
 spread over all tasks and grouped there.
 
-Defined cases: a null text has no words; a null key counts as smaller than any other; equal texts
+Defined cases: keys are whole numbers; a null text has no words; a null key counts as smaller than any other; equal texts
 under one key, or under none, are one document, whose equal starts are not earlier than each other.  Different
 texts under one key, or under none, are documents of their own, in the order of a hash of the text (``tie``, 0 where
 the key alone tells the document).

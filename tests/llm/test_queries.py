@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ledgerloom.llm import mixing, toxicity
 from ledgerloom.llm.queries import QUERIES
+from ledgerloom.session import pin
 
 from .test_decontamination import brute as contaminated
 from .test_mixing import brute as mixed
@@ -100,6 +101,15 @@ def test_pipeline_against_brute_force(spark):
     assert 0 < len(found) < len(rows)
 
 
+def test_stages_with_null_and_repeated_keys(spark, with_null_key):
+    docs = with_null_key.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = pin(stage(spark, docs, str(SF_DIR)))
+        assert docs.where("doc_id IS NULL").count() == 2, name  # nothing names them as copies, and they are clean
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(SF_DIR))
+    assert last.count() == docs.count() and last.where("doc_id IS NULL").count() == 2
+
+
 def test_stages_keep_the_columns(spark, messy):
     docs = messy.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -72,6 +72,14 @@ def test_quality_measures(messy):
     assert found == {doc: measures(text) for doc, text in texts_of(messy).items()}
 
 
+def test_quality_of_rows_without_a_key_and_repeated_rows(spark, with_null_key):
+    rows = [(r.doc_id, r.text) for r in with_null_key.select("doc_id", "text").collect()]
+    keyed = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    by_row = {r.doc_id: tuple(r)[1:] for r in quality.quality_measures(keyed).collect()}
+    found = sorted(map(str, (tuple(r) for r in quality.quality_measures(with_null_key).collect())))
+    assert found == sorted(str((k, *by_row[i])) for i, (k, _) in enumerate(rows))
+
+
 def test_quality_verdict_is_the_same_in_any_order(spark, messy):
     rows = [(100, "| a b c | " * 20, None), (101, "SHOUTING WORDS ALL " * 3 + "OF DIFFERENT KINDS HERE NOW", None)]
     docs = messy.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string, x string").drop("x"))

@@ -20,7 +20,7 @@ HEADLINE = (
     "load_histogram", "load_box_plot", "line_price_uniformity", "load_normality", "printed_records", "sheet_line_items",
     "imported_tasks", "eligibility", "settled_orders", "line_item_matches", "merged_events", "not_yet_returned",
     "reconciled_confirmations", "confirmation_outcomes", "returns_outcomes", "returns_tasks", "returns_report",
-    "folded_events", "streamed_events",
+    "folded_events", "streamed_events", "compacted_events", "table_of_tasks",
 )
 PREPARED = ("sheet_grid", "tasks", "task_items", "confirmations")  # tables made from the given ones, timed too
 

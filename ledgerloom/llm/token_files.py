@@ -7,8 +7,10 @@ each other in the asked-for order, so a document's first id has a place in one l
 ``index`` maps a key to its shard and offset.  Keys are dealt to buckets by hash; a bucket is a
 minimal perfect hash function - levels of bit arrays, in each of which a key that shares its
 place with no other is settled - over dense arrays of fingerprints, shards and offsets.  A
-lookup reads one bucket row and one place of each array whatever the number of documents;
-the stored fingerprint tells keys that were never written.
+lookup opens the folders of the buckets that its keys fall in (at most 64 buckets to a folder, whatever the number of
+documents) and reads one place of each array; the stored fingerprint tells keys that were never written.
+Ids are then read from the shards of those places.  A lookup of keys in very many folders reads all of them
+instead, with the same result.  ``about`` holds the number of buckets.
 
 Rows of one key must be neighbours in the order (they are, if it begins with the key); they
 are told apart by their number among them, counted from 0.
@@ -33,8 +35,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.words import LOWER, NOT_ALPHANUMERIC, SPACES, Words, mix, pieces, text_array
 from ledgerloom.operators.lookups import lookup
+from ledgerloom.session import pin
 
 KEYS_PER_BUCKET = 4096
+SLICE_BUCKETS = 64  # buckets in a folder of the index, at most
+MOST_NAMED = 1000  # folders or parts that a lookup names to the scan; one that needs more reads all
 GAMMA = 2  # places of a level for each key that is left
 CACHE_WORDS = 400_000
 CACHE_PARTS = 100_000
@@ -278,7 +283,14 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return shards.mapInArrow(spread, f"key {kind}, nth int, part int, chunk int, offset long, n int")
 
 
-INDEX = "bucket long, levels array<binary>, stored binary, part binary, chunk binary, offset binary, n binary"
+ENTRY = "levels array<binary>, stored binary, part binary, chunk binary, offset binary, n binary"
+PLACES = {"part": "<i4", "chunk": "<i4", "offset": "<i8", "n": "<i4"}
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """The rows with their bucket, and the folder of it: a bucket each while there are few."""
+    slices = max(min(buckets, SLICE_BUCKETS), -(-buckets // SLICE_BUCKETS))
+    return rows.withColumn("bucket", F.pmod("_a", F.lit(buckets).cast("bigint"))).withColumn("slice", F.expr(f"bucket * {slices} div {buckets}"))
 
 
 def _write_index(spark: SparkSession, path: str) -> None:
@@ -289,22 +301,37 @@ def _write_index(spark: SparkSession, path: str) -> None:
         a, b = rows["_a"].to_numpy().view(np.uint64), rows["_b"].to_numpy().view(np.uint64)
         function = PerfectHash.build(a, b)
         at = np.argsort(function.numbers(a, b))
-        dense = {"part": "<i4", "chunk": "<i4", "offset": "<i8", "n": "<i4"}
-        arrays = [rows[c].to_numpy()[at].astype(t).tobytes() for c, t in dense.items()]
+        arrays = [rows[c].to_numpy()[at].astype(t).tobytes() for c, t in PLACES.items()]
         return pd.DataFrame(
-            [[rows["bucket"].iloc[0], function.to_rows(), _stored(a, b)[at].tobytes(), *arrays]],
-            columns=["bucket", "levels", "stored", *dense],
+            [[rows["slice"].iloc[0], rows["bucket"].iloc[0], function.to_rows(), _stored(a, b)[at].tobytes(), *arrays]],
+            columns=["slice", "bucket", "levels", "stored", *PLACES],
         )
 
-    dealt = listed.withColumn("bucket", F.pmod("_a", F.lit(buckets).cast("bigint")))
-    dealt.groupBy("bucket").applyInPandas(build, INDEX).withColumn("buckets", F.lit(buckets).cast("bigint")).write.parquet(f"{path}/index")
+    # Dealt by folder, so that a folder is one file; buckets hold about as many keys each.
+    built = _dealt(listed, buckets).repartition("slice").groupBy("slice", "bucket").applyInPandas(build, f"slice long, bucket long, {ENTRY}")
+    built.write.partitionBy("slice").parquet(f"{path}/index")
+    spark.range(1).select(F.lit(buckets).cast("bigint").alias("buckets")).write.parquet(f"{path}/about")
+
+
+def _named(rows: DataFrame, column: str) -> list | None:
+    """The values of the column, unless there are more than ``MOST_NAMED``."""
+    found = [r[0] for r in rows.select(column).distinct().limit(MOST_NAMED + 1).collect()]
+    return found if len(found) <= MOST_NAMED else None
 
 
-def find(keys: DataFrame, path: str, key: str = "key", nth: str = "nth") -> DataFrame:
-    """``key, nth, part, chunk, offset, n`` of the asked-for keys that were written, through the index."""
+def index_rows(spark: SparkSession, path: str, slices: list | None = None) -> DataFrame:
+    """``bucket`` and its arrays, from the named folders or from all; other folders are not opened."""
+    index = spark.read.schema(f"bucket long, {ENTRY}, slice long").parquet(f"{path}/index")
+    return (index if slices is None else index.where(F.col("slice").isin(slices))).drop("slice")
+
+
+def find(keys: DataFrame, path: str, key: str = "key", nth: str = "nth", prune: bool = True) -> DataFrame:
+    """``key, nth, part, chunk, offset, n`` of the asked-for keys that were written, through the index.
+
+    Without ``prune`` the whole index is read at once, which saves a look at the keys where most of it is wanted.
+    """
     spark = keys.sparkSession
-    index = spark.read.parquet(f"{path}/index")
-    buckets = (index.agg(F.max("buckets")).first()[0]) or 1
+    buckets = spark.read.parquet(f"{path}/about").first()[0]
     kind = keys.schema[key].dataType.simpleString()
     schema = f"key {kind}, nth int, part int, chunk int, offset long, n int"
 
@@ -316,13 +343,14 @@ def find(keys: DataFrame, path: str, key: str = "key", nth: str = "nth") -> Data
         at = PerfectHash.of_rows(list(row["levels"])).numbers(a, b)
         known = (at >= 0) & (np.frombuffer(row["stored"], np.uint32)[at] == _stored(a, b))
         out = asked.loc[known, ["key", "nth"]].copy()
-        for c, t in {"part": "<i4", "chunk": "<i4", "offset": "<i8", "n": "<i4"}.items():
+        for c, t in PLACES.items():
             out[c] = np.frombuffer(row[c], t)[at[known]]
         return out
 
     asked = keys.select(F.col(key).alias("key"), F.col(nth).cast("int").alias("nth")).distinct()
-    dealt = asked.select("key", "nth", *key_hashes("key", "nth")).withColumn("bucket", F.pmod("_a", F.lit(buckets).cast("bigint")))
-    return dealt.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(probe, schema)
+    dealt = _dealt(asked.select("key", "nth", *key_hashes("key", "nth")), buckets)
+    index = index_rows(spark, path, _named(dealt, "slice") if prune else None)
+    return dealt.drop("slice").groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(probe, schema)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -360,17 +388,21 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """``key, start, n_tokens, ids_crc32`` of every document: found through the index, read from its payload."""
-    found = find(catalogue(spark, path).select("key", "nth"), path)
+    found = find(catalogue(spark, path).select("key", "nth"), path, prune=False)
     placed = found.join(shard_starts(spark, path), ["part", "chunk"])
     read = lookup(placed, digests(spark, path), ["part", "chunk", "offset"], "inner")
     return read.select(F.col("key").alias(key), (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_ids(keys: DataFrame, path: str, key: str = "key", nth: str = "nth") -> DataFrame:
-    """``key, nth, ids`` of the asked-for documents; only their shards' rows leave the scan."""
+    """``key, nth, ids`` of the asked-for documents; the scan is told which shards are wanted."""
     spark = keys.sparkSession
     asked = find(keys, path, key, nth).groupBy("part", "chunk").agg(F.collect_list(F.struct("key", "nth", "offset", "n")).alias("asked"))
+    asked = pin(asked)  # read for its parts, then joined
     shards = spark.read.parquet(f"{path}/shards").select("part", "chunk", "id_bytes", "payload")
+    for column in ("part", "chunk"):
+        if (wanted := _named(asked, column)) is not None:
+            shards = shards.where(F.col(column).isin(wanted))
     kind = keys.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,7 @@ def test_words_are_encoded_as_the_library_encodes_texts():
     rng = random.Random(8)
     alphabet = [*"abXYZ019 .,'!\n\t\r|<>-_éßñÉ×÷", "ſ", "K", "İ", "Σ", "ς", "中", "́", " ", " ", "　", "\x1c", "\x85", "​", "🙂"]
     alphabet += ["<|endoftext|>", "<|startoftext|>", "'s", "'RE", " 'll", "  ", "<|ENDOFTEXT|>", "é.", "a,", "é", "É!", "…", "×,"]
+    alphabet += [*"&$%*#@+=~^/()[]{}\"`\\", "&&&", "a$$$", "÷)", "=\u0338", "zß(", "ab", "ÿ", "µ", "ª"]
     encoder = token_files.WordEncoder.of(WORD_BPE)
     for _ in range(3000):
         texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(3)]
@@ -79,6 +80,25 @@ def test_unknown_keys_are_told_by_their_fingerprint(spark, written):
     assert token_files.find(strangers, written).count() == 0
 
 
+def test_lookup_opens_the_folders_of_its_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "KEYS_PER_BUCKET", 8)
+    path = str(tmp_path / "files")
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text")).repartition(8)
+    token_files.write_tokens(docs, path, WORD_BPE)
+    assert len(list((tmp_path / "files" / "index").glob("slice=*/*.parquet"))) == 64  # of 250 buckets; a file each
+    asked = spark.createDataFrame([(i, 0) for i in range(0, 2000, 400)], "key long, nth int")
+    pruned = token_files.index_rows(spark, path, [3, 40])
+    assert {r[0].split("slice=")[1].split("/")[0] for r in pruned.select(F.input_file_name()).distinct().collect()} == {"3", "40"}
+    plan = token_files.find(asked, path)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [slice" in plan and "PartitionFilters: [slice" not in token_files.find(asked, path, prune=False)._jdf.queryExecution().executedPlan().toString()
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    ids = {k: [*tokenizer.encode(f"word {k}", add_special_tokens=False).ids, 1] for k in range(2000)}
+    assert {r.key: r.ids for r in token_files.read_ids(asked, path).collect()} == {k: ids[k] for k in range(0, 2000, 400)}
+    monkeypatch.setattr(token_files, "MOST_NAMED", 2)  # more folders than are named: all are read
+    everything = spark.range(2000).select(F.col("id").alias("key"), F.lit(0).alias("nth"))
+    assert {r.key: r.ids for r in token_files.read_ids(everything, path).collect()} == ids
+
+
 def test_another_order(spark, messy, tmp_path):
     path = str(tmp_path / "files")
     token_files.write_tokens(messy, path, WORD_BPE, order_by=[F.col("doc_id").desc()])

@@ -25,6 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,9 +53,13 @@ PLAIN = re.compile(rf"[\x21-\x7e{LETTER}]+")
 SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SIGNS = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
-CLOSING = np.zeros(256, bool)  # marks that often close a word, where they are a pre-token of their own
-CLOSING[[ord(c) for c in ".,;:!?"]] = True
+# Marks that may close a word, where they are a pre-token of their own; not those that special tokens are written with.
+CLOSING = np.zeros(256, bool)
+CLOSING[[ord(c) for c in ".,;:!?&$%*#@+=~^/()[]{}-_"]] = True
 ASCII_ALNUM = ~NOT_ALPHANUMERIC & (np.arange(256) < 0x80)
+ASCII_LOWER = (np.arange(256) >= ord("a")) & (np.arange(256) <= ord("z"))
+SIGNS = np.array([ord(BYTE_SIGNS.get(b, chr(b))) for b in range(256)], "<u2")  # what shows each byte, all below 2**16
+SPACE_SIGN = BYTE_SIGNS[0x20]
 
 
 def apart_from_closing_marks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,6 +83,19 @@ def apart_from_closing_marks(words: Words) -> tuple[np.ndarray, np.ndarray, np.n
     return np.insert(starts, at, core[split]), np.insert(core, at, ends[split]), upto
 
 
+def only_letters(words: Words, chosen: np.ndarray) -> np.ndarray:
+    """Which of the chosen words hold letters of ``LETTER`` alone, and so are one pre-token."""
+    data = words.data
+    second = np.zeros(len(data), bool)  # second bytes of lower-case Latin-1 letters
+    second[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] <= 0xBF) & (data[1:] != 0xB7)
+    fine = ASCII_LOWER[data] | second
+    fine[:-1] |= second[1:]
+    upto = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(fine, out=upto[1:])
+    starts, ends = words.starts[chosen], words.ends[chosen]
+    return upto[ends] - upto[starts] == ends - starts
+
+
 class WordEncoder:
     """A white-space-dropping tokenizer in one worker; ids of parts it has met stay in a bounded cache.
 
@@ -121,36 +139,55 @@ class WordEncoder:
             out += ids
         return out
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _letters(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+        """Ids of words that are one pre-token each, of lower-case letters."""
+        lengths = ends - starts + 1  # with a space after each
+        upto = np.cumsum(lengths)
+        at = np.arange(upto[-1]) - np.repeat(upto - lengths - starts, lengths)
+        at[upto - 1] = 0
+        shown = SIGNS[data[at]]
+        shown[upto - 1] = ord(SPACE_SIGN)
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(word)] for word in shown[:-1].tobytes().decode("utf-16-le").split(SPACE_SIGN)]
+
+    def _others(self, words: list[str]) -> list[list[int]]:
+        """Ids of any words: by pre-tokens where all characters are plain, by the library where not."""
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
         plain = [PLAIN.fullmatch(w) and not any(s in w for s in self.special) for w in words]
-        others = [w for w, p in zip(words, plain, strict=True) if not p]
-        encoded = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
-        found = [self._plain(w.lower()) if p else next(encoded).ids for w, p in zip(words, plain, strict=True)]
-        lengths = np.array([len(f) for f in found], np.int64)
-        self.number.update(zip(hashes, range(len(self.number), len(self.number) + len(words)), strict=True))
+        rest = [w for w, p in zip(words, plain, strict=True) if not p]
+        encoded = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        return [self._plain(w.lower()) if p else next(encoded).ids for w, p in zip(words, plain, strict=True)]
+
+    def _learn(self, hashes: np.ndarray, words: Words, chosen: np.ndarray) -> None:
+        """Keep the ids of the chosen words, by their hashes."""
+        starts, ends = words.starts[chosen], words.ends[chosen]
+        simple = only_letters(words, chosen)
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        found = self._letters(words.data, starts[simple], ends[simple]) if simple.any() else []
+        data = words.data.tobytes()
+        found += self._others([data[a:b].decode() for a, b in zip(starts[~simple].tolist(), ends[~simple].tolist(), strict=True)])
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.number.update(zip(hashes[order].tolist(), range(len(self.number), len(self.number) + len(found)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), self.kind, int(lengths.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.kind, int(lengths.sum()))])
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by the end id, and how many each text has."""
         column = text_array(texts)
-        words = Words(column)
-        # The library ignores case but for special tokens, and so may the cache where there can be none.
-        folded = words if b"<|" in words.raw.tobytes() else Words(column, SPACES, LOWER)
-        first = folded.first
-        folded.starts, folded.ends, upto = apart_from_closing_marks(folded)
-        hashes, at, which = np.unique(folded.hashes(), return_index=True, return_inverse=True)
+        words = Words(column, SPACES, LOWER)
+        if b"<|" in words.raw.tobytes():  # the library ignores case but for special tokens, and so may the cache where there are none
+            words = Words(column)
+        first = words.first
+        words.starts, words.ends, upto = apart_from_closing_marks(words)
+        hashes, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.number) > CACHE_WORDS:
             self._forget()
         known = hashes.tolist()
-        new = [i for i, h in enumerate(known) if h not in self.number]
-        if new:
-            data = folded.data.tobytes()
-            spans = zip(folded.starts[at[new]].tolist(), folded.ends[at[new]].tolist(), strict=True)
-            self._learn([known[i] for i in new], [data[a:b].decode() for a, b in spans])
+        new = np.flatnonzero(np.fromiter((h not in self.number for h in known), bool, len(known)))
+        if len(new):
+            self._learn(hashes[new], words, at[new])
         numbers = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))[which]
         lengths = self.lengths[numbers]
         upto_ids = np.zeros(len(numbers) + 1, np.int64)

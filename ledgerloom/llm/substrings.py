@@ -8,9 +8,10 @@ all but the earliest of equal ones are marked.
 
 Before the shuffle a task drops strings it has sent already: of equal strings only its earliest
 can be the earliest of all, so the others are marked at once.  A passage that a third of all
-documents hold thus arrives once a task.  A bucket that still outgrows ``BUCKET_BYTES`` (one
-minimiser in very many contexts) hands its windows on singly, as two 64-bit hashes, to be
-spread over all tasks and grouped there.
+documents hold thus arrives once a task.  Bytes of each bucket are counted before: one that will outgrow
+``BUCKET_BYTES`` (one minimiser in very many contexts) is not brought together, its rows are spread over
+all tasks and each hands its windows on singly, as two 64-bit hashes, to be grouped by those.  So does a
+bucket that outgrows the bound uncounted.
 
 Defined cases: keys are whole numbers; a null text has no words; a null key counts as smaller than any other; equal texts
 under one key, or under none, are one document, whose equal starts are not earlier than each other.  Different
@@ -32,13 +33,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.words import Words, mix, pieces, window_hashes, windows_in
 from ledgerloom.operators.lookups import lookup
-from ledgerloom.session import broadcast_if_small, pin
+from ledgerloom.session import broadcast_if_small, pin, shuffle_partitions
 
 WINDOW = 20
 MINIMISER = 3  # words
 BUCKET_BYTES = 16 << 20  # packed text that a task holds at once; its arrays take about twenty times that
 AIM_BYTES = 6 << 20  # packed text a bucket is planned for
 PIECE = 6 << 20  # text handled at once before the shuffle
+TASK_BYTES = 512 << 20  # packed text a task is planned for; it comes sorted by bucket and is held a bucket at a time
 NULL_KEY = -(1 << 63)
 
 PACKED = "bucket long, keys array<long>, ties array<long>, starts array<int>, counts array<int>, packed binary"
@@ -80,6 +82,29 @@ def _runs(keys: np.ndarray, ties: np.ndarray, starts: np.ndarray) -> tuple[np.nd
     return keys[first], ties[first], starts[first].astype(np.int32), (starts[last] - starts[first] + 1).astype(np.int32)
 
 
+def _string_hashes(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each run of ``n`` words; equal runs have equal ones."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes, out=total[1:])
+    # A sum knows no order; the first, middle and last word stand for it.
+    order = hashes[first] ^ mix(hashes[first + n // 2] + np.uint64(1)) ^ mix(hashes[first + n - 1] + np.uint64(2))
+    return mix(total[first + n] - total[first] + mix(order))
+
+
+def _bucket_bytes(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """``bucket, bytes``: about what ``_packed`` will send, equal strings of a piece once; it only decides where windows meet."""
+    for batch in pieces(batches, "text", PIECE):
+        words = Words(batch.column("text"))
+        first, n, _, least = super_kmers(words, window, minimiser)
+        if not len(first):
+            continue
+        _, once = np.unique(_string_hashes(words.hashes(), first, n + window - 1), return_index=True)
+        first, n, bucket = first[once], n[once], (least[once] % np.uint64(buckets)).astype(np.int64)
+        size = words.ends[first + n + window - 2] - words.starts[first] + 1
+        met, where = np.unique(bucket, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(np.bincount(where, size).astype(np.int64))], ["bucket", "bytes"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, buckets: int) -> Iterator[pa.RecordBatch]:
     compress = zstandard.ZstdCompressor(level=1).compress
     schema = pa.schema(
@@ -156,6 +181,7 @@ class _Bucket:
         return raw, words, begins, keys[string], ties[string], starts[string] + begins - words.first[string]
 
     def singly(self) -> Iterator[pa.RecordBatch]:
+        """The windows held so far, each as hashes of its words; nothing is held after."""
         _, words, begins, keys, ties, starts = self._windows()
         hashes = words.hashes()
         w1 = window_hashes(hashes, self.window)[begins].view(np.int64)
@@ -197,7 +223,7 @@ def _marks(keys, ties, starts, n, w1=None, w2=None) -> pa.RecordBatch:
 
 
 def _compared(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket."""
+    """Rows come sorted by bucket; those of a bucket that is not brought together say so in ``apart``."""
     number, held = None, _Bucket(window)
     for batch in batches:
         for i in range(batch.num_rows):
@@ -211,6 +237,12 @@ def _compared(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             if row["packed"] is None:
                 yield _marks(row["keys"], row["ties"], row["starts"], row["counts"])
                 continue
+            if batch.column("apart")[i].as_py() is not None:
+                alone = _Bucket(window)
+                yield from alone.add(row)
+                if alone.rows:
+                    yield from alone.singly()
+                continue
             if (bucket := batch.column("bucket")[i].as_py()) != number:
                 yield from held.finish()
                 number, held = bucket, _Bucket(window)
@@ -231,15 +263,23 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     return _repeated(documents(docs, key, text), window, minimiser)
 
 
+def _dealt(docs: DataFrame, window: int, minimiser: int, buckets: int) -> DataFrame:
+    """Packed strings by bucket; those of an overfull bucket have a number of their own in ``apart``."""
+    counted = docs.select("text").mapInArrow(lambda b: _bucket_bytes(b, window, minimiser, buckets), "bucket long, bytes long")
+    overfull = pin(counted.groupBy("bucket").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > BUCKET_BYTES))
+    packed = docs.mapInArrow(lambda b: _packed(b, window, minimiser, buckets), PACKED)
+    row = F.xxhash64(F.col("keys")[0], F.col("ties")[0], F.col("starts")[0])
+    return lookup(packed, broadcast_if_small(overfull), ["bucket"]).withColumn("apart", F.when(F.col("bytes").isNotNull(), row)).drop("bytes")
+
+
 def _repeated(docs: DataFrame, window: int, minimiser: int = MINIMISER) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select("key", "tie", "text")
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffle_partitions(spark), -(-3 * size // TASK_BYTES))
     buckets = max(parts, -(-3 * size // AIM_BYTES))
 
-    packed = plain.mapInArrow(lambda b: _packed(b, window, minimiser, buckets), PACKED)
-    dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = _dealt(plain, window, minimiser, buckets).repartition(parts, "bucket", "apart").sortWithinPartitions("bucket")
     found = pin(dealt.mapInArrow(lambda b: _compared(b, window), MARKS))
 
     single = found.where(F.col("w1").isNotNull())

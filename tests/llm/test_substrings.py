@@ -5,6 +5,8 @@ import random
 import re
 
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import substrings
 
@@ -52,6 +54,35 @@ def test_few_words_many_repeats(spark, monkeypatch, bound):
         assert any(r[2] for r in expected)
 
 
+def test_a_frequent_minimiser_is_spread(spark, monkeypatch):
+    """One three-word sequence has the least hash of all, in a third of the texts and in contexts of its own each time."""
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(substrings, "AIM_BYTES", 1000)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(24)]
+    rows = [(i, " ".join([*(f"w{rng.randrange(10**9)}" for _ in range(12)), *(passage[2:8] if i % 3 else passage), *(f"w{rng.randrange(10**9)}" for _ in range(12))])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    dealt = substrings._dealt(docs.selectExpr("doc_id AS key", "0L AS tie", "text"), 20, 3, 64).repartition(16, "bucket", "apart")
+    dealt = dealt.withColumn("task", F.spark_partition_id())
+    hot = dealt.where("apart IS NOT NULL").groupBy("bucket").agg(F.count_distinct("task").alias("tasks"), F.count(F.lit(1)).alias("n"))
+    assert any(r.tasks > 3 for r in hot.collect())
+    whole = dealt.where("apart IS NULL AND packed IS NOT NULL").groupBy("bucket").agg(F.count_distinct("task").alias("tasks"))
+    assert all(r.tasks == 1 for r in whole.collect())
+    assert cut(docs) == brute(rows)
+
+
+def test_bytes_are_counted_as_they_are_packed(messy):
+    docs = messy.selectExpr("doc_id AS key", "0L AS tie", "text").coalesce(1)
+    packed = docs.mapInArrow(lambda b: substrings._packed(b, 20, 3, 16), substrings.PACKED).where("packed IS NOT NULL").collect()
+    sent = {}
+    for r in packed:
+        sent[r.bucket] = sent.get(r.bucket, 0) + len(zstandard.decompress(r.packed)) + 1
+    counted = {}
+    for r in docs.select("text").mapInArrow(lambda b: substrings._bucket_bytes(b, 20, 3, 16), "bucket long, bytes long").collect():
+        counted[r.bucket] = counted.get(r.bucket, 0) + r.bytes
+    assert counted.keys() == sent.keys() and all(0.9 * sent[b] <= counted[b] <= 1.2 * sent[b] for b in sent)
+
+
 def test_repeated_rows_are_one_document(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")

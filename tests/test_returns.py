@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
-from ledgerloom.operators import matching, outcomes, reconcile, sheets, tasks
+from ledgerloom.operators import lookups, matching, outcomes, reconcile, sheets, tasks
 from ledgerloom.plans.returns_run import run_returns
 from ledgerloom.plans.sheet_import import import_sheets
+from ledgerloom.registry import views
 from ledgerloom.sources import tasks as task_source
 from ledgerloom.streaming import outcomes as stream
 
@@ -213,6 +214,75 @@ def test_reconciliation_agrees_with_comparing_all_pairs(spark):
     assert {r.confirmed_by for r in found.collect()} == {"product", "title", None}
 
 
+def test_small_pages_large_pages_and_crowds_give_the_same(spark, monkeypatch):
+    """Small pages cut no text into pieces; whichever way a page takes, the answers are the same."""
+    rng = random.Random(5)
+    words = ["Red", "blue", "Bag ", "jeans"]
+    submitted = [
+        (n, rng.choice(["P", "Q", None]), f"o{rng.randint(0, 12)}", rng.choice([None, "A", "B"]), rng.choice([None, " ".join(rng.choices(words, k=rng.randint(0, 3)))]))
+        for n in range(150)
+    ]
+    listed = [
+        (rng.choice(["P", "Q", None]), f"o{rng.randint(0, 14)}", rng.choice([None, 1, 2, 3]), rng.choice([None, "A", "B", "C"]), rng.choice([None, " ".join(rng.choices(words, k=3))]), f"ID{n % 9}", None)
+        for n in range(160)
+    ]
+    items, page = spark.createDataFrame(submitted, SUBMITTED), spark.createDataFrame(listed, CONFIRMATION)
+
+    def answers():
+        return sorted(map(str, reconcile.reconcile(items, page).collect()))
+
+    with monkeypatch.context() as plain:
+        plain.setattr(reconcile, "_by_title", None)
+        small = answers()
+    monkeypatch.setattr(lookups, "CROWD", 3)
+    assert answers() == small
+    for few in (0, 9):
+        monkeypatch.setattr(reconcile, "FEW", few)
+        assert answers() == small
+
+
+def test_a_list_is_gathered_and_joined_in_one_shuffle(spark):
+    tasks = spark.createDataFrame([("P", f"o{i % 7}", i, None, "red cotton shirt", "") for i in range(50)], "platform string, order_id string, row_no int, sku string, product_name string, product_link string")
+    items = spark.createDataFrame([("P", f"o{i % 7}", i, "red cotton shirt", "X") for i in range(14)], "platform string, order_id string, item_index int, title string, product_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = matching._in_small_orders(tasks, items)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_views_read_only_the_columns_they_show(spark):
+    """A view that is read once is joined for its columns; views of one query share their lines as given."""
+    sf = "/root/testdata/sf0.001"
+    before = set(views._stored)
+    status = views.tasks(spark, sf).select("platform", "order_id", "row_no", "return_status")
+    assert set(views._stored) == before
+    assert "p_name" not in status._jdf.queryExecution().executedPlan().toString()
+    for view in (views.tasks, views.task_items, views.confirmations, views.placed_returns):
+        assert sorted(map(str, view(spark, sf, shared=True).collect())) == sorted(map(str, view(spark, sf).collect()))
+    assert {name for _, of, name in set(views._stored) - before if of == sf} <= {"lines"}
+
+
+def test_a_closed_task_with_the_key_of_a_pending_one(spark):
+    """Rows that have no outcome stay where they are; a closed row that shares its key with a pending one is written too."""
+    def run(rows):
+        tasks = spark.createDataFrame(rows, "platform string, order_id string, row_no int, sku string, product_name string, product_link string, delivery_date date, return_window_days int, task_status string, return_id string, return_status string, refund_amount double, timestamp timestamp, log string")
+        items = spark.createDataFrame([], "platform string, order_id string, item_index int, title string, product_id string, amount double, returnable boolean, reason_unreturnable string")
+        orders = spark.createDataFrame([], "platform string, order_id string, has_batch_entry boolean")
+        done = run_returns(tasks, items, orders, spark.createDataFrame([], CONFIRMATION), date(2026, 7, 1), F.lit("2026-07-31").cast("timestamp"))
+        return done.tasks
+
+    def task(row, status):
+        return ("P", "o", row, None, "shirt", "", None, None, status, None, None, None, None, "")
+
+    apart = run([task(1, "Pending"), task(2, "Done"), task(3, None)])
+    assert {(t.row_no, t.return_status) for t in apart.collect()} == {(1, "Support Needed"), (2, None), (3, None)}
+    assert "Union" in apart._jdf.queryExecution().optimizedPlan().toString()
+    shared = run([task(1, "Pending"), task(1, "Done"), task(2, "Done")])
+    assert sorted((t.row_no, str(t.return_status)) for t in shared.collect()) == [(1, "Support Needed"), (1, "Support Needed"), (2, "None")]
+
+
 def test_needles_of_every_length_are_found_wherever_they_stand(spark):
     rng = random.Random(21)
     texts = ["".join(rng.choices("abé ", k=rng.randint(1, 60))).strip() + "." for _ in range(40)]

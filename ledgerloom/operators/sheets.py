@@ -129,21 +129,8 @@ def line_items(
     ``fallback_year``.
     """
     default_year = F.lit(fallback_year).cast("int")
-    typed = rows.select(
-        "sheet_id",
-        "row_no",
-        *[F.col(f) for f in SHEET_FIELDS if f not in ("order_date",)],
-        sheet_date(F.col("order_date"), default_year).alias("order_date"),
-        products(F.col("product_link")).alias("_products"),
-        money(F.col("amount")).alias("_total"),
-    )
-    # The outer form: the plain one has the array computed again to filter on it.
-    exploded = typed.select("*", F.posexplode_outer("_products").alias("_pos", "_product")).where(
-        F.col("_product").isNotNull()
-    )
-    item_no = F.col("_pos") + 1
     platform = title_case(strip(F.coalesce(F.nullif("platform", F.lit("")), F.lit(DEFAULT_PLATFORM))))
-    delivery_year = F.coalesce(F.year("order_date"), default_year)
+    delivery_year = F.coalesce(F.year("_ordered"), default_year)
     status = (
         {
             "task_status": task_status(F.col("task_status")),
@@ -163,21 +150,41 @@ def line_items(
             "log": F.lit(""),
         }
     )
-    return exploded.select(
+    # A row's cells are read once, before it becomes as many rows as it has products.
+    typed = rows.withColumn("_ordered", sheet_date(F.col("order_date"), default_year)).select(
         "sheet_id",
         "row_no",
-        item_no.cast("int").alias("item_no"),
         platform.alias("platform"),
         strip(F.col("order_id")).alias("order_id"),
+        products(F.col("product_link")).alias("_products"),
+        money(F.col("amount")).alias("_total"),
+        F.col("_ordered").alias("order_date"),
+        sheet_date(F.col("delivery_date"), delivery_year).alias("delivery_date"),
+        first_integer(F.col("return_window_days")).alias("return_window_days"),
+        *[expression.alias(name) for name, expression in status.items()],
+        "address",
+        "contact_number",
+    )
+    # The outer form: the plain one has the array computed again to filter on it.
+    exploded = typed.select("*", F.posexplode_outer("_products").alias("_pos", "_product")).where(
+        F.col("_product").isNotNull()
+    )
+    item_no = F.col("_pos") + 1
+    return exploded.select(
+        "sheet_id",
+        "row_no",
+        item_no.cast("int").alias("item_no"),
+        "platform",
+        "order_id",
         F.nullif("_product.pid", F.lit("")).alias("sku"),
         F.nullif("_product.name", F.lit("")).alias("product_name"),
         F.col("_product.link").alias("product_link"),
         F.lit(1).alias("quantity"),
         _share(F.col("_total"), F.size("_products"), item_no, allocate_remainder).alias("amount"),
         "order_date",
-        sheet_date(F.col("delivery_date"), delivery_year).alias("delivery_date"),
-        first_integer(F.col("return_window_days")).alias("return_window_days"),
-        *[expression.alias(name) for name, expression in status.items()],
+        "delivery_date",
+        "return_window_days",
+        *status,
         "address",
         "contact_number",
     )

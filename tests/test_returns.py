@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
+from ledgerloom.functions import cells
 from ledgerloom.operators import lookups, matching, outcomes, reconcile, sheets, tasks
 from ledgerloom.plans.returns_run import run_returns
 from ledgerloom.plans.sheet_import import import_sheets
@@ -69,6 +70,27 @@ def test_sheet_options(grid):
     assert [r.amount for r in reset.where("order_id = 'OD2'").orderBy("item_no").collect()] == [33.34, 33.33, 33.33]
 
 
+def test_cells_are_read_before_a_row_becomes_its_products(grid):
+    items = sheets.line_items(sheets.mapped_rows(grid), fallback_year=1999)
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate posexplode")
+    assert "regexp" not in above and "regexp" in below
+
+
+def test_text_that_is_no_number_is_not_cast(spark):
+    made = spark.createDataFrame([("n/a",), ("",), ("7 Days",), (None,)], "v string")
+    read = made.select(cells.first_integer(F.col("v")).alias("i"), cells.money(F.col("v")).alias("m"))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_cast(regexp" not in plan
+    assert [tuple(r) for r in read.collect()] == [(None, None), (None, None), (7, None), (None, None)]
+
+
+def test_the_grid_is_the_only_view_written_for_it(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(views, "stored", lambda spark, sf_dir, name, view: written.append(name) or view)
+    assert views.sheet_grid(spark, "/root/testdata/sf0.001").columns == ["sheet_id", "row_no", "cells"] and written == ["sheet_grid"]
+
+
 def test_layouts_are_worked_out_once_for_an_import(grid, monkeypatch):
     found, plain = [], sheets.sheet_layouts
     monkeypatch.setattr(sheets, "sheet_layouts", lambda *a, **k: found.append(1) or plain(*a, **k))

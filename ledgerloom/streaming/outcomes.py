@@ -95,12 +95,15 @@ def _held_events(spark: SparkSession, state: State, schema: StructType) -> DataF
 def _new_events(spark: SparkSession, log: str, state: State, after: dict[str, list[int]], schema: StructType) -> DataFrame:
     """The events of the batches after the snapshot that it does not hold as they are."""
     paths = [f"{log}/{run}/batch_id={n}" for run, numbers in after.items() for n in numbers]
-    arrived = spark.read.schema(schema).parquet(*paths).distinct()
+    arrived = spark.read.schema(schema).parquet(*paths)
+    if len(paths) > 1:  # a batch was written without repeated rows
+        arrived = arrived.distinct()
     if not state.rows:
-        return pin(arrived)
-    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in schema.names])
+        return pin(arrived) if len(paths) > 1 else arrived
+    values = [F.col(c) for c in schema.names]
+    row = F.xxhash64(*values, *[value.isNull() for value in values])  # the hash passes over nulls
     held = _held_events(spark, state, schema).select("event_id", row.alias("_row"))
-    return pin(matching(arrived.withColumn("_row", row), held, ["event_id", "_row"], keep=False).drop("_row"))
+    return pin(lookup(arrived.withColumn("_row", row), held, ["event_id", "_row"], "left_anti").drop("_row"))
 
 
 def _fold(spark: SparkSession, state: State, events: DataFrame, schema: StructType, key: list[str]) -> DataFrame:

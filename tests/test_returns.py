@@ -435,6 +435,23 @@ def test_events_fold_once_and_in_order(spark):
     assert tasks.settled_orders(once).first().settled is False
 
 
+def test_short_logs_are_gathered_with_the_outcome(spark, monkeypatch):
+    """Both ways give the same, also for events without a time or without the key of a task."""
+    day = datetime(2026, 7, 1)
+    made = [("e1", "P", "o", 1, 1, day, "Failed", None, None, "b"), ("e2", "P", "o", 1, 1, day.replace(hour=9), "Placed", "R", 2.0, None),
+            ("e2", "P", "o", 1, 1, day.replace(hour=9), "Placed", "R", 2.0, None), ("e3", "P", "o", 2, 1, None, "Failed", None, None, "x"),
+            ("e4", "P", "o", 2, 1, None, "Placed", None, None, "y"), ("e5", "P", "o", 2, 1, day, "Placed", None, None, "z"),
+            ("e6", "P", "o", 3, 1, None, None, None, None, "w"), ("e7", None, "o", 4, 1, day, "Failed", None, None, "v"),
+            (None, "P", "o", 5, 1, day, "Failed", None, None, "u"), ("e8", "P", "o", 1, 1, day.replace(minute=5), "Failed", None, None, "a")]
+    made = spark.createDataFrame(made, schemas.OUTCOME_EVENT)
+    short = outcomes.fold_events(made)
+    assert short._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    monkeypatch.setattr(outcomes, "ENTRIES_PER_PIECE", 2)
+    long = outcomes.fold_events(made)
+    assert long._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") > 2
+    assert sorted(map(str, short.collect())) == sorted(map(str, long.collect()))
+
+
 def test_a_long_log_is_joined_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(outcomes, "ENTRIES_PER_PIECE", 7)
     df = spark.range(100).selectExpr("id % 2 AS k", "id AS at", "concat('e', id) AS entry")

@@ -143,3 +143,20 @@ def test_after_a_compaction_only_the_snapshot_is_read(spark, tmp_path):
     assert files and all("/snapshots/" in f for f in files)
     state = versions.current(spark, f"{log}/snapshots")
     assert sum(map(len, stream.batches_after(spark, log, state).values())) == 1
+
+
+def test_a_new_batch_and_the_events_held_are_shuffled_once(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "log")
+    deliver(spark, tmp_path, 0, events(spark, ("e1", 0, 1, "Failed"), ("e2", 3, 1, "Placed")))
+    stream.compact(spark, log)
+    deliver(spark, tmp_path, 1, events(spark, ("e1", 0, 1, "Failed"), ("e2", 3, 1, None), ("e3", 3, 1, "Placed")))
+    state = versions.current(spark, f"{log}/snapshots")
+    monkeypatch.setattr(stream, "pin", lambda df: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = stream._new_events(spark, log, state, stream.batches_after(spark, log, state), schemas.OUTCOME_EVENT)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.event_id for r in new.collect()) == ["e2", "e3"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2

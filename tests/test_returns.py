@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas
 from ledgerloom.functions import cells
 from ledgerloom.operators import lookups, matching, outcomes, reconcile, sheets, tasks
+from ledgerloom.plans import returns_run
 from ledgerloom.plans.returns_run import run_returns
 from ledgerloom.plans.sheet_import import import_sheets
 from ledgerloom.registry import views
@@ -305,6 +306,58 @@ def test_a_closed_task_with_the_key_of_a_pending_one(spark):
     assert sorted((t.row_no, str(t.return_status)) for t in shared.collect()) == [(1, "Support Needed"), (1, "Support Needed"), (2, "None")]
 
 
+def test_key_marks_lose_no_key_and_let_few_others_through(spark, monkeypatch):
+    keys = ["platform", "order_id"]
+    odd = spark.createDataFrame([(None, "o1"), ("P", None)], "platform string, order_id string")
+    asked = spark.range(0, 9000, 9).selectExpr("'P' AS platform", "concat('o', id) AS order_id").unionByName(odd)
+    rows = spark.range(9000).selectExpr("if(id % 7 = 0, 'Q', 'P') AS platform", "concat('o', id) AS order_id", "id AS `a.b`", "id AS _slot")
+    rows = rows.unionByName(odd.selectExpr("*", "0L AS `a.b`", "0L AS _slot"))
+
+    def let_through():
+        found = lookups.may_match(rows, asked, lookups.key_marks(asked, keys), keys)
+        assert found.columns == rows.columns
+        return {tuple(r) for r in found.collect()}
+
+    own = {tuple(r) for r in rows.join(asked, keys, "left_semi").collect()}
+    assert let_through() >= own and len(let_through()) < len(own) + 5 and len(own) > 800
+    monkeypatch.setattr(lookups, "MARK_BITS", 12)  # two other keys of three share a mark
+    assert let_through() > own and lookups.key_marks(rows, keys).count() == 1
+    other = rows.withColumn("order_id", F.col("order_id").cast("binary"))
+    assert lookups.may_match(other, asked, lookups.key_marks(asked, keys), keys) is other  # hashes of other types do not compare
+
+
+def _two_orders(spark):
+    """An order with an eligible task and one whose task is out of its window, with all that the platform has of both."""
+    tasks = spark.createDataFrame(
+        [("P", o, n, None, "red cotton shirt", "", day, 10, status, None, None, None, None, "") for o, n, day, status in
+         [("in", 1, date(2026, 7, 28), "Pending"), ("in", 2, date(2026, 7, 28), "Done"), ("out", 1, date(2026, 1, 1), "Pending"), ("closed", 1, None, "Done")]],
+        "platform string, order_id string, row_no int, sku string, product_name string, product_link string, delivery_date date, return_window_days int, task_status string, return_id string, return_status string, refund_amount double, timestamp timestamp, log string")
+    both = ("in", "out", "closed")
+    items = spark.createDataFrame([("P", o, 1, "red cotton shirt", "A", 5.0, True, "") for o in both], f"{ITEM}, amount double, returnable boolean, reason_unreturnable string")
+    orders = spark.createDataFrame([("P", o, True) for o in both], "platform string, order_id string, has_batch_entry boolean")
+    page = spark.createDataFrame([("P", o, 1, "A", "Red cotton shirt", "CR0000000001", "5") for o in both], CONFIRMATION)
+    earlier = spark.createDataFrame([("P", "out", "A")], "platform string, order_id string, product_id string")
+    return run_returns(tasks, items, orders, page, date(2026, 7, 31), F.lit("2026-07-31").cast("timestamp"), placed=earlier)
+
+
+def test_a_run_moves_only_the_orders_that_an_eligible_task_asks_about(spark, monkeypatch):
+    moved, match, answer, once = {}, returns_run.match_line_items, returns_run.reconcile, returns_run._once_per_item
+
+    def of(name, frame):
+        moved[name] = {r.order_id for r in frame.select("order_id").collect()}
+
+    monkeypatch.setattr(returns_run, "match_line_items", lambda tasks, items: of("items", items) or match(tasks, items))
+    monkeypatch.setattr(returns_run, "reconcile", lambda submitted, page: of("page", page) or answer(submitted, page))
+    monkeypatch.setattr(returns_run, "_once_per_item", lambda entered, key, placed: of("placed", placed) or once(entered, key, placed))
+    found = _two_orders(spark).outcomes.collect()
+    assert moved == {"items": {"in"}, "page": {"in"}, "placed": set()}
+    assert {(o.order_id, o.return_status, o.return_id) for o in found} == {("in", "Placed", "CR0000000001"), ("out", "Out of window", None)}
+
+
+def test_returns_placed_are_those_of_the_orders_asked_about(spark):
+    assert [tuple(r) for r in _two_orders(spark).placed.collect()] == [("P", "in", "A")]
+
+
 def test_needles_of_every_length_are_found_wherever_they_stand(spark):
     rng = random.Random(21)
     texts = ["".join(rng.choices("abé ", k=rng.randint(1, 60))).strip() + "." for _ in range(40)]

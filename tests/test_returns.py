@@ -358,6 +358,20 @@ def test_returns_placed_are_those_of_the_orders_asked_about(spark):
     assert [tuple(r) for r in _two_orders(spark).placed.collect()] == [("P", "in", "A")]
 
 
+def test_tasks_become_orders_in_one_shuffle(spark):
+    """Tasks are not moved to find the orders a run touched, and again to settle them."""
+    tasks = spark.createDataFrame([("P", "a", "Done"), ("P", "a", None), ("P", "b", "Pending"), ("P", "c", "Done"), ("P", "d", "Done"), (None, "a", "Done")], "platform string, order_id string, task_status string")
+    touched = spark.createDataFrame([("P", o) for o in "aabd"] + [(None, "a"), ("P", None)], "platform string, order_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = outcomes.run_orders(touched, tasks)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in found.collect()} == {("P", "a", True), ("P", "b", False), ("P", "d", True)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_needles_of_every_length_are_found_wherever_they_stand(spark):
     rng = random.Random(21)
     texts = ["".join(rng.choices("abé ", k=rng.randint(1, 60))).strip() + "." for _ in range(40)]
